@@ -1,0 +1,42 @@
+"""Compare a Spark result with a DuckDB statement on the same tables."""
+
+from __future__ import annotations
+
+import math
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+
+
+def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    for path in sorted(Path(sf_dir).glob("*.parquet")):
+        connection.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    return connection
+
+
+def spark_rows(df) -> tuple[list[str], Counter]:
+    names = sorted(df.columns)
+    table = df.toArrow()
+    return names, _rows(names, {n: table.column(n).to_pylist() for n in names})
+
+
+def duckdb_rows(connection, sql: str) -> tuple[list[str], Counter]:
+    cursor = connection.execute(sql)
+    names = [d[0] for d in cursor.description]
+    fetched = list(zip(*cursor.fetchall())) or [()] * len(names)
+    columns = dict(zip(names, fetched))
+    return sorted(names), _rows(sorted(names), columns)
+
+
+def _rows(names, columns) -> Counter:
+    return Counter(
+        tuple(_plain(v) for v in row) for row in zip(*[columns[n] for n in names])
+    )
+
+
+def _plain(value):
+    if isinstance(value, float) and math.isnan(value):
+        return "NaN"
+    return value
