@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import col
-from plurality.operators.consensus import consensus, decide
+from plurality.operators.consensus import consensus
 from plurality.operators.relational import lookup, normalise, project, semi_join
 from plurality.operators.sampling import sample_rows
-from plurality.operators.tally import tie_rows
+from plurality.operators.tally import tie_rows, tied_values
 from plurality.schema import VoteLayout
+from plurality.session import materialise
 
 
 class Audit(NamedTuple):
@@ -39,21 +40,24 @@ def audit_ties(
     """
     if n < 0:
         raise ValueError("n must not be negative")
-    ties = decide(votes, layout, carry=()).filter("tied").count()
+    # Both tables are read several times and cost a pass over the votes each.
+    tied = materialise(tied_values(votes, layout), "tied")
+    ties = project(tied, layout.keys).distinct().count()
     if n > ties:
         raise ValueError(
             f"cannot audit {n} ties: the table has {ties}; lower n or skip the audit"
         )
-    if scored is None:
-        scored = consensus(votes, layout, carry=())
-    row_key = [*layout.keys, *layout.order]
-    sample = sample_rows(tie_rows(votes, layout), n, seed, row_key)
     listed = [*layout.keys, layout.value, layout.role]
-    cast = normalise(votes, layout).filter(col(layout.value).isNotNull())
+    rows = project(tie_rows(votes, layout, tied), [*listed, *layout.order])
+    row_key = [*layout.keys, *layout.order]
+    sample = materialise(sample_rows(rows, n, seed, row_key), "sample")
+    hit = semi_join(votes, sample, layout.keys)
+    if scored is None:
+        # A group is scored from its own votes, so the sampled ones suffice.
+        scored = consensus(hit, layout, carry=())
+    cast = normalise(hit, layout).filter(col(layout.value).isNotNull())
     return Audit(
-        project(sample, [*listed, *layout.order]),
-        semi_join(project(cast, listed), sample, layout.keys),
-        semi_join(project(scored, listed), sample, layout.keys),
+        sample, project(cast, listed), semi_join(project(scored, listed), sample, layout.keys)
     )
 
 

@@ -62,38 +62,40 @@ def consensus(
 def scoreboard(
     votes: DataFrame, layout: VoteLayout, carry: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per group: vote count and foremost vote of every rating.
-
-    Column ``n_<i>`` counts the votes for rating level ``i`` and
-    ``first_<i>`` is the vote for it that comes first by role priority, role
-    rank and file order; the slot after the last level is the NULL rating.
-    The number of slots is fixed by the level list, so a single shuffle of
-    map-side combined rows decides every group. Readers of the counts alone
-    get a plain hash aggregate: unused slots are pruned.
+    """One row per group: what is known of the votes for every rating.
+
+    For rating level ``i``, ``n_<i>`` counts its votes, ``senior_<i>`` is the
+    best role rank among them (an unlisted role comes after the last rank) and
+    ``first_<i>`` holds the carried columns of the vote that comes first by
+    role rank and file order. The slot after the last level is the NULL rating.
+
+    The number of slots is fixed by the level list, so one shuffle of map-side
+    combined rows decides every group. Readers that use no carried column get
+    a hash aggregate of integers: the structs are pruned.
     """
+    carried = _carried(votes, layout, carry)
     slots = _slots(layout)
-    last_role = len(layout.role_levels)
-    role_rank = rank_of(col(layout.role), layout.role_levels)
+    unlisted = len(layout.role_levels) + 1
     ballots = normalise(votes, layout).withColumns(
         {
             "_slot": rank_of(col(layout.value), layout.value_levels, default=slots[-1]),
-            "_role_priority": F.coalesce(role_rank, F.lit(last_role)),
-            "_role_rank": F.coalesce(role_rank, F.lit(last_role + 1)),
+            "_rank": rank_of(col(layout.role), layout.role_levels, default=unlisted),
         }
     )
     vote = F.struct(
-        col("_role_priority"),
-        col("_role_rank"),
+        col("_rank"),
         *comparable(ballots, layout.order),
-        col(layout.role),
-        *[col(c) for c in _carried(votes, layout, carry) if c not in layout.order],
+        *[col(c) for c in carried if c not in layout.order],
     )
     aggregates = []
     for slot in slots:
         here = col("_slot") == slot
         aggregates.append(F.count_if(here).alias(f"n_{slot}"))
-        aggregates.append(F.min(F.when(here, vote)).alias(f"first_{slot}"))
-    return ballots.groupBy(*[col(k) for k in layout.keys]).agg(*aggregates)
+        aggregates.append(F.min(F.when(here, col("_rank"))).alias(f"senior_{slot}"))
+        if carried:
+            aggregates.append(F.min(F.when(here, vote)).alias(f"first_{slot}"))
+    keys = _sorting_keys(layout) if carried else [col(k) for k in layout.keys]
+    return ballots.groupBy(*keys).agg(*aggregates)
 
 
 def decide(
@@ -107,43 +109,52 @@ def decide(
     slots = _slots(layout)
     carried = _carried(votes, layout, carry)
     board = scoreboard(votes, layout, carried)
-    counts = [col(f"n_{s}") for s in slots]
-    top = F.greatest(*counts)
+    keys = [col(k) for k in layout.keys]
+    last_priority = F.lit(len(layout.role_levels))
+
+    # Among the most frequent ratings: best role priority, then best rating.
+    # Both are small integers, so one number holds the pair.
+    base = slots[-1] + 1
     leader = F.least(
         *[
             F.when(
-                col(f"n_{s}") == top,
-                F.struct(
-                    col(f"first_{s}").getField("_role_priority").alias("role_priority"),
-                    F.lit(s).alias("slot"),
-                    col(f"first_{s}").alias("vote"),
-                ),
+                col(f"n_{s}") == col("vote_count"),
+                F.least(col(f"senior_{s}"), last_priority) * base + s,
             )
             for s in slots
         ]
     )
-    leaders = sum(((n == top).cast("int") for n in counts), F.lit(0))
-    slot = col("_leader").getField("slot")
-    vote = col("_leader").getField("vote")
-    return board.select(
-        *[col(k) for k in layout.keys],
-        sum(counts, F.lit(0)).alias("votes"),
-        (leaders > 1).alias("tied"),
-        top.alias("vote_count"),
-        leader.alias("_leader"),
-    ).select(
-        *[col(k) for k in layout.keys],
-        col("votes"),
-        col("tied"),
-        vote.getField(layout.role).alias(layout.role),
-        label_at(slot, layout.value_levels).alias(layout.value),
+    counted = board.withColumn("vote_count", F.greatest(*[col(f"n_{s}") for s in slots]))
+    placed = counted.withColumn("_slot", leader % base)
+    senior = _of_slot("senior", slots)
+    first = _of_slot("first", slots) if carried else None
+    return placed.select(
+        *keys,
+        sum((col(f"n_{s}") for s in slots[1:]), col(f"n_{slots[0]}")).alias("votes"),
+        (leaders(slots, col("vote_count")) > 1).alias("tied"),
+        label_at(senior, layout.role_levels).alias(layout.role),
+        label_at(col("_slot"), layout.value_levels).alias(layout.value),
         col("vote_count"),
-        col("_leader").getField("role_priority").alias("role_priority"),
-        F.when(slot <= len(layout.value_levels), slot).alias("value_priority"),
-        *[vote.getField(c).alias(c) for c in carried],
+        F.least(senior, last_priority).alias("role_priority"),
+        F.when(col("_slot") < slots[-1], col("_slot")).alias("value_priority"),
+        *[first.getField(c).alias(c) for c in carried],
     )
 
 
+def leaders(slots: Sequence[int], top: Column) -> Column:
+    """How many ratings of a scoreboard row have ``top`` votes."""
+    flags = [(col(f"n_{s}") == top).cast("int") for s in slots]
+    return sum(flags[1:], flags[0])
+
+
+def _of_slot(name: str, slots: Sequence[int]) -> Column:
+    """The scoreboard's ``name`` column of the rating in ``_slot``."""
+    chosen = F.when(col("_slot") == slots[0], col(f"{name}_{slots[0]}"))
+    for s in slots[1:]:
+        chosen = chosen.when(col("_slot") == s, col(f"{name}_{s}"))
+    return chosen
+
+
 # -- policies "contenders" and "overall" -------------------------------------
 
 
@@ -170,9 +181,8 @@ def decide_raw(
         rank_of(col(layout.role), layout.strict_role_levels, default=no_role),
     )
     in_order = comparable(ballots, layout.order)
-    keys = [col(k) for k in layout.keys]
     ratings = (
-        ballots.groupBy(*keys, value)
+        ballots.groupBy(*_sorting_keys(layout), value)
         .agg(
             F.count("*").alias("vote_count"),
             F.min(F.struct(col("_role_priority"), *in_order)).alias("senior"),
@@ -215,11 +225,11 @@ def decide_raw(
 
     first = chosen("first")
     return (
-        ratings.groupBy(*keys)
+        ratings.groupBy(*_sorting_keys(layout))
         .agg(*aggregates)
         .withColumn("tied", tied)
         .select(
-            *keys,
+            *[col(k) for k in layout.keys],
             col("tied"),
             col("_highest").getField("vote_count").alias("max_votes"),
             first.getField(layout.role).alias(layout.role),
@@ -230,6 +240,16 @@ def decide_raw(
     )
 
 
+def _sorting_keys(layout: VoteLayout) -> list[Column]:
+    """The keys behind a hash of them, for aggregates that Spark must sort.
+
+    ``min`` of a struct is a sort-based aggregate. With one 64-bit number in
+    front, nearly every comparison is decided without reading the keys.
+    """
+    keys = [col(k) for k in layout.keys]
+    return [F.xxhash64(*keys).alias("_group"), *keys]
+
+
 def _slots(layout: VoteLayout) -> list[int]:
     """Rating ranks, and one more for the NULL rating."""
     return list(range(1, len(layout.value_levels) + 2))

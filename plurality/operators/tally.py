@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import col, label_at, rank_of
-from plurality.operators.consensus import decide, decide_raw, scoreboard
+from plurality.operators.consensus import decide, decide_raw, leaders, scoreboard
 from plurality.operators.indexing import number_rows
 from plurality.operators.relational import (
     append,
@@ -63,13 +63,16 @@ def clear_winners(votes: DataFrame, layout: VoteLayout) -> DataFrame:
     return project(winners, [*layout.keys, layout.value, layout.role])
 
 
-def tie_rows(votes: DataFrame, layout: VoteLayout) -> DataFrame:
-    """Every vote for a tied rating, with its role and value priority."""
-    rows = semi_join(
-        normalise(votes, layout),
-        tied_values(votes, layout),
-        [*layout.keys, layout.value],
-    )
+def tie_rows(
+    votes: DataFrame, layout: VoteLayout, tied: DataFrame | None = None
+) -> DataFrame:
+    """Every vote for a tied rating, with its role and value priority.
+
+    ``tied`` is the result of :func:`tied_values`, if it is at hand.
+    """
+    if tied is None:
+        tied = tied_values(votes, layout)
+    rows = semi_join(normalise(votes, layout), tied, [*layout.keys, layout.value])
     return rows.withColumns(
         {
             "participant_priority": rank_of(
@@ -165,31 +168,24 @@ def _flagged(votes: DataFrame, layout: VoteLayout) -> DataFrame:
     no window and no second shuffle.
     """
     slots = range(1, len(layout.value_levels) + 2)
-    board = scoreboard(votes, layout, carry=())
-    counts = [col(f"n_{s}") for s in slots]
+    keys = [col(k) for k in layout.keys]
+    counted = scoreboard(votes, layout, carry=()).withColumn(
+        "max_votes", F.greatest(*[col(f"n_{s}") for s in slots])
+    )
     ratings = F.array(
         *[
             F.struct(
                 label_at(F.lit(s), layout.value_levels).alias(layout.value),
-                n.alias("vote_count"),
+                col(f"n_{s}").alias("vote_count"),
             )
-            for s, n in zip(slots, counts)
+            for s in slots
         ]
     )
-    top = col("max_votes")
-    keys = [col(k) for k in layout.keys]
     return (
-        board.select(
-            *keys,
-            F.greatest(*counts).alias("max_votes"),
-            F.filter(ratings, lambda r: r.getField("vote_count") > 0).alias("_ratings"),
-        )
-        .withColumn(
-            "_leaders",
-            F.size(F.filter("_ratings", lambda r: r.getField("vote_count") == top)),
-        )
-        .select(*keys, "max_votes", "_leaders", F.inline("_ratings"))
-        .withColumn("max_exists", col("vote_count") == top)
+        counted.withColumn("_leaders", leaders(slots, col("max_votes")))
+        .select(*keys, "max_votes", "_leaders", F.inline(ratings))
+        .filter(col("vote_count") > 0)
+        .withColumn("max_exists", col("vote_count") == col("max_votes"))
         .select(
             *keys, col(layout.value), "vote_count", "max_votes", "max_exists", "_leaders"
         )
