@@ -10,8 +10,16 @@ from pyspark.sql import types as T
 from plurality.operators.indexing import row_ids
 from plurality.schema import CSV_SCHEMA, FORM_SCHEMA, VOTE_SCHEMA
 
-# How the CSV files are written (quotes doubled, NA for missing).
-_CSV_FORMAT = {"header": True, "nullValue": "NA", "quote": '"', "escape": '"'}
+# How the CSV files are written (quotes doubled, NA for missing,
+# blanks around text kept).
+_CSV_FORMAT = {
+    "header": True,
+    "nullValue": "NA",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_json(
@@ -34,14 +42,16 @@ def read_csv(
     path: str | list[str],
     schema: T.StructType = CSV_SCHEMA,
     multiline: bool = False,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
     """CSV with a header line; columns are taken in schema order.
 
     ``multiline`` allows line breaks inside quotes, at the price of reading
-    each file in one task.
+    each file in one task. Lines that break the schema fail; with ``mode``
+    "PERMISSIVE" what cannot be read becomes NULL.
     """
     reader = spark.read.schema(schema).options(**_CSV_FORMAT)
-    return reader.option("multiLine", multiline).csv(path)
+    return reader.options(multiLine=multiline, mode=mode).csv(path)
 
 
 def read_table(

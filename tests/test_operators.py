@@ -1,0 +1,226 @@
+import pytest
+from pyspark.sql import functions as F
+
+from plurality import (
+    append,
+    audit_ties,
+    bootstrap,
+    compare_cell,
+    consensus,
+    copy_column,
+    crosstab,
+    draws,
+    exclude,
+    frequencies,
+    group_index,
+    join_null_safe,
+    lookup,
+    move_to_front,
+    natural_semi,
+    normalise,
+    project,
+    row_ids,
+    sample_rows,
+    semi_join,
+    tie_rows,
+    valid_votes,
+    winner_list,
+)
+from votes import EDGE, LAYOUT, E, N, S, frame, random_votes, score
+
+KEYS = list(LAYOUT.keys)
+
+
+# -- projections, filters, joins ------------------------------------------------
+
+
+def test_project_collapses_repeats(spark):
+    df = frame(spark, EDGE)
+    assert project(df, ["eventId", "value", "eventId"]).columns == ["eventId", "value"]
+    assert move_to_front(df, "value").columns[0] == "value"
+    assert len(move_to_front(df, "value").columns) == len(df.columns)
+    assert copy_column(df, "row", "row_").filter("row <> row_").count() == 0
+
+
+def test_blank_and_null_ratings_are_dropped(spark):
+    rows = [(1, 1, 1, "a", "teacher", v) for v in ("", None, " ", E)]
+    assert [r.value for r in valid_votes(frame(spark, rows), LAYOUT).collect()] == [" ", E]
+
+
+def test_labels_match_exactly(spark):
+    rows = [(1, 1, 1, "a", "Teacher", "evident"), (2, 1, 1, "a", "teacher", E)]
+    cast = normalise(frame(spark, rows), LAYOUT).orderBy("row").collect()
+    assert [(r.participantRole, r.value) for r in cast] == [(None, None), ("teacher", E)]
+
+
+def test_filters_drop_null(spark):
+    df = spark.createDataFrame([(1,), (2,), (None,)], "k int")
+    assert [r.k for r in exclude(df, k=1).collect()] == [2]
+    assert [r.k for r in lookup(df, k=2).collect()] == [2]
+    assert lookup(df, k=None).count() == 0
+
+
+def test_semi_join_matches_null(spark):
+    left = spark.createDataFrame([(1, "a"), (None, "b"), (2, None), (3, "c")], "k int, v string")
+    right = spark.createDataFrame([(None, "b"), (2, None), (2, None), (1, "x")], "k int, v string")
+    assert sorted(map(tuple, semi_join(left, right, ["k", "v"]).collect()), key=str) == [
+        (2, None), (None, "b")
+    ]
+    assert semi_join(left, right, ["k"]).count() == 3
+    renamed = right.withColumnRenamed("v", "w")
+    assert sorted(r.k or 0 for r in natural_semi(left, renamed).collect()) == [0, 1, 2]
+    with pytest.raises(ValueError, match="share no column"):
+        natural_semi(left, spark.range(1))
+
+
+def test_join_null_safe_with_itself(spark):
+    df = frame(spark, random_votes(3, 60))
+    counts = df.groupBy(*KEYS).agg(F.count("*").alias("n"))
+    joined = join_null_safe(df, counts, KEYS)
+    assert joined.columns == [*df.columns, "n"]
+    assert joined.count() == 60
+
+
+def test_append_fills_missing_columns(spark):
+    a = spark.createDataFrame([(1, "x")], "k int, a string")
+    b = spark.createDataFrame([(2,), (2,)], "k int")
+    assert sorted(map(tuple, append(a, b).collect())) == [(1, "x"), (2, None), (2, None)]
+
+
+def test_winner_list_without_numbers_has_the_same_rows(spark):
+    df = frame(spark, random_votes(8, 200))
+    numbered = winner_list(df, LAYOUT).drop("group_index")
+    assert sorted(numbered.collect(), key=str) == sorted(
+        winner_list(df, LAYOUT, numbered=False).collect(), key=str
+    )
+
+
+# -- numbering --------------------------------------------------------------------
+
+
+def test_row_ids_are_gap_free_and_null_last(spark):
+    df = frame(spark, random_votes(1, 500)).repartition(7)
+    rows = row_ids(df, [*KEYS, "row"]).collect()
+    assert sorted(r.row_id for r in rows) == list(range(1, 501))
+    assert rows[0].__fields__[0] == "row_id"
+
+    def place(r):
+        return [(r[k] is None, r[k] if r[k] is not None else 0) for k in KEYS] + [r.row]
+
+    ordered = sorted(rows, key=lambda r: r.row_id)
+    assert [r.row for r in ordered] == [r.row for r in sorted(rows, key=place)]
+
+
+def test_row_ids_of_nothing(spark):
+    assert row_ids(frame(spark, []), ["row"]).count() == 0
+
+
+def test_group_index_is_dense_in_key_order(spark):
+    df = group_index(frame(spark, EDGE), KEYS)
+    found = {r.eventId: r.group_index for r in df.collect()}
+    assert found == {9952: 1, 10413: 2, 10425: 3, 12230: 4, 15432: 5}
+    nulls = group_index(frame(spark, random_votes(2, 200)), KEYS).collect()
+    assert len(nulls) == 200
+    assert {r.group_index for r in nulls} == set(range(1, len({(r.eventId, r.classroomId, r.identifier) for r in nulls}) + 1))
+
+
+# -- sampling and audit -------------------------------------------------------------
+
+
+def test_sample_is_repeatable_and_without_replacement(spark):
+    df = frame(spark, random_votes(4, 200))
+    first = sample_rows(df, 20, seed=9, row_key=["row"]).collect()
+    again = sample_rows(df.repartition(6), 20, seed=9, row_key=["row"]).collect()
+    assert {r.row for r in first} == {r.row for r in again} and len({r.row for r in first}) == 20
+    other = sample_rows(df, 20, seed=10, row_key=["row"]).collect()
+    assert {r.row for r in other} != {r.row for r in first}
+
+
+def test_bootstrap_draws_from_the_first_rows(spark):
+    df = frame(spark, random_votes(4, 300)).repartition(5)
+    rows = bootstrap(df, n=2000, k=25, seed=701, order=["row"]).collect()
+    assert [r.draw for r in sorted(rows)] == list(range(1, 2001))
+    assert {r.row for r in rows} == set(range(1, 26))
+    again = bootstrap(df, n=2000, k=25, seed=701, order=["row"]).collect()
+    assert sorted(rows, key=str) == sorted(again, key=str)
+
+
+def test_bootstrap_of_a_short_table(spark):
+    rows = bootstrap(frame(spark, EDGE), n=500, k=34, seed=1, order=["row"]).collect()
+    assert {r.row for r in rows} == set(range(1, 18)) and len(rows) < 500
+    large = bootstrap(frame(spark, EDGE), n=500, k=20_000, seed=1, order=["row"])
+    assert "BroadcastExchange" not in large._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(ValueError):
+        draws(spark, 5, 0, 1)
+
+
+def test_audit_refuses_more_than_the_ties(spark):
+    df = frame(spark, EDGE)
+    with pytest.raises(ValueError, match="has 4"):
+        audit_ties(df, LAYOUT, n=100_000, seed=701)
+    with pytest.raises(ValueError, match="has 0"):
+        audit_ties(frame(spark, []), LAYOUT)
+    with pytest.raises(ValueError, match="negative"):
+        audit_ties(df, LAYOUT, n=-1)
+
+
+def test_audit_passes_up_to_the_ties(spark):
+    audit = audit_ties(frame(spark, EDGE), LAYOUT, n=4, seed=701)
+    assert audit.sample.count() == 4
+    nothing = audit_ties(frame(spark, EDGE), LAYOUT, n=0)
+    assert [t.count() for t in nothing] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_audit_shows_whole_groups_beside_their_rating(spark, seed):
+    rows = random_votes(seed, 250)
+    df = frame(spark, rows)
+    ties = tie_rows(df, LAYOUT).select(*KEYS).distinct().count()
+    audit = audit_ties(df, LAYOUT, n=ties, seed=seed)
+    sampled = {tuple(r[k] for k in KEYS) for r in audit.sample.collect()}
+    answers = score(rows, "ranked")
+    assert {tuple(r) for r in audit.clean.collect()} == {
+        (*key, answers[key][1], answers[key][0]) for key in sampled
+    }
+    listed = [v for v in rows if v[1:4] in sampled and v[5] in (E, S, N)]
+    assert audit.original.count() == len(listed)
+    given = audit_ties(df, LAYOUT, n=ties, seed=seed, scored=consensus(df, LAYOUT))
+    assert sorted(given.clean.collect(), key=str) == sorted(audit.clean.collect(), key=str)
+
+
+def test_compare_cell(spark):
+    df = frame(spark, EDGE)
+    scored = {p: consensus(df, LAYOUT, p) for p in ("ranked", "overall")}
+    rows = compare_cell(df, LAYOUT, scored, eventId=10413, classroomId=56480, identifier="2A")
+    found = [(r.stage, r.value) for r in rows.collect() if r.stage != "votes"]
+    assert sorted(found) == [("overall", E), ("ranked", S)]
+    assert rows.filter("stage = 'votes'").count() == 7
+
+
+# -- reports -----------------------------------------------------------------------
+
+
+def test_frequencies_skip_null(spark):
+    df = spark.createDataFrame([("a",), ("a",), (None,), ("",)], "x string")
+    assert {(r.x, r.n) for r in frequencies(df, "x").collect()} == {("a", 2), ("", 1)}
+
+
+def test_crosstab_shows_every_level_and_null(spark):
+    rows = [(1, 1, 1, "a", "teacher", E), (2, 1, 1, "b", "teacher", None), (3, 1, 1, None, "x", S)]
+    table = crosstab(frame(spark, rows), "identifier", "value", (E, S, N))
+    assert table.columns == ["identifier", E, S, N, "NA_"]
+    assert {tuple(r) for r in table.collect()} == {
+        ("a", 1, 0, 0, 0), ("b", 0, 0, 0, 1), (None, 0, 1, 0, 0)
+    }
+    assert crosstab(frame(spark, rows), "identifier", "value").columns == [
+        "identifier", E, S, "NA_"
+    ]
+
+
+def test_crosstab_label_limit(spark):
+    spark.conf.set("spark.sql.pivotMaxValues", "2")
+    try:
+        with pytest.raises(ValueError, match="more than 2 labels"):
+            crosstab(frame(spark, EDGE), "identifier", "value")
+    finally:
+        spark.conf.unset("spark.sql.pivotMaxValues")

@@ -1,0 +1,49 @@
+"""Every registered query against its SQL statement, on the driver's tables."""
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry
+import oracle
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+# DuckDB type -> Spark type, for the schema part of the comparison.
+TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "VARCHAR": "string",
+    "DOUBLE": "double",
+    "BOOLEAN": "boolean",
+    "TIMESTAMP": "timestamp_ntz",
+}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    connection = oracle.connect(SF_DIR)
+    yield connection
+    connection.close()
+
+
+def test_every_query_has_a_statement():
+    assert entry.queries().keys() == entry.oracle_sql().keys()
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_query_equals_sql(spark, duck, name):
+    sql = entry.oracle_sql()[name]
+    df = entry.queries()[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for operator in ("Python", "Pandas", "CartesianProduct", "NestedLoopJoin"):
+        assert operator not in plan
+    assert oracle.spark_rows(df) == oracle.duckdb_rows(duck, sql)
+    described = duck.execute(f"DESCRIBE {sql}").fetchall()
+    assert {f.name: f.dataType.simpleString() for f in df.schema} == {
+        column: TYPES[kind] for column, kind, *_ in described
+    }
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
