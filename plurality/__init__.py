@@ -34,13 +34,14 @@ from plurality.operators.tally import (
     tie_pool_contenders,
     tie_pool_overall,
     tie_rows,
+    tied_groups,
     tied_values,
     top_values,
     union_missing,
     vote_counts,
     winner_list,
 )
-from plurality.plans.scoring import score_forms, score_votes
+from plurality.plans.scoring import Scoring, score_and_publish, score_forms, score_votes
 from plurality.schema import FORM_LAYOUT, VoteLayout
 from plurality.sources.files import (
     publish,

@@ -7,11 +7,22 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.functions import col
 from plurality.operators.consensus import consensus
-from plurality.operators.relational import lookup, normalise, project, semi_join
+from plurality.operators.relational import (
+    lookup,
+    normalise,
+    project,
+    semi_join,
+    valid_votes,
+)
 from plurality.operators.sampling import sample_rows
-from plurality.operators.tally import tie_rows, tied_values
+from plurality.operators.tally import (
+    tie_pool_contenders,
+    tie_pool_overall,
+    tie_rows,
+    tied_groups,
+    tied_values,
+)
 from plurality.schema import VoteLayout
 from plurality.session import materialise
 
@@ -30,37 +41,50 @@ def audit_ties(
     n: int = 5,
     seed: int = 2024,
     scored: DataFrame | None = None,
+    policy: str = "ranked",
 ) -> Audit:
-    """Sample ``n`` votes from broken ties and list their groups.
+    """Sample ``n`` of the votes that compete in a tie and list their groups.
 
     Votes are sampled, groups are counted: one group can be hit twice, and
     ``n`` above the number of tied groups is refused. ``scored`` is a
-    consensus computed before; without it the ``ranked`` one is used. The
-    listing of original votes leaves out NULL ratings, though they count.
+    consensus under ``policy`` computed before. Under ``ranked`` the listing of
+    original votes leaves out NULL ratings, though they count.
     """
     if n < 0:
         raise ValueError("n must not be negative")
     # Both tables are read several times and cost a pass over the votes each.
-    tied = materialise(tied_values(votes, layout), "tied")
+    ranked = policy == "ranked"
+    tied = tied_values(votes, layout) if ranked else tied_groups(votes, layout)
+    tied = materialise(tied, "tied")
     ties = project(tied, layout.keys).distinct().count()
     if n > ties:
         raise ValueError(
             f"cannot audit {n} ties: the table has {ties}; lower n or skip the audit"
         )
     listed = [*layout.keys, layout.value, layout.role]
-    rows = project(tie_rows(votes, layout, tied), [*listed, *layout.order])
     row_key = [*layout.keys, *layout.order]
-    sample = materialise(sample_rows(rows, n, seed, row_key), "sample")
+    pool = project(_POOLS[policy](votes, layout, tied), [*listed, *layout.order])
+    sample = materialise(sample_rows(pool, n, seed, row_key), "sample")
     hit = semi_join(votes, sample, layout.keys)
     if scored is None:
         # A group is scored from its own votes, so the sampled ones suffice.
-        scored = consensus(hit, layout, carry=())
-    cast = normalise(hit, layout).filter(col(layout.value).isNotNull())
+        scored = consensus(hit, layout, policy, carry=())
+    shown = normalise(hit, layout) if ranked else hit
     return Audit(
-        sample, project(cast, listed), semi_join(project(scored, listed), sample, layout.keys)
+        sample,
+        project(valid_votes(shown, layout), listed),
+        semi_join(project(scored, listed), sample, layout.keys),
     )
 
 
+# The votes that compete in a tie, by policy.
+_POOLS = {
+    "ranked": tie_rows,
+    "contenders": tie_pool_contenders,
+    "overall": tie_pool_overall,
+}
+
+
 def compare_cell(
     votes: DataFrame, layout: VoteLayout, scored: dict[str, DataFrame], **cell: Any
 ) -> DataFrame:

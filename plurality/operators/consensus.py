@@ -168,7 +168,7 @@ def decide_raw(
 
     Ratings are not limited to the level list here, so the votes are folded
     to one row per (group, rating) first and to one row per group after.
-    Columns: keys, ``tied``, ``max_votes`` (of any rating), role, value,
+    Columns: keys, ``votes``, ``tied``, ``max_votes`` (of any rating), role, value,
     ``vote_count`` (of the chosen rating), carried columns.
     """
     carried = _carried(votes, layout, carry)
@@ -212,6 +212,7 @@ def decide_raw(
         # The first and last of the most frequent ratings differ only in a tie.
         F.min(F.struct(behind, value.alias("value"))).alias("_lowest"),
         F.max(F.struct(col("vote_count"), value.alias("value"))).alias("_highest"),
+        F.sum("vote_count").alias("votes"),
     ]
     tied = ~col("_lowest").getField("value").eqNullSafe(col("_highest").getField("value"))
     if policy == "overall":
@@ -230,6 +231,7 @@ def decide_raw(
         .withColumn("tied", tied)
         .select(
             *[col(k) for k in layout.keys],
+            col("votes"),
             col("tied"),
             col("_highest").getField("vote_count").alias("max_votes"),
             first.getField(layout.role).alias(layout.role),

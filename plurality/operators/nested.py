@@ -52,7 +52,10 @@ def unnest(df: DataFrame, column: str) -> DataFrame:
     clash = set(outer) & set(inner.elementType.names)
     if clash:
         raise ValueError(f"unnesting {column} would repeat columns {sorted(clash)}")
-    return df.select(*[col(c) for c in outer], F.inline(col(column)))
+    # For a bare column Spark adds a filter on its size, which for a parsed
+    # column means parsing every text again. An expression avoids that.
+    elements = F.coalesce(col(column), F.array().cast(inner))
+    return df.select(*[col(c) for c in outer], F.inline(elements))
 
 
 def flatten_structs(df: DataFrame, sep: str = ".") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import col
-from plurality.operators.consensus import decide
+from plurality.operators.consensus import decide, decide_raw
 from plurality.schema import VoteLayout
 
 NULL_COLUMN = "NA_"
@@ -50,9 +50,19 @@ def _labels(df: DataFrame, column: str) -> list[str]:
     return sorted(row[0] for row in found)
 
 
-def score_summary(votes: DataFrame, layout: VoteLayout) -> DataFrame:
-    """One row: votes, groups, ties, clear groups, and both as messages."""
-    totals = decide(votes, layout, carry=()).agg(
+def score_summary(
+    votes: DataFrame, layout: VoteLayout, policy: str = "ranked"
+) -> DataFrame:
+    """One row: votes, groups, ties, clear groups, and two messages.
+
+    Under ``ranked`` unlisted ratings tie as one; under the other policies
+    each label counts for itself.
+    """
+    if policy == "ranked":
+        decided = decide(votes, layout, carry=())
+    else:
+        decided = decide_raw(votes, layout, policy, carry=())
+    totals = decided.agg(
         F.coalesce(F.sum("votes"), F.lit(0)).alias("votes"),
         F.count("*").alias("groups"),
         F.count_if(col("tied")).alias("ties"),

@@ -131,22 +131,36 @@ def winner_list(
 # -- raw labels --------------------------------------------------------------
 
 
-def tie_pool_overall(votes: DataFrame, layout: VoteLayout) -> DataFrame:
-    """Every valid vote of a tied group, labels as they are."""
+def tied_groups(votes: DataFrame, layout: VoteLayout) -> DataFrame:
+    """Keys of the tied groups and the vote count their ratings share."""
     tied = decide_raw(votes, layout, "contenders", carry=()).filter("tied")
+    return tied.select(
+        *[col(k) for k in layout.keys], col("max_votes").alias("vote_count")
+    )
+
+
+def tie_pool_overall(
+    votes: DataFrame, layout: VoteLayout, tied: DataFrame | None = None
+) -> DataFrame:
+    """Every valid vote of a tied group.
+
+    ``tied`` is the result of :func:`tied_groups`, if it is at hand.
+    """
+    if tied is None:
+        tied = tied_groups(votes, layout)
     return semi_join(valid_votes(votes, layout), tied, layout.keys)
 
 
-def tie_pool_contenders(votes: DataFrame, layout: VoteLayout) -> DataFrame:
-    """Every valid vote for a tied rating, labels as they are."""
+def tie_pool_contenders(
+    votes: DataFrame, layout: VoteLayout, tied: DataFrame | None = None
+) -> DataFrame:
+    """Every valid vote for a tied rating; ``tied`` as above."""
+    if tied is None:
+        tied = tied_groups(votes, layout)
     valid = valid_votes(votes, layout)
     by = [col(c) for c in (*layout.keys, layout.value)]
     counts = valid.groupBy(*by).agg(F.count("*").alias("vote_count"))
-    tied = decide_raw(votes, layout, "contenders", carry=()).filter("tied")
-    most = tied.select(
-        *[col(k) for k in layout.keys], col("max_votes").alias("vote_count")
-    )
-    tied_ratings = semi_join(counts, most, most.columns)
+    tied_ratings = semi_join(counts, tied, [*layout.keys, "vote_count"])
     return semi_join(valid, tied_ratings, [*layout.keys, layout.value])
 
 

@@ -4,14 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from plurality.operators.audit import Audit, audit_ties
 from plurality.operators.consensus import consensus
 from plurality.operators.indexing import number_rows
 from plurality.operators.nested import flatten_forms
 from plurality.operators.relational import move_to_front, project
-from plurality.schema import FORM_LAYOUT, PAYLOAD_COLUMN, SECTIONS_SCHEMA, VOTE_COLUMNS
+from plurality.operators.reports import score_summary
+from plurality.schema import (
+    FORM_LAYOUT,
+    PAYLOAD_COLUMN,
+    SECTIONS_SCHEMA,
+    VOTE_COLUMNS,
+    VoteLayout,
+)
+from plurality.sources.files import publish
 
 
 def score_votes(
@@ -26,7 +37,7 @@ def score_votes(
     without ``participantId``. ``order`` replaces the columns that stand for
     the file order.
     """
-    layout = FORM_LAYOUT if order is None else replace(FORM_LAYOUT, order=tuple(order))
+    layout = _layout(order)
     reported = [c for c in VOTE_COLUMNS if c != "participantId"]
     attributes = [c for c in reported if c not in (*layout.keys, layout.role, layout.value)]
     table = project(votes, [*VOTE_COLUMNS, *layout.order])
@@ -40,8 +51,42 @@ def score_forms(
     forms: DataFrame,
     policy: str = "ranked",
     payload: str = PAYLOAD_COLUMN,
-    sections=SECTIONS_SCHEMA,
+    sections: T.ArrayType = SECTIONS_SCHEMA,
     numbered: bool = True,
 ) -> DataFrame:
     """:func:`score_votes` for observer forms that hold their fields as JSON text."""
     return score_votes(flatten_forms(forms, payload, sections), policy, numbered=numbered)
+
+
+class Scoring(NamedTuple):
+    """A scoring run: the ratings, its one-row summary, and the audit if asked for."""
+
+    clean: DataFrame
+    summary: DataFrame
+    audit: Audit | None
+
+
+def score_and_publish(
+    votes: DataFrame,
+    name: str,
+    check: bool = True,
+    seed: int = 2024,
+    n: int = 5,
+    policy: str = "ranked",
+    order: Sequence[str] | None = None,
+) -> Scoring:
+    """Score the rating table, publish it as view ``name``, and audit ``n`` ties.
+
+    The view exists before the audit runs, also when the audit refuses ``n``.
+    """
+    layout = _layout(order)
+    clean = publish(score_votes(votes, policy, order), name)
+    summary = score_summary(votes, layout, policy)
+    audit = None
+    if check:
+        audit = audit_ties(votes, layout, n, seed, clean, policy)
+    return Scoring(clean, summary, audit)
+
+
+def _layout(order: Sequence[str] | None) -> VoteLayout:
+    return FORM_LAYOUT if order is None else replace(FORM_LAYOUT, order=tuple(order))

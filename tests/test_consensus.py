@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from plurality import POLICIES, VoteLayout, consensus, decide, score_summary, score_votes
+from plurality import POLICIES, VoteLayout, consensus, decide, score_and_publish, score_summary, score_votes
 from plurality.operators import tally
 from votes import EDGE, LAYOUT, E, N, S, frame, group, random_votes, score
 
@@ -153,8 +153,9 @@ def test_summary_of_nothing(spark):
     assert (row.votes, row.groups, row.ties, row.clear) == (0, 0, 0, 0)
 
 
-def test_score_votes_reports_the_full_table(spark):
-    df = frame(spark, EDGE)
+def full_table(spark, rows):
+    """The 15 rating columns; the other ones repeat the row number."""
+    df = frame(spark, rows)
     for name, kind in (
         ("status", "string"), ("districtId", "long"), ("schoolid", "long"),
         ("schoolname", "string"), ("eventname", "string"), ("walkthroughid", "long"),
@@ -162,6 +163,11 @@ def test_score_votes_reports_the_full_table(spark):
         ("participantId", "long"),
     ):
         df = df.withColumn(name, F.col("row").cast(kind))
+    return df
+
+
+def test_score_votes_reports_the_full_table(spark):
+    df = full_table(spark, EDGE)
     result = score_votes(df, order=["row"])
     assert result.columns == [
         "group_index", "eventId", "classroomId", "identifier", "participantRole", "value",
@@ -179,6 +185,20 @@ def test_score_votes_reports_the_full_table(spark):
     }
 
 
+@pytest.mark.parametrize("policy", POLICIES)
+def test_score_and_publish(spark, policy):
+    df = full_table(spark, EDGE)
+    run = score_and_publish(df, "clean_edge", n=4, policy=policy, order=["row"])
+    clean = spark.table("clean_edge").orderBy("group_index").collect()
+    assert [(r.value, r.participantRole, r.schoolid) for r in clean] == EDGE_ANSWERS[policy]
+    assert run.summary.first().ties == 4 and run.audit.sample.count() == 4
+    with pytest.raises(ValueError, match="has 4"):
+        score_and_publish(df.filter("row < 100"), "clean_again", n=9, order=["row"])
+    assert spark.table("clean_again").count() == 5
+    unchecked = score_and_publish(df, "clean_edge", check=False, n=9, order=["row"])
+    assert unchecked.audit is None
+
+
 def test_model_agrees_with_the_edge_answers():
     for policy in POLICIES:
         answers = score(EDGE, policy)

@@ -1,3 +1,5 @@
+from collections import Counter, defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from plurality import (
     project,
     row_ids,
     sample_rows,
+    score_summary,
     semi_join,
     tie_rows,
     valid_votes,
@@ -188,6 +191,38 @@ def test_audit_shows_whole_groups_beside_their_rating(spark, seed):
     assert sorted(given.clean.collect(), key=str) == sorted(audit.clean.collect(), key=str)
 
 
+@pytest.mark.parametrize("policy", ["contenders", "overall"])
+def test_audit_of_raw_labels(spark, policy):
+    rows = random_votes(6, 250)
+    df = frame(spark, rows)
+    groups = defaultdict(list)
+    for vote in rows:
+        if vote[5] not in ("", None):
+            groups[vote[1:4]].append(vote)
+    pool = set()
+    for votes in groups.values():
+        counts = Counter(v[5] for v in votes)
+        top = [v for v in counts if counts[v] == max(counts.values())]
+        if len(top) > 1:
+            pool |= {v[0] for v in votes if policy == "overall" or v[5] in top}
+    tied = {v[1:4] for v in rows if v[0] in pool}
+    with pytest.raises(ValueError, match=f"has {len(tied)};"):
+        audit_ties(df, LAYOUT, n=len(tied) + 1, policy=policy)
+    audit = audit_ties(df, LAYOUT, n=len(tied), policy=policy)
+    assert {r.row for r in audit.sample.collect()} <= pool
+    sampled = {tuple(r[k] for k in KEYS) for r in audit.sample.collect()}
+    answers = score(rows, policy)
+    assert {tuple(r) for r in audit.clean.collect()} == {
+        (*key, answers[key][1], answers[key][0]) for key in sampled
+    }
+    assert sorted(map(tuple, audit.original.collect()), key=str) == sorted(
+        ((*v[1:4], v[5], v[4]) for key in sampled for v in groups[key]), key=str
+    )
+    summary = score_summary(df, LAYOUT, policy).first()
+    assert (summary.groups, summary.ties) == (len(groups), len(tied))
+    assert summary.votes == sum(map(len, groups.values()))
+
+
 def test_compare_cell(spark):
     df = frame(spark, EDGE)
     scored = {p: consensus(df, LAYOUT, p) for p in ("ranked", "overall")}
