@@ -11,6 +11,9 @@ from plurality.functions import col, nulls_last
 from plurality.operators.relational import join_null_safe, move_to_front, project
 from plurality.session import materialise
 
+# First rows up to this number are gathered in one task; more are numbered.
+ONE_TASK_ROWS = 10_000
+
 # monotonically_increasing_id() keeps the partition above this bit and the
 # row's place in the partition below it.
 _PLACE_BITS = 33
@@ -55,3 +58,17 @@ def group_index(
     groups = df.select(*[col(k) for k in keys]).distinct()
     numbered = number_rows(groups, keys, name)
     return move_to_front(join_null_safe(df, numbered, keys), name)
+
+
+def first_rows(df: DataFrame, order: Sequence[str], n: int, name: str) -> DataFrame:
+    """The first ``n`` rows in ``order``, numbered 1..n as ``name``.
+
+    A small ``n`` costs one scan, in which every task offers its own first
+    ``n`` rows; a large one is a range sort.
+    """
+    if n > ONE_TASK_ROWS:
+        return number_rows(df, order, name).filter(col(name) <= n)
+    by = nulls_last(order)
+    first = df.orderBy(*by).limit(n)
+    position = F.row_number().over(Window.orderBy(*by)).cast("bigint")
+    return first.withColumn(name, position)

@@ -91,7 +91,8 @@ def semi_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame
     """Left rows with a match in ``right``; NULL matches NULL.
 
     The right side is reduced to distinct keys before it is shuffled for the
-    join, so copies of one hot key are combined in the map tasks.
+    join, so copies of one hot key are combined in the map tasks. Where it has
+    none, ``join_null_safe(..., "left_semi")`` does the same for less.
     """
     matches = project(right, on).distinct()
     return join_null_safe(left, matches, on, "left_semi")

@@ -8,16 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plurality.functions import col, nulls_last
+from plurality.functions import col
+from plurality.operators import indexing
 from plurality.operators.relational import project
 
-# Pools up to this many rows are broadcast to the draws; larger ones are joined
-# as Spark's statistics decide.
-_BROADCAST_POOL_ROWS = 10_000
-
 
 def seeded_order(seed: int, row_key: Sequence[str]) -> Column:
     """A pseudo-random sort key for the row identified by ``row_key``."""
@@ -26,8 +23,10 @@ def seeded_order(seed: int, row_key: Sequence[str]) -> Column:
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, row_key: Sequence[str]) -> DataFrame:
-    """``n`` rows without replacement; every task offers its own first ``n``."""
-    return df.orderBy(seeded_order(seed, row_key), *nulls_last(row_key)).limit(n)
+    """``n`` rows without replacement."""
+    lots = df.withColumn("_lot", seeded_order(seed, row_key))
+    drawn = indexing.first_rows(lots, ["_lot", *row_key], n, "_drawn")
+    return project(drawn, df.columns)
 
 
 def draws(spark: SparkSession, n: int, k: int, seed: int) -> DataFrame:
@@ -36,9 +35,8 @@ def draws(spark: SparkSession, n: int, k: int, seed: int) -> DataFrame:
         raise ValueError("n must not be negative and k must be positive")
     text = F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"))
     number = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
-    return spark.range(1, n + 1).select(
-        F.col("id").alias("draw"),
-    ).withColumn("position", number % F.lit(k) + 1)
+    numbered = spark.range(1, n + 1).withColumnRenamed("id", "draw")
+    return numbered.withColumn("position", number % F.lit(k) + 1)
 
 
 def bootstrap(
@@ -46,15 +44,12 @@ def bootstrap(
 ) -> DataFrame:
     """``n`` rows drawn with replacement from the first ``k`` in ``order``.
 
-    Adds ``draw`` (1..n). Only the pool of ``k`` rows is numbered; the table
-    itself is scanned once for its first rows and never sorted as a whole. A
-    draw beyond the end of a shorter table yields no row.
+    Adds ``draw`` (1..n). Only the pool of ``k`` rows is numbered, and it is
+    broadcast if ``k`` is small. A draw beyond the end of a shorter table
+    yields no row.
     """
-    first = df.orderBy(*nulls_last(order)).limit(k)
-    pool = first.withColumn(
-        "position", F.row_number().over(Window.orderBy(*nulls_last(order)))
-    )
-    if k <= _BROADCAST_POOL_ROWS:
+    pool = indexing.first_rows(df, order, k, "position")
+    if k <= indexing.ONE_TASK_ROWS:
         pool = F.broadcast(pool)
     drawn = draws(df.sparkSession, n, k, seed).join(pool, "position")
     return project(drawn, ["draw", *df.columns])

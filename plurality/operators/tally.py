@@ -19,7 +19,6 @@ from plurality.operators.relational import (
     move_to_front,
     normalise,
     project,
-    semi_join,
     valid_votes,
 )
 from plurality.schema import VoteLayout
@@ -55,10 +54,11 @@ def clear_values(votes: DataFrame, layout: VoteLayout) -> DataFrame:
 
 def clear_winners(votes: DataFrame, layout: VoteLayout) -> DataFrame:
     """Every vote for the winning rating of an untied group, with its role."""
-    winners = semi_join(
+    winners = join_null_safe(
         normalise(votes, layout),
         clear_values(votes, layout),
         [*layout.keys, layout.value],
+        "left_semi",
     )
     return project(winners, [*layout.keys, layout.value, layout.role])
 
@@ -72,7 +72,8 @@ def tie_rows(
     """
     if tied is None:
         tied = tied_values(votes, layout)
-    rows = semi_join(normalise(votes, layout), tied, [*layout.keys, layout.value])
+    on = [*layout.keys, layout.value]
+    rows = join_null_safe(normalise(votes, layout), tied, on, "left_semi")
     return rows.withColumns(
         {
             "participant_priority": rank_of(
@@ -148,7 +149,7 @@ def tie_pool_overall(
     """
     if tied is None:
         tied = tied_groups(votes, layout)
-    return semi_join(valid_votes(votes, layout), tied, layout.keys)
+    return join_null_safe(valid_votes(votes, layout), tied, layout.keys, "left_semi")
 
 
 def tie_pool_contenders(
@@ -160,8 +161,11 @@ def tie_pool_contenders(
     valid = valid_votes(votes, layout)
     by = [col(c) for c in (*layout.keys, layout.value)]
     counts = valid.groupBy(*by).agg(F.count("*").alias("vote_count"))
-    tied_ratings = semi_join(counts, tied, [*layout.keys, "vote_count"])
-    return semi_join(valid, tied_ratings, [*layout.keys, layout.value])
+    tied_ratings = join_null_safe(
+        counts, tied, [*layout.keys, "vote_count"], "left_semi"
+    )
+    on = [*layout.keys, layout.value]
+    return join_null_safe(valid, tied_ratings, on, "left_semi")
 
 
 def union_missing(votes: DataFrame, layout: VoteLayout) -> DataFrame:
