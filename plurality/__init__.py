@@ -53,4 +53,66 @@ from plurality.sources.files import (
     write_table,
 )
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "append",
+    "Audit",
+    "audit_ties",
+    "bootstrap",
+    "clear_values",
+    "clear_winners",
+    "compare_cell",
+    "consensus",
+    "copy_column",
+    "crosstab",
+    "decide",
+    "decide_raw",
+    "draws",
+    "exclude",
+    "flagged_counts",
+    "flatten_forms",
+    "flatten_structs",
+    "FORM_LAYOUT",
+    "frequencies",
+    "group_index",
+    "join_null_safe",
+    "lookup",
+    "move_to_front",
+    "natural_semi",
+    "normalise",
+    "number_rows",
+    "parse_json",
+    "POLICIES",
+    "project",
+    "publish",
+    "read_csv",
+    "read_json",
+    "read_table",
+    "row_ids",
+    "sample_rows",
+    "score_and_publish",
+    "score_forms",
+    "score_summary",
+    "score_votes",
+    "scoreboard",
+    "Scoring",
+    "seeded_order",
+    "semi_join",
+    "split_json_rejects",
+    "tie_breaks",
+    "tie_pool_contenders",
+    "tie_pool_overall",
+    "tie_rows",
+    "tied_groups",
+    "tied_values",
+    "top_values",
+    "union_missing",
+    "unnest",
+    "valid_votes",
+    "vote_counts",
+    "VoteLayout",
+    "winner_list",
+    "with_ranks",
+    "write_csv",
+    "write_json",
+    "write_table",
+]
