@@ -14,28 +14,49 @@ def parse_json(
 ) -> DataFrame:
     """Add ``target``, the JSON text of ``source`` parsed to ``schema``.
 
-    Text that does not fit the schema fails the job; see
-    :func:`split_json_rejects` for the forgiving form.
+    Text that is not one JSON value, or does not fit the schema, fails the
+    job; see :func:`split_json_rejects` for the forgiving form. NULL stays NULL.
     """
-    return df.withColumn(
-        target, F.from_json(col(source), schema, {"mode": "FAILFAST"})
-    )
+    read = _read_json(df, source, schema, {"mode": "FAILFAST"})
+    broken = F.raise_error(F.lit(f"malformed JSON in column {source}"))
+    whole = col("_end") | col(source).isNull()
+    body = F.when(whole, col("_body")).otherwise(broken)
+    return read.select(*[col(c) for c in df.columns], body.alias(target))
 
 
 def split_json_rejects(
     df: DataFrame, source: str, schema: T.DataType, target: str = "json_parsed"
 ) -> tuple[DataFrame, DataFrame]:
-    """The rows whose text fits the schema, parsed, and the other rows as given."""
+    """The rows :func:`parse_json` accepts, parsed, and the other rows as given."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    read = _read_json(df, source, schema, options)
+    whole = col("_end").isNotNull() & col("_corrupt").isNull()
+    fine = whole | col(source).isNull()
+    given = [col(c) for c in df.columns]
+    good = read.filter(fine).select(*given, col("_body").alias(target))
+    return good, read.filter(~fine).select(*given)
+
+
+def _read_json(
+    df: DataFrame, source: str, schema: T.DataType, options: dict[str, str]
+) -> DataFrame:
+    """Add ``_body``, the parsed text, and ``_end``, NULL if the text went on.
+
+    The parser stops after the first complete value, so the text is put into
+    an object with a field behind it. ``inline`` makes the results columns
+    that later filters use as they are; on a plain expression Spark would
+    repeat the parsing in every filter.
+    """
     wrapper = T.StructType(
-        [T.StructField("body", schema), T.StructField("_corrupt", T.StringType())]
+        [
+            T.StructField("_body", schema),
+            T.StructField("_end", T.BooleanType()),
+            T.StructField("_corrupt", T.StringType()),
+        ]
     )
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    wrapped = F.concat(F.lit('{"body":'), col(source), F.lit("}"))
-    parsed = df.withColumn("_parsed", F.from_json(wrapped, wrapper, options))
-    bad = col("_parsed").getField("_corrupt").isNotNull()
-    good = parsed.filter(~bad | col(source).isNull())
-    good = good.withColumn(target, col("_parsed").getField("body")).drop("_parsed")
-    return good, parsed.filter(bad).drop("_parsed")
+    text = F.concat(F.lit('{"_body":'), col(source), F.lit(',"_end":true}'))
+    parsed = F.from_json(text, wrapper, options)
+    return df.select("*", F.inline(F.array(parsed)))
 
 
 def unnest(df: DataFrame, column: str) -> DataFrame:

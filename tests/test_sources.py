@@ -5,13 +5,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plurality import (
+    crosstab,
     flatten_forms,
     flatten_structs,
+    lookup,
     parse_json,
     publish,
     read_csv,
     read_json,
     read_table,
+    score_and_publish,
     score_forms,
     score_votes,
     split_json_rejects,
@@ -144,7 +147,9 @@ def test_json_lines_round_trip(spark):
 
 
 BAD = [form(13, "teacher", '[{"focusGroup": "a", "fields": ['),
-       form(14, "teacher", '[{"focusGroup": "a", "fields": "none"}]')]
+       form(14, "teacher", '[{"focusGroup": "a", "fields": "none"}]'),
+       form(16, "teacher", "[] and more"), form(17, "teacher", "[]} {"),
+       form(18, "teacher", ""), form(19, "teacher", "{}")]
 
 
 @pytest.mark.parametrize("bad", BAD)
@@ -158,7 +163,7 @@ def test_malformed_payload_as_reject(spark):
     empty = form(15, "teacher", "[]", **{PAYLOAD_COLUMN: None})
     forms = spark.createDataFrame([*FORMS, *BAD, empty], FORM_SCHEMA)
     good, rejects = split_json_rejects(forms, PAYLOAD_COLUMN, SECTIONS_SCHEMA)
-    assert sorted(r.walkthroughid for r in rejects.collect()) == [13, 14]
+    assert sorted(r.walkthroughid for r in rejects.collect()) == [13, 14, 16, 17, 18, 19]
     assert rejects.schema == forms.schema
     assert sorted(r.walkthroughid for r in good.collect()) == [10, 11, 12, 15]
     strict = parse_json(
@@ -168,6 +173,32 @@ def test_malformed_payload_as_reject(spark):
     assert same == strict.orderBy("walkthroughid").collect()
 
 
+def test_payload_is_parsed_once(spark):
+    forms = spark.createDataFrame(FORMS, FORM_SCHEMA)
+    flat = flatten_forms(forms, PAYLOAD_COLUMN, SECTIONS_SCHEMA).filter("value <> ''")
+    good, rejects = split_json_rejects(forms, PAYLOAD_COLUMN, SECTIONS_SCHEMA)
+    for df in (flat, unnest(good, "json_parsed"), rejects):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_forms_to_report(spark, tmp_path):
+    path = tmp_path / "forms.json"
+    path.write_text(json.dumps(FORMS))
+    votes = flatten_forms(
+        read_json(spark, str(path), array=True), PAYLOAD_COLUMN, SECTIONS_SCHEMA
+    )
+    run = score_and_publish(votes, "clean_forms", check=True, seed=605, n=1)
+    assert run.summary.first().ties == 1 and run.audit.clean.count() == 1
+    one = lookup(run.clean, schoolname="Oak", eventname="Visit 1/2")
+    report = crosstab(one, "subtext", "value", (E, S, N)).collect()
+    assert [tuple(r) for r in report] == [("q", 0, 1, 1, 0)]
+    out = scratch_path(spark, "test")
+    write_csv(run.clean, out, row_numbers=["group_index"])
+    schema = T.StructType([T.StructField("_c0", T.LongType()), *run.clean.schema.fields])
+    back = read_csv(spark, out, schema)
+    assert sorted(back.drop("_c0").collect()) == sorted(run.clean.collect())
+
+
 def test_unnest_drops_empty_and_null(spark):
     df = spark.createDataFrame(
         [(1, [(1, "a"), (2, "b")]), (2, []), (3, None)],
