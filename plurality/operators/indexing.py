@@ -22,16 +22,21 @@ _PLACE_BITS = 33
 def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Add ``name``: 1, 2, 3, ... in ascending ``order``, NULL last.
 
-    ``order`` should identify a row. The rows are range-sorted in parallel and
-    written once; a second pass adds the number of rows in earlier partitions.
-    Only one count per partition meets in a single task.
+    The rows are range-sorted in parallel and written once; a second pass adds
+    the number of rows in earlier partitions. Only one count per partition
+    meets in a single task. Rows equal in ``order`` follow a hash of their
+    other columns: that keeps the numbers repeatable and lets the sort split
+    an ``order`` value that many rows share.
     """
     place = (1 << _PLACE_BITS) - 1
+    others = [
+        col(f.name)
+        for f in df.schema.fields
+        if f.name not in order and "map<" not in f.dataType.simpleString()
+    ]
+    by = [*nulls_last(order), F.xxhash64(*others)] if others else nulls_last(order)
     sorted_rows = materialise(
-        df.orderBy(*nulls_last(order)).withColumn(
-            "_place", F.monotonically_increasing_id()
-        ),
-        name,
+        df.orderBy(*by).withColumn("_place", F.monotonically_increasing_id()), name
     )
     rows = sorted_rows.withColumn("_part", F.shiftright("_place", _PLACE_BITS))
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))

@@ -115,6 +115,22 @@ def test_row_ids_are_gap_free_and_null_last(spark):
     assert [r.row for r in ordered] == [r.row for r in sorted(rows, key=place)]
 
 
+def test_row_ids_of_equal_rows_are_repeatable_and_split(spark):
+    rows = [(i, *v[1:]) for i, v in enumerate(random_votes(1, 300), 1)]
+    rows += [(i, 9, 9, "hot", None, None) for i in range(301, 2301)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        numbered = row_ids(frame(spark, rows), KEYS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    again = row_ids(frame(spark, rows[::-1]).repartition(5), KEYS)
+    assert sorted(numbered.collect()) == sorted(again.collect())
+    assert {r.row_id for r in numbered.collect()} == set(range(1, len(rows) + 1))
+    sorted_files = spark.read.parquet(*numbered.inputFiles())
+    hot = sorted_files.filter("identifier = 'hot'").select(F.input_file_name())
+    assert hot.distinct().count() > 1
+
+
 def test_row_ids_of_nothing(spark):
     assert row_ids(frame(spark, []), ["row"]).count() == 0
 
