@@ -2,35 +2,42 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_WAREHOUSE_DIR = "spark.sql.warehouse.dir"
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables.
+
+    ``spark.checkpoint.dir``, or the folder given to ``setCheckpointDir``; where
+    neither is set, a folder below the warehouse, which every session has.
+    """
+    base = spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+    return base or f"{spark.conf.get(_WAREHOUSE_DIR).rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
+    """A fresh path below :func:`scratch_root`, removed when the session's JVM ends.
 
-    Only a local session may go without that setting; it then gets a
-    temporary folder of its own.
+    Lazy results read it until then, so it cannot go earlier.
     """
-    base = spark.conf.get(_CHECKPOINT_DIR, None)
-    if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError(
-                f"set {_CHECKPOINT_DIR} to a folder that every executor can reach"
-            )
-        base = tempfile.mkdtemp(prefix="plurality-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return f"{folder}/data"
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
-    Used where a column depends on how this very execution was partitioned:
-    every later reader must see the same rows, also after a lost executor.
+    Every later reader sees the same rows, also after a lost executor, and
+    what computed them does not run again.
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
