@@ -278,16 +278,20 @@ def _exploded(found: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, size: int, label: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a ``block`` of neighbours on the first curve, and every block's ball."""
-    width = 1 << 32
+    """Rows with a ``block`` of neighbours on the first curve, and every block's ball.
+
+    Blocks have ``size`` rows however many partitions the curve has: rows are
+    numbered within partitions, and the partitions' sizes give each its start.
+    """
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() * width * size
+        part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            block = (at + np.arange(batch.num_rows)) // size
+            place = np.arange(at, at + batch.num_rows)
             at += batch.num_rows
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(block)], [*batch.schema.names, "block"]
+                [*batch.columns, pa.array(np.full(len(place), part)), pa.array(place)],
+                [*batch.schema.names, "part", "place"],
             )
 
     def ball(group: pd.DataFrame) -> pd.DataFrame:
@@ -299,7 +303,16 @@ def _blocks(rows: DataFrame, size: int, label: str) -> tuple[DataFrame, DataFram
 
     by_key = rows.repartitionByRange("key").sortWithinPartitions("key").drop("key")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in by_key.schema.fields)
-    blocked = materialise(by_key.mapInArrow(numbered, f"{schema}, block bigint"), label)
+    placed = materialise(
+        by_key.mapInArrow(numbered, f"{schema}, part bigint, place bigint"), label
+    )
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per partition.
+    starts = placed.groupBy("part").agg(F.count("*").alias("rows")).select(
+        "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("start")
+    )
+    block = F.floor((F.col("start") + F.col("place")) / size).alias("block")
+    blocked = placed.join(starts, "part").select(*by_key.columns, block)
     balls = blocked.select("block", "vec", "low").groupBy("block").applyInPandas(
         ball, "block bigint, centre array<double>, radius double, low double"
     )
