@@ -36,8 +36,8 @@ CAPACITY = 2048
 END_ID = 0
 # Pieces of one length are numbered in groups of about this many.
 NUMBERED_TOGETHER = 200_000
-# Words kept by a worker with their ids; then it starts afresh.
-CACHED_WORDS = 1_000_000
+# Words kept by a task with their ids; then it starts afresh.
+CACHED_WORDS = 300_000
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -50,9 +50,9 @@ class WordIds(dict):
     are those of its words in turn.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, encoder: Tokenizer):
         super().__init__()
-        self.encoder = Tokenizer.from_file(path)
+        self.encoder = encoder
         # How the vocabulary writes bytes: printable Latin-1 as itself, the rest
         # as the characters from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -90,14 +90,17 @@ def _packed(ids: list[int]) -> bytes:
     return pack_ints(f"<{len(ids)}I", *ids)
 
 
-_words: dict[str, WordIds] = {}
+_encoders: dict[str, Tokenizer] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """This worker's words for a vocabulary file."""
-    if path not in _words:
-        _words[path] = WordIds(path)
-    return _words[path]
+    """A fresh word table on this worker's encoder for a vocabulary file.
+
+    The table goes with its task: a worker that is used again does not carry it.
+    """
+    if path not in _encoders:
+        _encoders[path] = Tokenizer.from_file(path)
+    return WordIds(_encoders[path])
 
 
 def cut(

@@ -291,7 +291,7 @@ def test_ranks_are_gapless_in_groups(spark, monkeypatch):
 def test_word_ids_equal_the_tokenizer():
     import public_tokenizers
 
-    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
     texts = [
         "don't. it's, ça. <|endoftext|> x", "Σίγμα ΟΔΟΣ. áb, é. 12.3, x..,,", "a\x1cb\x85c d\xa0e",
         "", "ǅ. İstanbul. ́x 'S. 's, a's.", " 'll.,'ve", "Å á. 你好,世界. ١٢", LONG,
