@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurality.functions import col, nulls_last
 from plurality.operators.relational import join_null_safe, move_to_front, project
 from plurality.session import materialise
 
-# First rows up to this number are gathered in one task; more are numbered.
-ONE_TASK_ROWS = 10_000
+# Tasks that narrow down the first rows before one task orders what is left.
+FIRST_ROW_BUCKETS = 64
 
 # monotonically_increasing_id() keeps the partition above this bit and the
 # row's place in the partition below it.
@@ -29,12 +29,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     an ``order`` value that many rows share.
     """
     place = (1 << _PLACE_BITS) - 1
-    others = [
-        col(f.name)
-        for f in df.schema.fields
-        if f.name not in order and "map<" not in f.dataType.simpleString()
-    ]
-    by = [*nulls_last(order), F.xxhash64(*others)] if others else nulls_last(order)
+    by = _total_order(df, order)
     sorted_rows = materialise(
         df.orderBy(*by).withColumn("_place", F.monotonically_increasing_id()), name
     )
@@ -51,6 +46,16 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     return project(numbered, [*df.columns, name])
 
 
+def _total_order(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """``order``, NULL last, then a hash of the other columns (maps left out)."""
+    others = [
+        col(f.name)
+        for f in df.schema.fields
+        if f.name not in order and "map<" not in f.dataType.simpleString()
+    ]
+    return [*nulls_last(order), F.xxhash64(*others)] if others else nulls_last(order)
+
+
 def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
     """:func:`number_rows` with the number as first column."""
     return move_to_front(number_rows(df, order, name), name)
@@ -68,12 +73,19 @@ def group_index(
 def first_rows(df: DataFrame, order: Sequence[str], n: int, name: str) -> DataFrame:
     """The first ``n`` rows in ``order``, numbered 1..n as ``name``.
 
-    A small ``n`` costs one scan, in which every task offers its own first
-    ``n`` rows; a large one is a range sort.
+    Rows equal in ``order`` follow the same hash as in :func:`number_rows`, so the
+    choice is repeatable. Every task offers its first ``n`` rows to each bucket,
+    and buckets of rows (by hash) keep their first ``n``, so the last step orders
+    at most ``FIRST_ROW_BUCKETS * n`` rows however many tasks there are. For a
+    large part of a table, filter :func:`number_rows`.
     """
-    if n > ONE_TASK_ROWS:
-        return number_rows(df, order, name).filter(col(name) <= n)
-    by = nulls_last(order)
-    first = df.orderBy(*by).limit(n)
+    by = _total_order(df, order)
+    plain = [
+        col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()
+    ]
+    bucket = F.pmod(F.xxhash64(*plain), F.lit(FIRST_ROW_BUCKETS))
+    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(*by))
+    offered = df.withColumn("_bucket", bucket).withColumn("_nth", nth)
+    first = offered.filter(F.col("_nth") <= n).drop("_bucket", "_nth")
     position = F.row_number().over(Window.orderBy(*by)).cast("bigint")
-    return first.withColumn(name, position)
+    return first.withColumn(name, position).filter(col(name) <= n)

@@ -44,12 +44,9 @@ def bootstrap(
 ) -> DataFrame:
     """``n`` rows drawn with replacement from the first ``k`` in ``order``.
 
-    Adds ``draw`` (1..n). Only the pool of ``k`` rows is numbered, and it is
-    broadcast if ``k`` is small. A draw beyond the end of a shorter table
-    yields no row.
+    Adds ``draw`` (1..n). Only the pool of ``k`` rows is numbered. A draw beyond
+    the end of a shorter table is a row of NULLs, so there are always ``n`` rows.
     """
     pool = indexing.first_rows(df, order, k, "position")
-    if k <= indexing.ONE_TASK_ROWS:
-        pool = F.broadcast(pool)
-    drawn = draws(df.sparkSession, n, k, seed).join(pool, "position")
+    drawn = draws(df.sparkSession, n, k, seed).join(pool, "position", "left")
     return project(drawn, ["draw", *df.columns])

@@ -192,8 +192,7 @@ FROM part""",
     "unnest_one": """
 SELECT conv_id, turn, role, CAST(i - 1 AS BIGINT) AS line_no, lines[i] AS line
 FROM (SELECT conv_id, turn, role, lines, unnest(range(1, len(lines) + 1)) AS i
-      FROM (SELECT *, string_split(text, chr(10)) AS lines FROM conversations))
-WHERE lines[i] <> ''""",
+      FROM (SELECT *, string_split(text, chr(10)) AS lines FROM conversations))""",
     "unnest_two": """
 SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, 'terms' AS "focusGroup",
        'l_discount' AS name, l_discount AS amount,

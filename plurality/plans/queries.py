@@ -111,12 +111,12 @@ def struct_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unnest_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn's text as JSON text holding its non-blank lines, and back to rows."""
+    """Each turn's text as JSON text holding its lines, and back to rows."""
     lines = F.transform(
         F.split("text", "\n"),
         lambda line, i: F.struct(i.cast("bigint").alias("line_no"), line.alias("line")),
     )
-    payload = F.to_json(F.filter(lines, lambda s: s.getField("line") != ""))
+    payload = F.to_json(lines)
     turns = table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", "role", payload.alias("payload")
     )

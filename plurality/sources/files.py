@@ -57,9 +57,18 @@ def read_csv(
 def read_table(
     spark: SparkSession, path: str | list[str], schema: T.StructType | None = VOTE_SCHEMA
 ) -> DataFrame:
-    """A saved (Parquet) table; its own schema is used where none is given."""
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    """A saved (Parquet) table; its own schema is used where none is given.
+
+    A declared column that the table lacks is an error, not a column of NULLs.
+    """
+    paths = [path] if isinstance(path, str) else path
+    if schema is None:
+        return spark.read.parquet(*paths)
+    saved = spark.read.parquet(*paths).columns
+    missing = [name for name in schema.fieldNames() if name not in saved]
+    if missing:
+        raise ValueError(f"the saved table has no column {', '.join(missing)}")
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def write_csv(

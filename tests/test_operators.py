@@ -29,7 +29,6 @@ from plurality import (
     valid_votes,
     winner_list,
 )
-from plurality.operators import indexing
 from votes import EDGE, LAYOUT, E, N, S, frame, random_votes, score
 
 KEYS = list(LAYOUT.keys)
@@ -167,25 +166,24 @@ def test_bootstrap_draws_from_the_first_rows(spark):
 
 def test_bootstrap_of_a_short_table(spark):
     rows = bootstrap(frame(spark, EDGE), n=500, k=34, seed=1, order=["row"]).collect()
-    assert {r.row for r in rows} == set(range(1, 18)) and len(rows) < 500
+    assert {r.row for r in rows} == {None, *range(1, 18)} and len(rows) == 500
     with pytest.raises(ValueError):
         draws(spark, 5, 0, 1)
 
 
-def test_large_samples_are_the_same_rows(spark, monkeypatch):
-    df = frame(spark, random_votes(4, 300)).repartition(5)
-
-    def both():
-        drawn = bootstrap(df, n=400, k=60, seed=3, order=[*KEYS, "row"])
-        return drawn, sample_rows(df, 60, seed=3, row_key=["row"])
-
-    small = both()
-    monkeypatch.setattr(indexing, "ONE_TASK_ROWS", 10)
-    large = both()
-    for one, other in zip(small, large):
-        assert one.columns == other.columns
-        assert sorted(one.collect(), key=str) == sorted(other.collect(), key=str)
-    assert "TakeOrdered" not in large[1]._jdf.queryExecution().executedPlan().toString()
+@pytest.mark.parametrize("n", [1, 7, 60, 290])
+def test_samples_do_not_depend_on_partitions(spark, n):
+    """Also where the key repeats: 300 rows on three values."""
+    df = frame(spark, random_votes(4, 300)).withColumn("few", F.col("row") % 3)
+    seen = [
+        (
+            sorted(sample_rows(part, n, seed=3, row_key=["few"]).collect(), key=str),
+            sorted(bootstrap(part, n=400, k=n, seed=3, order=["few"]).collect(), key=str),
+        )
+        for part in (df.coalesce(1), df.repartition(5), df.repartition(64))
+    ]
+    assert seen[0] == seen[1] == seen[2]
+    assert len(seen[0][0]) == n and len(seen[0][1]) == 400
 
 
 def test_audit_refuses_more_than_the_ties(spark):

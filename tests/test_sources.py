@@ -236,3 +236,9 @@ def test_table_and_view(spark):
 def test_scratch_paths_are_fresh(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert LAYOUT.order == ("row",)
+
+
+def test_saved_table_without_a_declared_column_is_refused(spark, tmp_path):
+    write_table(spark.range(3).selectExpr("id as valu"), str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="value"):
+        read_table(spark, str(tmp_path / "t"), T.StructType([T.StructField("value", T.LongType())]))
