@@ -19,7 +19,7 @@ def parse_json(
     """
     read = _read_json(df, source, schema, {"mode": "FAILFAST"})
     broken = F.raise_error(F.lit(f"malformed JSON in column {source}"))
-    whole = col("_end") | col(source).isNull()
+    whole = col("_whole") | col(source).isNull()
     body = F.when(whole, col("_body")).otherwise(broken)
     return read.select(*[col(c) for c in df.columns], body.alias(target))
 
@@ -30,8 +30,8 @@ def split_json_rejects(
     """The rows :func:`parse_json` accepts, parsed, and the other rows as given."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     read = _read_json(df, source, schema, options)
-    whole = col("_end").isNotNull() & col("_corrupt").isNull()
-    fine = whole | col(source).isNull()
+    whole = col("_whole") & col("_corrupt").isNull()
+    fine = F.coalesce(whole, F.lit(False)) | col(source).isNull()
     given = [col(c) for c in df.columns]
     good = read.filter(fine).select(*given, col("_body").alias(target))
     return good, read.filter(~fine).select(*given)
@@ -40,23 +40,28 @@ def split_json_rejects(
 def _read_json(
     df: DataFrame, source: str, schema: T.DataType, options: dict[str, str]
 ) -> DataFrame:
-    """Add ``_body``, the parsed text, and ``_end``, NULL if the text went on.
+    """Add ``_body``, the parsed text, and ``_whole``, true if it is one value.
 
     The parser stops after the first complete value, so the text is put into
-    an object with a field behind it. ``inline`` makes the results columns
-    that later filters use as they are; on a plain expression Spark would
-    repeat the parsing in every filter.
+    an object with a field behind it. That field holds the text's digest, which
+    the text itself cannot hold, so the object did not end inside the text; and
+    the object has no other fields, so the text added none. ``inline`` makes
+    the results columns that later filters use as they are; on a plain
+    expression Spark would repeat the parsing in every filter.
     """
     wrapper = T.StructType(
         [
             T.StructField("_body", schema),
-            T.StructField("_end", T.BooleanType()),
+            T.StructField("_end", T.StringType()),
             T.StructField("_corrupt", T.StringType()),
         ]
     )
-    text = F.concat(F.lit('{"_body":'), col(source), F.lit(',"_end":true}'))
-    parsed = F.from_json(text, wrapper, options)
-    return df.select("*", F.inline(F.array(parsed)))
+    digest = F.sha2(col(source), 256)
+    text = F.concat(F.lit('{"_body":'), col(source), F.lit(',"_end":"'), digest, F.lit('"}'))
+    parsed = df.select("*", F.inline(F.array(F.from_json(text, wrapper, options))))
+    only = F.json_object_keys(text) == F.array(F.lit("_body"), F.lit("_end"))
+    whole = F.struct((only & (col("_end") == digest)).alias("_whole"))
+    return parsed.select("*", F.inline(F.array(whole)))
 
 
 def unnest(df: DataFrame, column: str) -> DataFrame:

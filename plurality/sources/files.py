@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from plurality.functions import col
 from plurality.operators.indexing import row_ids
 from plurality.schema import CSV_SCHEMA, FORM_SCHEMA, VOTE_SCHEMA
 
@@ -44,14 +45,37 @@ def read_csv(
     multiline: bool = False,
     mode: str = "FAILFAST",
 ) -> DataFrame:
-    """CSV with a header line; columns are taken in schema order.
+    """CSV with a header line; columns are found by their names in it.
 
-    ``multiline`` allows line breaks inside quotes, at the price of reading
+    The file may order them differently and hold others; a declared column that
+    it lacks is an error. One unnamed column may be declared as ``_c<place>``.
+    Files whose headers differ from each other fail. ``multiline`` allows line breaks inside quotes, at the price of reading
     each file in one task. Lines that break the schema fail; with ``mode``
     "PERMISSIVE" what cannot be read becomes NULL.
     """
-    reader = spark.read.schema(schema).options(**_CSV_FORMAT)
-    return reader.options(multiLine=multiline, mode=mode).csv(path)
+    reader = spark.read.options(**_CSV_FORMAT).options(multiLine=multiline, mode=mode)
+    header = spark.read.options(**{**_CSV_FORMAT, "header": False}, multiLine=multiline)
+    found = header.csv(path).first()
+    titles = schema.fieldNames() if found is None else list(found)
+    names = [title or f"_c{place}" for place, title in enumerate(titles)]
+    missing = [name for name in schema.fieldNames() if name not in names]
+    if missing:
+        raise ValueError(f"the CSV header has no column {', '.join(missing)}")
+    kinds = {field.name: field.dataType for field in schema.fields}
+    in_file = T.StructType(
+        [
+            # Spark sees an empty header cell without quotes as the text for missing.
+            T.StructField(
+                _CSV_FORMAT["nullValue"] if title is None else title,
+                kinds.get(name, T.StringType()),
+            )
+            for title, name in zip(titles, names)
+        ]
+    )
+    # Without enforceSchema every file's own header is compared with the schema.
+    rows = reader.schema(in_file).option("enforceSchema", False).csv(path)
+    named = rows.toDF(*names)
+    return named.select(*[col(name) for name in schema.fieldNames()])
 
 
 def read_table(
