@@ -26,6 +26,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plurality.functions import col, comparable, label_at, rank_of
 from plurality.operators.relational import normalise, project, valid_votes
@@ -44,7 +45,7 @@ def consensus(
 
     Columns: keys, role, value, ``vote_count``, then the carried columns
     (``carry``; by default all others of ``votes``). The smaller ``carry``,
-    the less is shuffled.
+    the less is shuffled. A map can be carried, but not one inside another column.
     """
     carried = _carried(votes, layout, carry)
     if policy == "ranked":
@@ -85,7 +86,7 @@ def scoreboard(
     vote = F.struct(
         col("_rank"),
         *comparable(ballots, layout.order),
-        *[col(c) for c in carried if c not in layout.order],
+        *[_packed(votes, c) for c in carried if c not in layout.order],
     )
     aggregates = []
     for slot in slots:
@@ -99,12 +100,16 @@ def scoreboard(
 
 
 def decide(
-    votes: DataFrame, layout: VoteLayout, carry: Sequence[str] | None = None
+    votes: DataFrame,
+    layout: VoteLayout,
+    carry: Sequence[str] | None = None,
+    counts: bool = False,
 ) -> DataFrame:
     """One row per group: whether it was tied, and the vote that decides it.
 
     Columns: keys, ``votes``, ``tied``, role, value, ``vote_count``,
-    ``role_priority``, ``value_priority``, carried columns.
+    ``role_priority``, ``value_priority``, carried columns, and with ``counts`` the
+    scoreboard's ``n_<i>``.
     """
     slots = _slots(layout)
     carried = _carried(votes, layout, carry)
@@ -137,7 +142,8 @@ def decide(
         col("vote_count"),
         F.least(senior, last_priority).alias("role_priority"),
         F.when(col("_slot") < slots[-1], col("_slot")).alias("value_priority"),
-        *[first.getField(c).alias(c) for c in carried],
+        *[_unpacked(votes, first, c) for c in carried],
+        *[col(f"n_{s}") for s in slots if counts],
     )
 
 
@@ -190,7 +196,7 @@ def decide_raw(
                 F.struct(
                     *in_order,
                     col(layout.role),
-                    *[col(c) for c in carried if c not in layout.order],
+                    *[_packed(votes, c) for c in carried if c not in layout.order],
                 )
             ).alias("first"),
         )
@@ -237,11 +243,30 @@ def decide_raw(
             first.getField(layout.role).alias(layout.role),
             chosen("value").alias(layout.value),
             chosen("vote_count").alias("vote_count"),
-            *[first.getField(c).alias(c) for c in carried],
+            *[_unpacked(votes, first, c) for c in carried],
         )
     )
 
 
+def _packed(votes: DataFrame, name: str) -> Column:
+    """A carried column as a field that can be compared: a map as sorted entries."""
+    kind = votes.schema[name].dataType
+    inner = kind.valueType if isinstance(kind, T.MapType) else kind
+    if "map<" in inner.simpleString():
+        raise ValueError(f"column {name} has a map inside, which cannot be carried")
+    if isinstance(kind, T.MapType):
+        return F.sort_array(F.map_entries(col(name))).alias(name)
+    return col(name)
+
+
+def _unpacked(votes: DataFrame, vote: Column, name: str) -> Column:
+    """The carried column of a vote, as it was before :func:`_packed`."""
+    field = vote.getField(name)
+    if isinstance(votes.schema[name].dataType, T.MapType):
+        field = F.map_from_entries(field)
+    return field.alias(name)
+
+
 def _sorting_keys(layout: VoteLayout) -> list[Column]:
     """The keys behind a hash of them, for aggregates that Spark must sort.
 
