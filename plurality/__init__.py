@@ -24,12 +24,15 @@ from plurality.operators.relational import (
     valid_votes,
     with_ranks,
 )
-from plurality.operators.reports import crosstab, frequencies, score_summary
+from plurality.operators.reports import crosstab, frequencies, label_counts, score_summary
 from plurality.operators.sampling import bootstrap, draws, sample_rows, seeded_order
 from plurality.operators.tally import (
     clear_values,
     clear_winners,
     flagged_counts,
+    raw_tie_breaks,
+    raw_tie_rows,
+    raw_winner_list,
     tie_breaks,
     tie_pool_contenders,
     tie_pool_overall,
@@ -75,6 +78,7 @@ __all__ = [
     "frequencies",
     "group_index",
     "join_null_safe",
+    "label_counts",
     "lookup",
     "move_to_front",
     "natural_semi",
@@ -84,6 +88,9 @@ __all__ = [
     "POLICIES",
     "project",
     "publish",
+    "raw_tie_breaks",
+    "raw_tie_rows",
+    "raw_winner_list",
     "read_csv",
     "read_json",
     "read_table",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plurality.operators.consensus import consensus
 from plurality.operators.relational import (
+    join_null_safe,
     lookup,
     normalise,
     project,
@@ -27,8 +28,15 @@ from plurality.schema import VoteLayout
 from plurality.session import materialise
 
 
+CHECK_NUMBER = "check_number"
+
+
 class Audit(NamedTuple):
-    """The sampled tie rows, all votes of their groups, and the decisions."""
+    """The sampled tie rows, all votes of their groups, and the decisions.
+
+    ``check_number`` (1..n) pairs a sampled row with the votes and the decision of
+    its group; a group sampled twice is listed under both numbers.
+    """
 
     sample: DataFrame
     original: DataFrame
@@ -42,20 +50,23 @@ def audit_ties(
     seed: int = 2024,
     scored: DataFrame | None = None,
     policy: str = "ranked",
+    tied: DataFrame | None = None,
 ) -> Audit:
     """Sample ``n`` of the votes that compete in a tie and list their groups.
 
     Votes are sampled, groups are counted: one group can be hit twice, and
     ``n`` above the number of tied groups is refused. ``scored`` is a
-    consensus under ``policy`` computed before. Under ``ranked`` the listing of
+    consensus under ``policy`` computed before, and ``tied`` its tied ratings
+    (``ranked``) or tied groups, read more than once. Under ``ranked`` the listing of
     original votes leaves out NULL ratings, though they count.
     """
     if n < 0:
         raise ValueError("n must not be negative")
     # Both tables are read several times and cost a pass over the votes each.
     ranked = policy == "ranked"
-    tied = tied_values(votes, layout) if ranked else tied_groups(votes, layout)
-    tied = materialise(tied, "tied")
+    if tied is None:
+        tied = tied_values(votes, layout) if ranked else tied_groups(votes, layout)
+        tied = materialise(tied, "tied")
     ties = project(tied, layout.keys).distinct().count()
     if n > ties:
         raise ValueError(
@@ -64,17 +75,17 @@ def audit_ties(
     listed = [*layout.keys, layout.value, layout.role]
     row_key = [*layout.keys, *layout.order]
     pool = project(_POOLS[policy](votes, layout, tied), [*listed, *layout.order])
-    sample = materialise(sample_rows(pool, n, seed, row_key), "sample")
+    sample = materialise(sample_rows(pool, n, seed, row_key, CHECK_NUMBER), "sample")
+    checks = project(sample, [*layout.keys, CHECK_NUMBER])
     hit = semi_join(votes, sample, layout.keys)
     if scored is None:
         # A group is scored from its own votes, so the sampled ones suffice.
         scored = consensus(hit, layout, policy, carry=())
-    shown = normalise(hit, layout) if ranked else hit
-    return Audit(
-        sample,
-        project(valid_votes(shown, layout), listed),
-        semi_join(project(scored, listed), sample, layout.keys),
-    )
+    shown = valid_votes(normalise(hit, layout) if ranked else hit, layout)
+    numbered = [CHECK_NUMBER, *listed]
+    original = join_null_safe(project(shown, listed), checks, layout.keys)
+    clean = join_null_safe(project(scored, listed), checks, layout.keys)
+    return Audit(sample, project(original, numbered), project(clean, numbered))
 
 
 # The votes that compete in a tie, by policy.

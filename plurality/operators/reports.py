@@ -12,6 +12,7 @@ from plurality.operators.consensus import decide, decide_raw
 from plurality.schema import VoteLayout
 
 NULL_COLUMN = "NA_"
+OTHER_COLUMN = "OTHER_"
 
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
@@ -25,18 +26,27 @@ def crosstab(
 ) -> DataFrame:
     """Counts of ``columns`` labels per ``rows`` value, zeros filled.
 
-    Every level gets a column, in the given order, and NULL gets ``NA_``.
-    One aggregate per column keeps it a single map-side combined shuffle.
-    Without ``levels`` the labels are looked up first, which costs a job.
+    Every level gets a column, in the given order, labels that are no level share
+    ``OTHER_``, and NULL gets ``NA_``: a row of counts adds up to its rows. One
+    aggregate per column keeps it a single map-side combined shuffle. Without
+    ``levels`` the labels are looked up first, which costs a job; for more labels
+    than a table has room for use :func:`label_counts`.
     """
     if levels is None:
         levels = _labels(df, columns)
-    if NULL_COLUMN in levels:
-        raise ValueError(f"{NULL_COLUMN!r} is the column of NULL labels")
+    taken = {NULL_COLUMN, OTHER_COLUMN}.intersection(levels)
+    if taken:
+        raise ValueError(f"{sorted(taken)} are columns of NULL and unlisted labels")
     label = col(columns)
     counts = [F.count_if(label == level).alias(level) for level in levels]
+    other = F.count_if(~label.isin(*levels)).alias(OTHER_COLUMN)
     missing = F.count_if(label.isNull()).alias(NULL_COLUMN)
-    return df.groupBy(col(rows)).agg(*counts, missing)
+    return df.groupBy(col(rows)).agg(*counts, other, missing)
+
+
+def label_counts(df: DataFrame, rows: str, columns: str) -> DataFrame:
+    """The cross-tab in long form: ``n`` per row and label, NULL among both."""
+    return df.groupBy(col(rows), col(columns)).agg(F.count("*").alias("n"))
 
 
 def _labels(df: DataFrame, column: str) -> list[str]:
@@ -46,21 +56,24 @@ def _labels(df: DataFrame, column: str) -> list[str]:
         df.filter(col(column).isNotNull()).select(col(column)).distinct().limit(limit + 1)
     ).collect()
     if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} labels; pass levels")
+        raise ValueError(f"{column} has more than {limit} labels; pass levels or use label_counts")
     return sorted(row[0] for row in found)
 
 
 def score_summary(
-    votes: DataFrame, layout: VoteLayout, policy: str = "ranked"
+    votes: DataFrame,
+    layout: VoteLayout,
+    policy: str = "ranked",
+    decided: DataFrame | None = None,
 ) -> DataFrame:
     """One row: votes, groups, ties, clear groups, and two messages.
 
     Under ``ranked`` unlisted ratings tie as one; under the other policies
-    each label counts for itself.
+    each label counts for itself. ``decided`` is the policy's decisions, if at hand.
     """
-    if policy == "ranked":
+    if decided is None and policy == "ranked":
         decided = decide(votes, layout, carry=())
-    else:
+    elif decided is None:
         decided = decide_raw(votes, layout, policy, carry=())
     totals = decided.agg(
         F.coalesce(F.sum("votes"), F.lit(0)).alias("votes"),

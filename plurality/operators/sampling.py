@@ -22,11 +22,13 @@ def seeded_order(seed: int, row_key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *parts))
 
 
-def sample_rows(df: DataFrame, n: int, seed: int, row_key: Sequence[str]) -> DataFrame:
-    """``n`` rows without replacement."""
+def sample_rows(
+    df: DataFrame, n: int, seed: int, row_key: Sequence[str], number: str | None = None
+) -> DataFrame:
+    """``n`` rows without replacement; ``number`` names a column for 1..n as drawn."""
     lots = df.withColumn("_lot", seeded_order(seed, row_key))
-    drawn = indexing.first_rows(lots, ["_lot", *row_key], n, "_drawn")
-    return project(drawn, df.columns)
+    drawn = indexing.first_rows(lots, ["_lot", *row_key], n, number or "_drawn")
+    return project(drawn, [*df.columns, number] if number else df.columns)
 
 
 def draws(spark: SparkSession, n: int, k: int, seed: int) -> DataFrame:

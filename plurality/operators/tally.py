@@ -1,7 +1,11 @@
-"""The steps of scoring as tables of their own (policy ``ranked``).
+"""The steps of scoring as tables of their own.
 
-Rating labels are normalised first, so a group has at most one row per rating
-level and one for the NULL rating.
+Under policy ``ranked`` rating labels are normalised first, so a group has at most
+one row per rating level and one for the NULL rating. ``contenders`` and ``overall``
+take labels as they are.
+
+Fixed values: the names ``max_exists``, ``participant_priority``, ``value_priority``
+and ``group_index_`` of output columns.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.functions import col, label_at, rank_of
+from plurality.functions import col, comparable, label_at, rank_of
 from plurality.operators.consensus import decide, decide_raw, leaders, scoreboard
 from plurality.operators.indexing import number_rows
 from plurality.operators.relational import (
@@ -40,9 +44,14 @@ def top_values(votes: DataFrame, layout: VoteLayout) -> DataFrame:
     return flagged_counts(votes, layout).filter("max_exists")
 
 
-def tied_values(votes: DataFrame, layout: VoteLayout) -> DataFrame:
-    """The most frequent ratings of the groups that have several."""
-    tied = _flagged(votes, layout).filter("max_exists AND _leaders > 1")
+def tied_values(
+    votes: DataFrame, layout: VoteLayout, board: DataFrame | None = None
+) -> DataFrame:
+    """The most frequent ratings of the groups that have several.
+
+    ``board`` is a table with the scoreboard's counts, if it is at hand.
+    """
+    tied = _flagged(votes, layout, board).filter("max_exists AND _leaders > 1")
     return project(tied, [*layout.keys, layout.value, "vote_count"])
 
 
@@ -132,10 +141,16 @@ def winner_list(
 # -- raw labels --------------------------------------------------------------
 
 
-def tied_groups(votes: DataFrame, layout: VoteLayout) -> DataFrame:
-    """Keys of the tied groups and the vote count their ratings share."""
-    tied = decide_raw(votes, layout, "contenders", carry=()).filter("tied")
-    return tied.select(
+def tied_groups(
+    votes: DataFrame, layout: VoteLayout, decided: DataFrame | None = None
+) -> DataFrame:
+    """Keys of the tied groups and the vote count their ratings share.
+
+    ``decided`` is the result of :func:`decide_raw`, if it is at hand.
+    """
+    if decided is None:
+        decided = decide_raw(votes, layout, "contenders", carry=())
+    return decided.filter("tied").select(
         *[col(k) for k in layout.keys], col("max_votes").alias("vote_count")
     )
 
@@ -168,6 +183,54 @@ def tie_pool_contenders(
     return join_null_safe(valid, tied_ratings, on, "left_semi")
 
 
+_RAW_POOLS = {"contenders": tie_pool_contenders, "overall": tie_pool_overall}
+
+
+def raw_tie_rows(votes: DataFrame, layout: VoteLayout, policy: str) -> DataFrame:
+    """The votes that compete in a tie, with the priorities that decide it.
+
+    A role or rating without a rank has a NULL priority, which comes last.
+    """
+    return _RAW_POOLS[policy](votes, layout).withColumns(
+        {
+            "participant_priority": rank_of(col(layout.role), layout.strict_role_levels),
+            "value_priority": rank_of(col(layout.value), layout.value_levels),
+        }
+    )
+
+
+def raw_tie_breaks(votes: DataFrame, layout: VoteLayout, policy: str) -> DataFrame:
+    """The vote that decides every tied group, as :func:`tie_breaks`.
+
+    It is the first by role priority, value priority and file order.
+    """
+    rows = raw_tie_rows(votes, layout, policy)
+    priorities = ["participant_priority", "value_priority"]
+    vote = F.struct(
+        *comparable(rows, [*priorities, *layout.order]), col(layout.value), col(layout.role)
+    )
+    keys = [col(k) for k in layout.keys]
+    first = rows.groupBy(*keys).agg(F.min(vote).alias("_first"))
+    shown = [layout.value, layout.role, *priorities]
+    broken = first.select(*keys, *[col("_first").getField(c).alias(c) for c in shown])
+    groups = valid_votes(votes, layout).select(*keys).distinct()
+    index = number_rows(groups, layout.keys, "group_index")
+    ties = copy_column(join_null_safe(broken, index, layout.keys), "group_index", "group_index_")
+    return project(ties, ["group_index", *layout.keys, *shown, "group_index_"])
+
+
+def raw_winner_list(
+    votes: DataFrame, layout: VoteLayout, policy: str, numbered: bool = True
+) -> DataFrame:
+    """The agreed rating of every group, one row each; ``numbered`` as above."""
+    decided = project(
+        decide_raw(votes, layout, policy, carry=()), [*layout.keys, layout.value]
+    )
+    if not numbered:
+        return decided
+    return move_to_front(number_rows(decided, layout.keys, "group_index"), "group_index")
+
+
 def union_missing(votes: DataFrame, layout: VoteLayout) -> DataFrame:
     """Untied ratings with count and flag, and tie decisions without them."""
     decided = decide_raw(votes, layout, "overall", carry=())
@@ -179,7 +242,9 @@ def union_missing(votes: DataFrame, layout: VoteLayout) -> DataFrame:
     return append(untied, ties)
 
 
-def _flagged(votes: DataFrame, layout: VoteLayout) -> DataFrame:
+def _flagged(
+    votes: DataFrame, layout: VoteLayout, board: DataFrame | None = None
+) -> DataFrame:
     """Long form of the scoreboard's counts; ``_leaders`` ratings share the top.
 
     The counts of a group sit in one row, so maximum and ties are row-local:
@@ -187,7 +252,9 @@ def _flagged(votes: DataFrame, layout: VoteLayout) -> DataFrame:
     """
     slots = range(1, len(layout.value_levels) + 2)
     keys = [col(k) for k in layout.keys]
-    counted = scoreboard(votes, layout, carry=()).withColumn(
+    if board is None:
+        board = scoreboard(votes, layout, carry=())
+    counted = board.withColumn(
         "max_votes", F.greatest(*[col(f"n_{s}") for s in slots])
     )
     ratings = F.array(

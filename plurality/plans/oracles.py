@@ -167,11 +167,12 @@ drawn AS (
 
 _SAMPLE = f"""{_RANKED_STEPS},{_TIED_VOTES},
 sample AS (
-  SELECT * FROM pool
-  ORDER BY md5(concat_ws(':', '605', event_id, classroom_id, identifier,
-                         l_orderkey, l_linenumber, l_partkey)),
-           event_id, classroom_id, identifier, l_orderkey, l_linenumber, l_partkey
-  LIMIT 15)"""
+  SELECT *, row_number() OVER (
+    ORDER BY md5(concat_ws(':', '605', event_id, classroom_id, identifier,
+                           l_orderkey, l_linenumber, l_partkey)),
+             event_id, classroom_id, identifier, l_orderkey, l_linenumber, l_partkey)
+    AS check_number
+  FROM pool QUALIFY check_number <= 15)"""
 
 ORACLES: dict[str, str] = {
     "json_file_scan": "SELECT * FROM customer",
@@ -246,6 +247,8 @@ SELECT identifier,
        count(*) FILTER (WHERE value = 'Evident') AS "Evident",
        count(*) FILTER (WHERE value = 'Somewhat Evident') AS "Somewhat Evident",
        count(*) FILTER (WHERE value = 'Not Evident') AS "Not Evident",
+       count(*) FILTER (WHERE value NOT IN ('Evident', 'Somewhat Evident', 'Not Evident'))
+         AS "OTHER_",
        count(*) FILTER (WHERE value IS NULL) AS "NA_"
 FROM ({_consensus("ranked")}) GROUP BY identifier""",
     "crosstab_event": f"""
@@ -253,9 +256,22 @@ SELECT classroom_id,
        count(*) FILTER (WHERE value = 'Evident') AS "Evident",
        count(*) FILTER (WHERE value = 'Somewhat Evident') AS "Somewhat Evident",
        count(*) FILTER (WHERE value = 'Not Evident') AS "Not Evident",
+       count(*) FILTER (WHERE value NOT IN ('Evident', 'Somewhat Evident', 'Not Evident'))
+         AS "OTHER_",
        count(*) FILTER (WHERE value IS NULL) AS "NA_"
 FROM ({_consensus("ranked")})
 WHERE event_id = 2 AND identifier = 'F' GROUP BY classroom_id""",
+    "crosstab_contenders": f"""
+SELECT identifier,
+       count(*) FILTER (WHERE value = 'Evident') AS "Evident",
+       count(*) FILTER (WHERE value = 'Somewhat Evident') AS "Somewhat Evident",
+       count(*) FILTER (WHERE value = 'Not Evident') AS "Not Evident",
+       count(*) FILTER (WHERE value NOT IN ('Evident', 'Somewhat Evident', 'Not Evident'))
+         AS "OTHER_",
+       count(*) FILTER (WHERE value IS NULL) AS "NA_"
+FROM ({_consensus("contenders")}) GROUP BY identifier""",
+    "label_counts": f"""
+WITH {_RAW} SELECT event_id, value, count(*) AS n FROM raw GROUP BY event_id, value""",
     "score_summary": f"""
 {_RANKED_STEPS}
 SELECT votes, "groups", ties, "groups" - ties AS clear,
@@ -289,6 +305,30 @@ SELECT group_index, {_KEYS}, value, role, participant_priority, value_priority,
 {_RANKED_STEPS},{_TIED_VOTES},{_BREAKS},{_CLEAR}
 SELECT group_index, {_KEYS}, value, role FROM clear
 UNION ALL SELECT group_index, {_KEYS}, value, role FROM breaks""",
+    "tie_rows_contenders": f"""
+WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_VOTES}
+SELECT {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey,
+       participant_priority, value_priority FROM pool""",
+    "tie_breaks_contenders": f"""
+WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_VOTES},{_BREAKS}
+SELECT group_index, {_KEYS}, value, role, participant_priority, value_priority,
+       group_index AS group_index_ FROM breaks""",
+    "winner_list_contenders": f"""
+WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_VOTES},{_BREAKS}
+SELECT group_index, {_KEYS}, value FROM s3
+UNION ALL SELECT group_index, {_KEYS}, value FROM breaks""",
+    "tie_rows_overall": f"""
+WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_GROUPS}
+SELECT {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey,
+       participant_priority, value_priority FROM pool""",
+    "tie_breaks_overall": f"""
+WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_GROUPS},{_BREAKS}
+SELECT group_index, {_KEYS}, value, role, participant_priority, value_priority,
+       group_index AS group_index_ FROM breaks""",
+    "winner_list_overall": f"""
+WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_GROUPS},{_BREAKS}
+SELECT group_index, {_KEYS}, value FROM s3
+UNION ALL SELECT group_index, {_KEYS}, value FROM breaks""",
     "natural_semi": f"""
 WITH {_RAW},{_consensus_ctes("ranked")}
 SELECT {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey
@@ -312,15 +352,15 @@ UNION ALL SELECT {_KEYS}, value, NULL, NULL FROM breaks""",
         "ranked", "kept", before=", kept AS (SELECT * FROM raw WHERE event_id <> 75)"
     ),
     "audit_sample": f"""
-{_SAMPLE} SELECT {_KEYS}, value, role, l_orderkey, l_linenumber, l_partkey FROM sample""",
+{_SAMPLE} SELECT {_KEYS}, value, role, l_orderkey, l_linenumber, l_partkey, check_number
+FROM sample""",
     "audit_original": f"""
 {_SAMPLE}
-SELECT {_KEYS}, value, role FROM s0
-WHERE value IS NOT NULL AND group_index IN (SELECT group_index FROM sample)""",
+SELECT check_number, s0.event_id, s0.classroom_id, s0.identifier, s0.value, s0.role
+FROM s0 JOIN sample USING (group_index) WHERE s0.value IS NOT NULL""",
     "audit_clean": f"""
-SELECT {_KEYS}, value, role FROM ({_consensus("ranked")})
-WHERE (event_id, classroom_id, identifier) IN (
-  SELECT (event_id, classroom_id, identifier) FROM ({_SAMPLE} SELECT * FROM sample))""",
+SELECT check_number, {_KEYS}, c.value, c.role FROM ({_consensus("ranked")}) c
+JOIN ({_SAMPLE} SELECT check_number, {_KEYS} FROM sample) USING ({_KEYS})""",
     "cell_compare": f"""
 SELECT * FROM (
   SELECT {_KEYS}, role, value, 'votes' AS stage FROM (WITH {_RAW} SELECT * FROM raw)

@@ -53,9 +53,10 @@ def json_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The file's columns are in reverse; they are found by name."""
     suppliers = table(spark, sf_dir, "supplier")
     path = scratch_path(spark, "csv")
-    files.write_csv(suppliers, path)
+    files.write_csv(relational.project(suppliers, suppliers.columns[::-1]), path)
     return files.read_csv(spark, path, suppliers.schema)
 
 
@@ -279,6 +280,17 @@ def crosstab_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.crosstab(one, "classroom_id", "value", LAYOUT.value_levels)
 
 
+def crosstab_contenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw labels: those outside the levels are counted together."""
+    votes = raw_votes(spark, sf_dir)
+    scored = consensus.consensus(votes, LAYOUT, "contenders", carry=())
+    return reports.crosstab(scored, "identifier", "value", LAYOUT.value_levels)
+
+
+def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.label_counts(raw_votes(spark, sf_dir), "event_id", "value")
+
+
 def score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = reports.score_summary(raw_votes(spark, sf_dir), LAYOUT)
     return _long(summary, "votes", "groups", "ties", "clear")
@@ -323,6 +335,30 @@ def winner_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tally.winner_list(raw_votes(spark, sf_dir), LAYOUT)
 
 
+def tie_rows_contenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tally.raw_tie_rows(raw_votes(spark, sf_dir), LAYOUT, "contenders")
+
+
+def tie_rows_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tally.raw_tie_rows(raw_votes(spark, sf_dir), LAYOUT, "overall")
+
+
+def tie_breaks_contenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tally.raw_tie_breaks(raw_votes(spark, sf_dir), LAYOUT, "contenders")
+
+
+def tie_breaks_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tally.raw_tie_breaks(raw_votes(spark, sf_dir), LAYOUT, "overall")
+
+
+def winner_list_contenders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tally.raw_winner_list(raw_votes(spark, sf_dir), LAYOUT, "contenders")
+
+
+def winner_list_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tally.raw_winner_list(raw_votes(spark, sf_dir), LAYOUT, "overall")
+
+
 def natural_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = raw_votes(spark, sf_dir)
     winners = tally.winner_list(votes, LAYOUT, numbered=False)
@@ -416,6 +452,8 @@ QUERIES: dict[str, Query] = {
         freq_flag,
         crosstab_rating,
         crosstab_event,
+        crosstab_contenders,
+        label_counts,
         score_summary,
         row_ids,
         enum_sort,
@@ -425,6 +463,12 @@ QUERIES: dict[str, Query] = {
         tie_rows,
         tie_breaks,
         winner_list,
+        tie_rows_contenders,
+        tie_rows_overall,
+        tie_breaks_contenders,
+        tie_breaks_overall,
+        winner_list_contenders,
+        winner_list_overall,
         natural_semi,
         tie_pool_overall,
         tie_pool_contenders,

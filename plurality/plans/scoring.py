@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from plurality.operators.audit import Audit, audit_ties
-from plurality.operators.consensus import consensus
+from plurality.operators.consensus import POLICIES, consensus, decide, decide_raw
 from plurality.operators.indexing import number_rows
 from plurality.operators.nested import flatten_forms
 from plurality.operators.relational import move_to_front, project
 from plurality.operators.reports import score_summary
+from plurality.operators.tally import tied_groups, tied_values
 from plurality.schema import (
     FORM_LAYOUT,
     PAYLOAD_COLUMN,
@@ -22,6 +23,7 @@ from plurality.schema import (
     VOTE_COLUMNS,
     VoteLayout,
 )
+from plurality.session import materialise
 from plurality.sources.files import publish
 
 
@@ -38,10 +40,8 @@ def score_votes(
     the file order.
     """
     layout = _layout(order)
-    reported = [c for c in VOTE_COLUMNS if c != "participantId"]
-    attributes = [c for c in reported if c not in (*layout.keys, layout.role, layout.value)]
     table = project(votes, [*VOTE_COLUMNS, *layout.order])
-    scored = project(consensus(table, layout, policy, carry=attributes), reported)
+    scored = project(consensus(table, layout, policy, _attributes(layout)), _REPORTED)
     if not numbered:
         return scored
     return move_to_front(number_rows(scored, layout.keys, "group_index"), "group_index")
@@ -77,16 +77,39 @@ def score_and_publish(
 ) -> Scoring:
     """Score the rating table, publish it as view ``name``, and audit ``n`` ties.
 
-    The view exists before the audit runs, also when the audit refuses ``n``.
+    The votes are tallied once, into a table of one row per group, from which
+    ratings, summary and tied groups are read. The audit goes back to the votes for
+    the pool it samples and for its listing. The view exists before the audit runs,
+    also when the audit refuses ``n``.
     """
     layout = _layout(order)
-    clean = publish(score_votes(votes, policy, order), name)
-    summary = score_summary(votes, layout, policy)
+    table = project(votes, [*VOTE_COLUMNS, *layout.order])
+    attributes = _attributes(layout)
+    if policy == "ranked":
+        decided = decide(table, layout, attributes, counts=True)
+    elif policy in POLICIES:
+        decided = decide_raw(table, layout, policy, attributes)
+    else:
+        raise ValueError(f"unknown policy {policy!r}; choose one of {POLICIES}")
+    decided = materialise(decided, "decided")
+    scored = number_rows(project(decided, _REPORTED), layout.keys, "group_index")
+    clean = publish(move_to_front(scored, "group_index"), name)
+    summary = score_summary(votes, layout, policy, decided)
     audit = None
     if check:
-        audit = audit_ties(votes, layout, n, seed, clean, policy)
+        ranked = policy == "ranked"
+        tied = (tied_values if ranked else tied_groups)(votes, layout, decided)
+        audit = audit_ties(votes, layout, n, seed, clean, policy, tied)
     return Scoring(clean, summary, audit)
 
 
+_REPORTED = [c for c in VOTE_COLUMNS if c != "participantId"]
+
+
+def _attributes(layout: VoteLayout) -> list[str]:
+    """The reported columns that are neither key nor role nor rating."""
+    return [c for c in _REPORTED if c not in (*layout.keys, layout.role, layout.value)]
+
+
 def _layout(order: Sequence[str] | None) -> VoteLayout:
     return FORM_LAYOUT if order is None else replace(FORM_LAYOUT, order=tuple(order))

@@ -1,9 +1,19 @@
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from plurality import POLICIES, VoteLayout, consensus, decide, score_and_publish, score_summary, score_votes
+from plurality import (
+    FORM_LAYOUT,
+    POLICIES,
+    VoteLayout,
+    consensus,
+    decide,
+    score_and_publish,
+    score_summary,
+    score_votes,
+)
 from plurality.operators import tally
 from votes import EDGE, LAYOUT, E, N, S, frame, group, random_votes, score
 
@@ -204,3 +214,24 @@ def test_model_agrees_with_the_edge_answers():
         answers = score(EDGE, policy)
         found = [answers[k] for k in sorted(answers)]
         assert [(v, r, row) for r, v, _, row in found] == EDGE_ANSWERS[policy]
+
+
+@pytest.mark.parametrize("policy", POLICIES)
+def test_maps_are_carried(spark, policy):
+    df = frame(spark, EDGE).withColumn("notes", F.create_map(F.lit("row"), F.col("row")))
+    for r in consensus(df, LAYOUT, policy).collect():
+        assert r.notes == {"row": r.row}
+    inside = df.withColumn("notes", F.struct("notes"))
+    with pytest.raises(ValueError, match="notes has a map inside"):
+        consensus(inside, LAYOUT, policy)
+
+
+@pytest.mark.parametrize("policy", POLICIES)
+def test_published_ratings_are_those_of_scoring(spark, policy):
+    rows = random_votes(11, 300)
+    df = full_table(spark, rows)
+    run = score_and_publish(df, "clean_random", n=1, policy=policy, order=["row"])
+    alone = score_votes(df, policy, order=["row"])
+    assert sorted(run.clean.collect(), key=str) == sorted(alone.collect(), key=str)
+    given = score_summary(df, replace(FORM_LAYOUT, order=("row",)), policy)
+    assert run.summary.collect() == given.collect()

@@ -16,6 +16,7 @@ from plurality import (
     frequencies,
     group_index,
     join_null_safe,
+    label_counts,
     lookup,
     move_to_front,
     natural_semi,
@@ -211,11 +212,24 @@ def test_audit_shows_whole_groups_beside_their_rating(spark, seed):
     audit = audit_ties(df, LAYOUT, n=ties, seed=seed)
     sampled = {tuple(r[k] for k in KEYS) for r in audit.sample.collect()}
     answers = score(rows, "ranked")
-    assert {tuple(r) for r in audit.clean.collect()} == {
+    assert {tuple(r)[1:] for r in audit.clean.collect()} == {
         (*key, answers[key][1], answers[key][0]) for key in sampled
     }
-    listed = [v for v in rows if v[1:4] in sampled and v[5] in (E, S, N)]
-    assert audit.original.count() == len(listed)
+    listed = {v[0]: v for v in rows if v[5] in (E, S, N)}
+    checks = {r.check_number: tuple(r[k] for k in KEYS) for r in audit.sample.collect()}
+    assert sorted(checks) == list(range(1, ties + 1))
+    # A group that was sampled twice is listed under both numbers.
+    expected = [
+        (number, *key, v[5], v[4])
+        for number, key in checks.items()
+        for v in listed.values()
+        if v[1:4] == key
+    ]
+    found = [tuple(r)[:5] for r in audit.original.collect()]
+    assert Counter(found) == Counter(e[:5] for e in expected)
+    assert {(r.check_number, *[r[k] for k in KEYS]) for r in audit.clean.collect()} == {
+        (number, *key) for number, key in checks.items()
+    }
     given = audit_ties(df, LAYOUT, n=ties, seed=seed, scored=consensus(df, LAYOUT))
     assert sorted(given.clean.collect(), key=str) == sorted(audit.clean.collect(), key=str)
 
@@ -241,11 +255,12 @@ def test_audit_of_raw_labels(spark, policy):
     assert {r.row for r in audit.sample.collect()} <= pool
     sampled = {tuple(r[k] for k in KEYS) for r in audit.sample.collect()}
     answers = score(rows, policy)
-    assert {tuple(r) for r in audit.clean.collect()} == {
+    assert {tuple(r)[1:] for r in audit.clean.collect()} == {
         (*key, answers[key][1], answers[key][0]) for key in sampled
     }
+    checks = {r.check_number: tuple(r[k] for k in KEYS) for r in audit.sample.collect()}
     assert sorted(map(tuple, audit.original.collect()), key=str) == sorted(
-        ((*v[1:4], v[5], v[4]) for key in sampled for v in groups[key]), key=str
+        ((c, *v[1:4], v[5], v[4]) for c, key in checks.items() for v in groups[key]), key=str
     )
     summary = score_summary(df, LAYOUT, policy).first()
     assert (summary.groups, summary.ties) == (len(groups), len(tied))
@@ -272,15 +287,29 @@ def test_frequencies_skip_null(spark):
 def test_crosstab_shows_every_level_and_null(spark):
     rows = [(1, 1, 1, "a", "teacher", E), (2, 1, 1, "b", "teacher", None), (3, 1, 1, None, "x", S)]
     table = crosstab(frame(spark, rows), "identifier", "value", (E, S, N))
-    assert table.columns == ["identifier", E, S, N, "NA_"]
+    assert table.columns == ["identifier", E, S, N, "OTHER_", "NA_"]
     assert {tuple(r) for r in table.collect()} == {
-        ("a", 1, 0, 0, 0), ("b", 0, 0, 0, 1), (None, 0, 1, 0, 0)
+        ("a", 1, 0, 0, 0, 0), ("b", 0, 0, 0, 0, 1), (None, 0, 1, 0, 0, 0)
     }
     assert crosstab(frame(spark, rows), "identifier", "value").columns == [
-        "identifier", E, S, "NA_"
+        "identifier", E, S, "OTHER_", "NA_"
     ]
 
 
+def test_crosstab_counts_labels_that_are_no_level(spark):
+    labels = [("a", E), ("a", "Maybe"), ("a", None), ("b", "Maybe")]
+    df = spark.createDataFrame(labels, "k string, v string")
+    assert {tuple(r) for r in crosstab(df, "k", "v", (E, S, N)).collect()} == {
+        ("a", 1, 0, 0, 1, 1), ("b", 0, 0, 0, 1, 0)
+    }
+    assert {tuple(r) for r in label_counts(df, "k", "v").collect()} == {
+        ("a", E, 1), ("a", "Maybe", 1), ("a", None, 1), ("b", "Maybe", 1)
+    }
+    for name in ("OTHER_", "NA_"):
+        with pytest.raises(ValueError, match=name):
+            crosstab(df, "k", "v", (E, name))
+
+
 def test_crosstab_label_limit(spark):
     spark.conf.set("spark.sql.pivotMaxValues", "2")
     try:

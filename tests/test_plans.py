@@ -98,7 +98,11 @@ def test_filters_reach_the_scan(settings, votes):
 
 def test_samples_are_not_a_global_sort(votes):
     df = sample_rows(votes, 5, seed=1, row_key=["row"])
-    assert "TakeOrderedAndProject" in plan(df) and shuffles(df) == 0
+    text = plan(df)
+    # Map tasks and then buckets keep their first rows before one task orders the rest.
+    assert "rangepartitioning" not in text and shuffles(df) == 1
+    limits = re.findall(r"WindowGroupLimit \[(\w*)#?\w*\].*?(Partial|Final)", text)
+    assert {kind for bucket, kind in limits if bucket == "_bucket"} == {"Partial", "Final"}
 
 
 def test_numbering_gathers_only_partition_sizes(votes):

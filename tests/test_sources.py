@@ -96,6 +96,29 @@ def test_csv_with_a_bad_number(spark, tmp_path):
     assert [tuple(r) for r in forgiving.collect()] == [(1, "a"), (None, "b")]
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    schema = T.StructType.fromDDL("a long, b string")
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "one.csv").write_text('"",b,more,a\n1,x,m,7\n2,NA,m,8\n')
+    rows = read_csv(spark, str(folder), schema)
+    assert rows.schema == schema
+    assert sorted(map(tuple, rows.collect())) == [(7, "x"), (8, None)]
+    assert sorted(r.a for r in rows.select("a").collect()) == [7, 8]
+    with pytest.raises(ValueError, match="no column c"):
+        read_csv(spark, str(folder), T.StructType.fromDDL("a long, c string"))
+    (folder / "two.csv").write_text('a,b,more,c\n7,x,m,1\n')
+    with pytest.raises(Exception, match="(?i)header"):
+        read_csv(spark, str(folder), schema).collect()
+
+
+def test_csv_without_rows(spark):
+    empty = spark.createDataFrame([], "a long, b string")
+    path = scratch_path(spark, "test")
+    write_csv(empty, path)
+    assert read_csv(spark, path, empty.schema).collect() == []
+
+
 def field(identifier, value, name="f01", **more):
     return {"identifier": identifier, "name": name, "subtext": "q", "value": value, **more}
 
@@ -149,7 +172,10 @@ def test_json_lines_round_trip(spark):
 BAD = [form(13, "teacher", '[{"focusGroup": "a", "fields": ['),
        form(14, "teacher", '[{"focusGroup": "a", "fields": "none"}]'),
        form(16, "teacher", "[] and more"), form(17, "teacher", "[]} {"),
-       form(18, "teacher", ""), form(19, "teacher", "{}")]
+       form(18, "teacher", ""), form(19, "teacher", "{}"),
+       form(20, "teacher", '[],"x":1'),
+       form(21, "teacher", '[],"_body":[{"focusGroup":"INJ","fields":[]}]'),
+       form(22, "teacher", '[],"_end":true} {"x":1'), form(23, "teacher", "[],[]")]
 
 
 @pytest.mark.parametrize("bad", BAD)
@@ -163,7 +189,7 @@ def test_malformed_payload_as_reject(spark):
     empty = form(15, "teacher", "[]", **{PAYLOAD_COLUMN: None})
     forms = spark.createDataFrame([*FORMS, *BAD, empty], FORM_SCHEMA)
     good, rejects = split_json_rejects(forms, PAYLOAD_COLUMN, SECTIONS_SCHEMA)
-    assert sorted(r.walkthroughid for r in rejects.collect()) == [13, 14, 16, 17, 18, 19]
+    assert sorted(r.walkthroughid for r in rejects.collect()) == [13, 14, *range(16, 24)]
     assert rejects.schema == forms.schema
     assert sorted(r.walkthroughid for r in good.collect()) == [10, 11, 12, 15]
     strict = parse_json(
@@ -191,7 +217,7 @@ def test_forms_to_report(spark, tmp_path):
     assert run.summary.first().ties == 1 and run.audit.clean.count() == 1
     one = lookup(run.clean, schoolname="Oak", eventname="Visit 1/2")
     report = crosstab(one, "subtext", "value", (E, S, N)).collect()
-    assert [tuple(r) for r in report] == [("q", 0, 1, 1, 0)]
+    assert [tuple(r) for r in report] == [("q", 0, 1, 1, 0, 0)]
     out = scratch_path(spark, "test")
     write_csv(run.clean, out, row_numbers=["group_index"])
     schema = T.StructType([T.StructField("_c0", T.LongType()), *run.clean.schema.fields])
