@@ -169,13 +169,16 @@ def decide_raw(
     layout: VoteLayout,
     policy: str,
     carry: Sequence[str] | None = None,
+    breaks: bool = False,
 ) -> DataFrame:
     """As :func:`decide`, for labels taken as they are.
 
     Ratings are not limited to the level list here, so the votes are folded
     to one row per (group, rating) first and to one row per group after.
     Columns: keys, ``votes``, ``tied``, ``max_votes`` (of any rating), role, value,
-    ``vote_count`` (of the chosen rating), carried columns.
+    ``vote_count`` (of the chosen rating), carried columns, and with ``breaks`` the
+    role (``deciding_role``) and the priorities of the vote that breaks a tie, NULL
+    for labels without a rank.
     """
     carried = _carried(votes, layout, carry)
     value = col(layout.value)
@@ -187,11 +190,12 @@ def decide_raw(
         rank_of(col(layout.role), layout.strict_role_levels, default=no_role),
     )
     in_order = comparable(ballots, layout.order)
+    deciding = [col(layout.role).alias("deciding_role")] if breaks else []
     ratings = (
         ballots.groupBy(*_sorting_keys(layout), value)
         .agg(
             F.count("*").alias("vote_count"),
-            F.min(F.struct(col("_role_priority"), *in_order)).alias("senior"),
+            F.min(F.struct(col("_role_priority"), *in_order, *deciding)).alias("senior"),
             F.min(
                 F.struct(
                     *in_order,
@@ -231,6 +235,16 @@ def decide_raw(
         return F.when(col("tied"), col("_foremost").getField(field)).otherwise(leading)
 
     first = chosen("first")
+    broken = []
+    if breaks:
+        ranks = {"role_priority": no_role, "_value_priority": no_value}
+        broken = [
+            chosen("senior").getField("deciding_role").alias("deciding_role"),
+            *[
+                F.when(chosen(name) < no_rank, chosen(name)).alias(name.lstrip("_"))
+                for name, no_rank in ranks.items()
+            ],
+        ]
     return (
         ratings.groupBy(*_sorting_keys(layout))
         .agg(*aggregates)
@@ -244,6 +258,7 @@ def decide_raw(
             chosen("value").alias(layout.value),
             chosen("vote_count").alias("vote_count"),
             *[_unpacked(votes, first, c) for c in carried],
+            *broken,
         )
     )
 

@@ -43,9 +43,9 @@ def _read_json(
     """Add ``_body``, the parsed text, and ``_whole``, true if it is one value.
 
     The parser stops after the first complete value, so the text is put into
-    an object with a field behind it. That field holds the text's digest, which
-    the text itself cannot hold, so the object did not end inside the text; and
-    the object has no other fields, so the text added none. ``inline`` makes
+    an object with a field behind it. That field holds the text's digest: the
+    object did not end inside the text, which would have to hold its own digest.
+    And the object has no other fields, so the text added none. ``inline`` makes
     the results columns that later filters use as they are; on a plain
     expression Spark would repeat the parsing in every filter.
     """
@@ -56,10 +56,12 @@ def _read_json(
             T.StructField("_corrupt", T.StringType()),
         ]
     )
-    digest = F.sha2(col(source), 256)
-    text = F.concat(F.lit('{"_body":'), col(source), F.lit(',"_end":"'), digest, F.lit('"}'))
+    digest = F.md5(col(source))
+    opened = F.concat(F.lit('{"_body":'), col(source))
+    text = F.concat(opened, F.lit(',"_end":"'), digest, F.lit('"}'))
     parsed = df.select("*", F.inline(F.array(F.from_json(text, wrapper, options))))
-    only = F.json_object_keys(text) == F.array(F.lit("_body"), F.lit("_end"))
+    fields = F.json_object_keys(F.concat(opened, F.lit(',"_end":0}')))
+    only = fields == F.array(F.lit("_body"), F.lit("_end"))
     whole = F.struct((only & (col("_end") == digest)).alias("_whole"))
     return parsed.select("*", F.inline(F.array(whole)))
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.functions import col, comparable, label_at, rank_of
+from plurality.functions import col, label_at, rank_of
 from plurality.operators.consensus import decide, decide_raw, leaders, scoreboard
 from plurality.operators.indexing import number_rows
 from plurality.operators.relational import (
@@ -204,18 +204,16 @@ def raw_tie_breaks(votes: DataFrame, layout: VoteLayout, policy: str) -> DataFra
 
     It is the first by role priority, value priority and file order.
     """
-    rows = raw_tie_rows(votes, layout, policy)
-    priorities = ["participant_priority", "value_priority"]
-    vote = F.struct(
-        *comparable(rows, [*priorities, *layout.order]), col(layout.value), col(layout.role)
+    decided = decide_raw(votes, layout, policy, carry=(), breaks=True)
+    ties = number_rows(decided, layout.keys, "group_index").filter("tied")
+    ties = ties.withColumns(
+        {
+            layout.role: col("deciding_role"),
+            "participant_priority": col("role_priority"),
+            "group_index_": col("group_index"),
+        }
     )
-    keys = [col(k) for k in layout.keys]
-    first = rows.groupBy(*keys).agg(F.min(vote).alias("_first"))
-    shown = [layout.value, layout.role, *priorities]
-    broken = first.select(*keys, *[col("_first").getField(c).alias(c) for c in shown])
-    groups = valid_votes(votes, layout).select(*keys).distinct()
-    index = number_rows(groups, layout.keys, "group_index")
-    ties = copy_column(join_null_safe(broken, index, layout.keys), "group_index", "group_index_")
+    shown = [layout.value, layout.role, "participant_priority", "value_priority"]
     return project(ties, ["group_index", *layout.keys, *shown, "group_index_"])
 
 
