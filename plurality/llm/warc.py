@@ -4,9 +4,10 @@ A capture is three records: a request, the response (or a revisit that refers to
 an equal response) and a metadata record, the first and last naming the second in
 ``WARC-Concurrent-To``. Records are text lines whose separator is the end of a
 record, so Spark's text writer and reader make and split the archives on any
-store. Reading cuts where a record's end is followed by the next version line. A
-payload that contains that very string is sent in chunks that break it, so a
-record never holds it. Assembly joins the three kinds by record id and gives one
+store. Reading cuts at the version line and the name of the first header, which is
+``WARC-Type`` in every record. A payload that contains that very string is sent in
+chunks that break it, so a record never holds it. A record that is not as long as
+it states fails the read. Assembly joins the three kinds by record id and gives one
 nested row per capture.
 
 Results for odd input: a NULL payload is empty; NULL ids and addresses are left
@@ -30,8 +31,11 @@ RECORD_END = CRLF * 2
 REVISIT_PROFILE = (
     "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 )
-# What separates two records in a file.
-_CUT = f"{RECORD_END}{VERSION}{CRLF}"
+# How a record starts, and where the reader cuts. The reader does not go back over a
+# buffer's edge when a partial match fails, so no part of this string may be pending
+# at a record's end: it holds no record end and cannot overlap itself.
+_FIRST_HEADER = "WARC-Type: "
+_CUT = f"{VERSION}{CRLF}{_FIRST_HEADER}"
 # Where a chunk ends inside that string.
 _HEAD, _TAIL = _CUT[:6], _CUT[6:]
 # All records carry one date: an archive depends on its input alone.
@@ -208,11 +212,9 @@ def write_archives(rows: DataFrame, path: str) -> None:
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """``type``, ``headers`` (name in lower case, value) and ``block`` of every record."""
     cut = spark.read.option("lineSep", _CUT).text(path)
-    # The first record of a file still has its version line; the last its end.
-    raw = F.regexp_replace("value", rf"\A{VERSION}{CRLF}", "")
-    at = F.locate(RECORD_END, raw)
-    head = F.substr(raw, F.lit(1), at - 1)
-    rest = F.substr(raw, at + len(RECORD_END))
+    at = F.locate(RECORD_END, F.col("value"))
+    head = F.concat(F.lit(_FIRST_HEADER), F.substr("value", F.lit(1), at - 1))
+    rest = F.substr("value", at + len(RECORD_END))
     pairs = F.transform(
         F.split(head, CRLF),
         lambda line: F.struct(
@@ -220,13 +222,16 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             F.trim(F.substr(line, F.locate(":", line) + 1)).alias("value"),
         ),
     )
+    # What stands before the first record of a file is empty.
     split = cut.filter("value <> ''").select(
         pairs.alias("headers"), rest.alias("rest")
     )
-    size = header("content-length").cast("int")
-    # The length is in bytes; what exceeds it is the last record's end.
-    extra = F.octet_length("rest") - size
-    block = F.substr("rest", F.lit(1), F.length("rest") - extra)
+    # The length is in bytes, and the record's end follows.
+    size = header("content-length").cast("bigint") + len(RECORD_END)
+    whole = F.octet_length("rest").eqNullSafe(size)
+    inner = F.substr("rest", F.lit(1), F.length("rest") - len(RECORD_END))
+    broken = F.concat(F.lit("a record is not as long as it states: "), F.col("headers").cast("string"))
+    block = F.when(whole, inner).otherwise(F.raise_error(broken))
     return split.select(
         header("warc-type").alias("type"), "headers", block.alias("block")
     )

@@ -368,6 +368,33 @@ def test_warc_round_trip(spark):
         assert (r["record_type"], r["refers_to"]) == (kind, None if kind == "response" else best)
 
 
+def test_warc_reads_every_record_of_a_large_archive(spark):
+    """Over many reader buffers: small pages, html that ends like a record or holds the cut."""
+    n = 120_000
+    ends = F.array(*[F.lit(x) for x in ("", "\r\n", "\r\n\r\n", "\r\n\r\nWARC/1.1", "WARC/1.1\r\nWARC-Type: x")])
+    html = F.concat(F.lit("<p>"), F.col("id").cast("string"), F.get(ends, (F.col("id") % 5).cast("int")))
+    url = F.concat(F.lit("http://h/"), F.col("id").cast("string"), F.lit("/WARC/1.1"))
+    pages = spark.range(0, n, 1, 1).select(F.col("id").alias("page_id"), url.alias("url"), html.alias("html"))
+    path = scratch_path(spark, "warc")
+    warc.write_archives(warc.captures(pages).coalesce(1), path)
+    read = warc.read_records(spark, path)
+    assert {r["type"]: r["count"] for r in read.groupBy("type").count().collect()} == {
+        "request": n, "response": n, "metadata": n
+    }
+    found = warc.transactions(read).select("response.payload", "request", "metadata.page_id")
+    right = found.join(pages, "page_id").filter("payload = html and request is not null")
+    assert right.count() == n
+
+
+def test_warc_refuses_a_record_of_another_length(spark):
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    path = scratch_path(spark, "warc")
+    longer = warc.records(warc.captures(pages)).select(F.concat("value", F.lit("glued")).alias("value"))
+    longer.write.option("lineSep", warc.RECORD_END).text(path)
+    with pytest.raises(Exception, match="not as long as it states"):
+        warc.read_records(spark, path).collect()
+
+
 def test_warc_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     path = scratch_path(spark, "warc")
