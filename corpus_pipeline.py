@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plurality.functions import col
 from plurality.llm import langid, mixing, packing, secret_scan, simhash
 from plurality.session import materialise
 
@@ -27,12 +28,29 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group, once."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = first.select(F.col("doc_id").alias("_id")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_id"))
-    return docs.join(chosen, same, "left_semi").dropDuplicates(["doc_id"])
+    """Keep the document with the smallest id of each group, once.
+
+    Groups are told apart by their root fingerprint and documents by id and text, so
+    NULL and repeated ids lose nothing; a group without ids keeps one document. Rows
+    with equal id and text are told apart by their other columns.
+    """
+    # Unambiguous: a fixed-width digest or a dash, then a sign in front of the text.
+    key = F.sha2(
+        F.concat(
+            F.coalesce(F.sha2(F.col("doc_id").cast("string"), 256), F.lit("-")),
+            F.coalesce(F.concat(F.lit("+"), F.col("text")), F.lit("-")),
+        ),
+        256,
+    )
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
+    first = simhash.members(docs, key).groupBy("root").agg(F.min(order).alias("first"))
+    others = [col(c) for c in docs.columns if c != "text"]
+    rows = docs.select(
+        key.alias("key"), F.struct("*").alias("row"), F.to_json(F.struct(*others)).alias("rest")
+    )
+    # Repeats are folded before the join, so a common row is no hot key.
+    single = rows.groupBy("key").agg(F.min_by("row", "rest").alias("row"))
+    return single.join(first.select("first.key"), "key").select("row.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

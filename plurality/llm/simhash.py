@@ -85,11 +85,33 @@ def near_duplicates(
     Fingerprints link at ``max_bits`` (0, 1 or 2) differing bits or fewer;
     ``component_id`` is the smallest id reachable over links.
     """
+    return members(docs, F.lit(None), text, doc_id, shingle, max_bits).select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), BITS // 4, "0").alias("fingerprint"),
+        "component_id",
+    )
+
+
+def members(
+    docs: DataFrame,
+    key: Column,
+    text: str = "text",
+    doc_id: str = "doc_id",
+    shingle: int = 3,
+    max_bits: int = 2,
+) -> DataFrame:
+    """One row per document: ``doc_id``, ``key``, ``fp``, ``root``, ``component_id``.
+
+    ``root`` is the group's smallest fingerprint: it tells groups apart where ids are
+    NULL or repeated.
+    """
     if max_bits not in (0, 1, 2):
         raise ValueError("max_bits must be 0, 1 or 2")
     hashed = materialise(
         docs.select(
-            col(doc_id).alias("doc_id"), fingerprint_of(col(text), shingle).alias("fp")
+            col(doc_id).alias("doc_id"),
+            key.cast("string").alias("key"),
+            fingerprint_of(col(text), shingle).alias("fp"),
         ),
         "fingerprints",
     )
@@ -99,12 +121,8 @@ def near_duplicates(
         "root", F.coalesce("root", "fp")
     )
     named = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = labelled.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return hashed.join(classes, "fp").select(
-        "doc_id",
-        F.lpad(F.lower(F.hex("fp")), BITS // 4, "0").alias("fingerprint"),
-        "component_id",
-    )
+    classes = labelled.select("fp", "root").join(named, "root")
+    return hashed.join(classes, "fp")
 
 
 def pivot_fingerprints(count: int = PIVOTS, seed: int = PIVOT_SEED) -> list[int]:

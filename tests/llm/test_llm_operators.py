@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from plurality.llm import (
@@ -107,6 +108,26 @@ def test_simhash_odd_rows(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_stage_keeps_one_document_of_every_group(spark):
+    """Groups, not ids, decide: NULL and repeated ids with different texts."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(8)]
+    rows = [(None, texts[i]) for i in (0, 1, 2, 2)]
+    rows += [(7, texts[3]), (7, texts[4]), (7, texts[4]), (8, texts[4]), (9, texts[5]), (None, texts[5])]
+    rows += [(10, None), (11, ""), (12, texts[6]), (12, texts[6])]
+    lines = [(i, t, "en", f"s{n % 3}", "f", n) for n, (i, t) in enumerate(rows)]
+    docs = spark.createDataFrame(lines, DOCS)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]),
+            (9, texts[5]), (10, None), (12, texts[6])]
+    found = sorted(got.collect(), key=str)
+    assert sorted(((r["doc_id"], r["text"]) for r in found), key=str) == sorted(want, key=str)
+    assert {tuple(r) for r in found} <= set(lines)
+    again = corpus_pipeline.near_duplicates(spark, docs.repartition(5), "")
+    assert sorted(again.collect(), key=str) == found
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(400)], "a bigint, b bigint")
     roots = simhash.components(edges).collect()
