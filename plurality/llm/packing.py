@@ -15,6 +15,7 @@ no rows. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -46,8 +47,8 @@ class WordIds(dict):
     """Ids (little-endian unsigned 32-bit) of white-space-free words, found on demand.
 
     The vocabulary's splitting never joins characters across white space, and a
-    letter never joins with a following full stop or comma, so the ids of a text
-    are those of its words in turn.
+    letter that stays one letter when normalised never joins with a following full
+    stop or comma, so the ids of a text are those of its words in turn.
     """
 
     def __init__(self, encoder: Tokenizer):
@@ -62,7 +63,7 @@ class WordIds(dict):
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(b".,")
         text = word.decode()
-        if len(stem) < len(word) and stem and stem.decode()[-1].isalpha():
+        if len(stem) < len(word) and stem and _stays_letter(stem.decode()[-1]):
             found = self[stem] + self[word[len(stem) :]]
         elif text.isalpha() and text == text.lower() and is_normalized("NFC", text):
             # One letter run: nothing to normalise or split.
@@ -83,7 +84,22 @@ class WordIds(dict):
         raw = (text or "").encode()
         if b"<|" in raw:
             return self.whole(text)
-        return b"".join(map(self.__getitem__, raw.lower().split()))
+        if _CAPITAL_BEFORE_OTHER.search(raw):
+            # Normalising comes before lower case: a mark may join with the capital.
+            words = [w.lower() if w.isascii() else w for w in raw.split()]
+        else:
+            words = raw.lower().split()
+        return b"".join(map(self.__getitem__, words))
+
+
+# Only what is not ASCII can join with a letter in front of it.
+_CAPITAL_BEFORE_OTHER = re.compile(rb"[A-Z][\x80-\xff]")
+
+
+def _stays_letter(c: str) -> bool:
+    """Whether normalising and lower case leave one letter."""
+    lower = c.lower()
+    return c.isalpha() and is_normalized("NFC", c) and len(lower) == 1 and lower.isalpha()
 
 
 def _packed(ids: list[int]) -> bytes:

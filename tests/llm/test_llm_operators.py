@@ -4,6 +4,8 @@ import base64
 import hashlib
 import math
 import random
+import string
+import unicodedata
 
 import corpus_pipeline
 import numpy as np
@@ -322,6 +324,23 @@ def test_word_ids_equal_the_tokenizer():
         assert np.frombuffer(words.of(text), "<u4").tolist() == want
 
 
+def test_word_ids_equal_the_tokenizer_for_all_letters_and_marks():
+    import public_tokenizers
+
+    words = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    characters = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    letters = [c for c in characters if c.isalpha()]
+    marks = [c for c in characters if unicodedata.category(c)[0] == "M"]
+    texts = [f"{c}." for c in letters] + [f"a{c}, " for c in letters]
+    texts += [a + m for a in string.ascii_uppercase for m in marks]
+    texts += ["H\u05b0\u0331", "xH\u0331.", "GELDİ. Gel", "बड़, \u0958,"]
+    for at in range(0, len(texts), 20_000):
+        part = texts[at : at + 20_000]
+        want = [e.ids for e in words.encoder.encode_batch(part, add_special_tokens=False)]
+        got = [np.frombuffer(words.of(t), "<u4").tolist() for t in part]
+        assert [t for t, a, b in zip(part, got, want) if a != b] == []
+
+
 # Main text
 
 
