@@ -4,8 +4,10 @@ Every whole text is scanned twice. Three patterns (assignments to telling names,
 access keys, long hexadecimal runs) give the base spans. The lexer reads source and
 configuration syntax into (name, literal) pairs: ``name = "literal"``, ``name:
 literal``, ``"name": "literal"``, ``name => literal``, ``<name>literal</name>``,
-with ``+`` joining literals and names standing for what was assigned to them
-before. A literal whose name, or whose holder's name, is sensitive is scored by
+``x["name"] = "literal"``, ``name: type = "literal"``, ``var name type = "literal"``,
+``<add key="name" value="literal"/>`` and YAML block scalars; literals may be in
+single, double, triple or back quotes, with ``+`` joining them and names standing for
+what was assigned to them before. A literal whose name, or whose holder's name, is sensitive is scored by
 name, length, character classes and entropy; above a threshold its span is added
 under the kind ``named``. Base spans are never removed.
 
@@ -78,19 +80,47 @@ PLACEHOLDERS = re.compile(
 )
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*"
-# One lexer rule per kind of token that matters; white space of one line only.
+# One lexer rule per kind of token that matters; white space of one line only. A name
+# may end a subscript or be an array.
 _PAIR = re.compile(
     rf"(?<![A-Za-z0-9_.-])(?P<quote>[\"']?)(?P<name>{_NAME})(?P=quote)[ \t]*"
-    rf"(?P<op>:=|=>|==?|:)[ \t]*(?=[\"'A-Za-z0-9+/_$%<{{*.-])",
+    r"(?:\][ \t]*)?(?:\[[0-9]*\][ \t]*)?"
+    r"(?P<op>:=|=>|==?|:)[ \t]*(?=[\"'`A-Za-z0-9+/_$%<{*.&|>-])",
     re.ASCII,
 )
+_ATOM = (
+    r"(?:&(?:'[a-z_]+[ \t]+)?(?:mut[ \t]+)?|\*)?"
+    r"[A-Za-z_][A-Za-z0-9_]*(?:(?:\.|::)[A-Za-z_][A-Za-z0-9_]*)*"
+    r"(?:<[^\n=;{}()\"]{0,80}>|\[[^\n=;{}()]{0,80}\])?[?!]?"
+)
+_SET = r"[ \t]*=(?![=>])[ \t]*(?=[\"'`A-Za-z0-9+/_$%<{*.-])"
+# A type behind the name's colon, up to the literal; and one without a colon.
+_TYPE = re.compile(rf"{_ATOM}(?:[ \t]*\|[ \t]*{_ATOM}){{0,5}}{_SET}", re.ASCII)
+_DECLARED = re.compile(rf"\b(?:var|const)[ \t]+(?P<name>{_NAME})[ \t]+{_ATOM}{_SET}", re.ASCII)
 _ELEMENT = re.compile(rf"<(?P<name>{_NAME})>(?P<value>[^<>\n]+)</(?P=name)>", re.ASCII)
+# An element with attributes, and its text if nothing else is in it.
+_TAG = re.compile(
+    r"<[A-Za-z][\w:.-]*(?P<attrs>(?:\s+[A-Za-z_][\w:.-]*\s*=\s*(?:\"[^\"<]*\"|'[^'<]*'))+)"
+    r"(?:\s*>(?P<text>[^<>]+)</)?",
+    re.ASCII,
+)
+_ATTRIBUTE = re.compile(
+    r"(?P<name>[A-Za-z_][\w:.-]*)\s*=\s*(?P<q>[\"'])(?P<value>(?:(?!(?P=q)).)*)(?P=q)",
+    re.ASCII | re.S,
+)
+_NAMING = frozenset({"key", "name", "id", "property"})
 _OPERAND = re.compile(
-    rf"(?:[rbuf]?(?P<q>[\"'])(?P<text>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"
+    r"(?:[rbuf]{0,2}(?P<q3>\"\"\"|'{3})(?P<text3>(?s:.*?))(?P=q3)"
+    r"|(?P<back>`)(?P<textb>(?s:\\.|[^`\\])*)`"
+    r"|[rbuf]?(?P<q>[\"'])(?P<text>(?:\\.|(?!(?P=q))[^\\\n])*)(?P=q)"
     r"|(?P<bare>[A-Za-z0-9+/_.=$%-]+))",
     re.ASCII,
 )
-_PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'A-Za-z_])")
+_QUOTED = re.compile(r"[rbuf]{0,2}[\"'`]")
+_BLOCK = re.compile(r"[|>][+0-9-]{0,2}[ \t]*(?:#[^\n]*)?\r?\n")
+_BEFORE_KEY = re.compile(r"[ \t-]*[\"']?\Z")
+_LINE = re.compile(r"(?P<indent>[ \t]*)(?P<text>[^\n]*?)[ \t\r]*(?:\n|\Z)")
+_PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'`A-Za-z_])")
 _IDENTIFIER = re.compile(rf"{_NAME}\Z", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", re.ASCII)
 
@@ -102,27 +132,76 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
     stands for the literal that it was last assigned.
     """
     constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    for m in _PAIR.finditer(text):
-        if m["op"] == "==":
-            continue
-        literal, spans, at = "", [], m.end()
-        while operand := _OPERAND.match(text, at):
-            inner = "text" if operand["q"] else "bare"
-            part = operand[inner]
-            place = [(operand.start(inner), operand.end(inner))]
-            if inner == "bare" and part in constants:
-                part, place = constants[part]
-            literal += part
-            spans = spans + place
-            plus = _PLUS.match(text, operand.end())
-            if not plus:
-                break
-            at = plus.end()
-        if spans:
-            constants[m["name"]] = (literal, spans)
-            yield m["name"], literal, spans
+    found = [m for m in _PAIR.finditer(text) if m["op"] != "=="]
+    for m in sorted([*found, *_DECLARED.finditer(text)], key=lambda m: m.start("name")):
+        starts = [m.end()]
+        if m.re is _PAIR and m["op"] == ":":
+            if spans := _block_lines(text, m.start("name"), m.end()):
+                yield m["name"], "".join(text[a:b] for a, b in spans), spans
+                continue
+            if typed := _TYPE.match(text, m.end()):
+                # Without quotes the right side may be a value that holds a sign.
+                sure = _QUOTED.match(text, typed.end())
+                starts = [typed.end()] if sure else [m.end(), typed.end()]
+        for at in starts:
+            literal, spans = _operands(text, at, constants)
+            if spans:
+                constants[m["name"]] = (literal, spans)
+                yield m["name"], literal, spans
     for m in _ELEMENT.finditer(text):
         yield m["name"], m["value"].strip(), [m.span("value")]
+    for tag in _TAG.finditer(text):
+        names, values = [], []
+        for m in _ATTRIBUTE.finditer(text, *tag.span("attrs")):
+            if m["name"].lower() in _NAMING:
+                names.append(m["value"])
+            elif m["name"].lower() == "value":
+                values.append(m.span("value"))
+        if tag["text"] and not values:
+            values.append(tag.span("text"))
+        for name in names:
+            for a, b in values:
+                yield name, text[a:b].strip(), [(a, b)]
+
+
+def _operands(
+    text: str, at: int, constants: dict[str, tuple[str, list[tuple[int, int]]]]
+) -> tuple[str, list[tuple[int, int]]]:
+    """The literal that starts at a place, with the spans of its parts."""
+    literal, spans = "", []
+    while operand := _OPERAND.match(text, at):
+        inner = next(g for g in ("text3", "textb", "text", "bare") if operand[g] is not None)
+        part = operand[inner]
+        place = [(operand.start(inner), operand.end(inner))]
+        if inner == "bare" and part in constants:
+            part, place = constants[part]
+        literal += part
+        spans = spans + place
+        plus = _PLUS.match(text, operand.end())
+        if not plus:
+            break
+        at = plus.end()
+    return literal, spans
+
+
+def _block_lines(text: str, name: int, at: int) -> list[tuple[int, int]]:
+    """Spans of the lines of a YAML block scalar: what is indented more than its key."""
+    opened = _BLOCK.match(text, at)
+    if not opened:
+        return []
+    start = text.rfind("\n", 0, name) + 1
+    before = text[start:name]
+    if not _BEFORE_KEY.match(before):
+        return []
+    column, spans, at = len(before.rstrip("\"'")), [], opened.end()
+    while at < len(text):
+        line = _LINE.match(text, at)
+        if line["text"]:
+            if len(line["indent"]) <= column:
+                break
+            spans.append(line.span("text"))
+        at = line.end()
+    return spans
 
 
 def sensitivity(name: str) -> float:

@@ -193,6 +193,45 @@ def test_lexer_pairs_names_with_literals():
     assert named == {"Zx9-pq", "Lm4_tt", "q8W!e7R@t6Y", "AbCd1234EfGh"}
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'os.environ["DB_SECRET_KEY"] = "{}"',
+        "$config['auth_key'] = '{}';",
+        'auth_key: str = "{}"',
+        'val password: String = "{}"',
+        'const API_KEY: &\'static str = "{}";',
+        'let authKey: string | undefined = "{}";',
+        'auth_key: Optional[str] = "{}"',
+        'var authKey string = "{}"',
+        'char auth_key[] = "{}";',
+        'base = "{}"\nauth_key: str = base',
+        'auth_key = """{}"""',
+        "auth_key = \'\'\'\n{}\n\'\'\'",
+        "const authKey = `{}`;",
+        "auth_key: |\n  {}\nother: plain",
+        "list:\n  - auth_key: >-\n      {}\n    other: plain",
+        '<add key="AuthKey" value="{}"/>',
+        '<add value="{}" key="AuthKey"/>',
+        '<string name="auth_key">{}</string>',
+        "auth_key: abc={}",
+    ],
+)
+def test_secret_forms(text):
+    secret = "q8W!e7R@t6Yz-Lm4" if "abc=" not in text else "q8We7Rt6YzLm4"
+    whole = text.replace("{}", secret)
+    clean = secret_scan.redact(whole, secret_scan.scan(whole))
+    assert secret not in clean and "[secret]" in clean
+    # Only the literal goes, with the white space and the unquoted value around it.
+    rest = text.replace("abc=", "").replace("\'\'\'\n{}\n", "\'\'\'{}").replace("{}", "[secret]")
+    assert "password" in text or clean == rest
+
+
+def test_secret_forms_of_long_odd_texts_are_fast():
+    for part in ("<a b='c' ", "auth_key: a[", "x: |\n", "k = `", 'k = """\n', "var a b "):
+        secret_scan.scan(part * 20_000)
+
+
 def test_secrets_odd_rows(odd, empty):
     rows = secret_scan.find_secrets(odd).collect()
     nothing = hashlib.sha256(b"").hexdigest()
