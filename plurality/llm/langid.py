@@ -39,8 +39,9 @@ _BATCH = 1 << 20
 RESULT = "lang_pred string, score double, phrase_chars double"
 
 _SPACE = 1
-_INC_SHIFT = 28
-_TARGET = (1 << _INC_SHIFT) - 1
+# An entry of a transition table: the state it belongs to, and below it the next one.
+_OWNER_SHIFT = 32
+_TARGET = (1 << _OWNER_SHIFT) - 1
 
 
 def learn(
@@ -81,16 +82,18 @@ def learn(
 
 
 class Model(NamedTuple):
-    """Automata of all languages in one transition table.
+    """An automaton per language, each with its own transitions only.
 
-    Row ``state`` starts at ``table[state]``; an entry holds the next state and,
-    above it, how many phrases the step completes.
+    A state is the place of its row in ``tables``: the entry for a character is at
+    state plus code, and is the state's own if it names it. Rows lie in each other's
+    gaps, so a table grows with the reference, not with the alphabet. ``openings``
+    has the state behind a first character, 0 (the root) for one the language lacks.
     """
 
     languages: list[str]
     codes: np.ndarray
-    table: np.ndarray
-    roots: np.ndarray
+    tables: list[np.ndarray]
+    openings: list[np.ndarray]
     bits: np.ndarray
 
 
@@ -99,18 +102,14 @@ def build(references: dict[str, str]) -> Model:
     codes = np.full(0x110000, _SPACE, dtype=np.int32)
     codes[_all_letters()] = 0
     codes[[ord(c) for c in letters]] = np.arange(2, len(letters) + 2)
-    width = len(letters) + 2
-    tables, roots, bits = [], [], []
-    at = 0
+    tables, openings, bits = [], [], []
     for text in references.values():
         read = _read(text, codes)
-        table = _table(read, width, at)
+        table, opening = _table(_automaton(read), len(letters) + 2)
         tables.append(table)
-        roots.append(at)
+        openings.append(opening)
         bits.append(np.log2(len(read) + 2))
-        at += table.size
-    joined = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
-    return Model(list(references), codes, joined, np.array(roots, np.int32), np.array(bits))
+    return Model(list(references), codes, tables, openings, np.array(bits))
 
 
 def _all_letters() -> np.ndarray:
@@ -127,8 +126,8 @@ def _read(text: str, codes: np.ndarray) -> np.ndarray:
     return read[~gap]
 
 
-def _table(read: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Suffix automaton of a text as a complete table of next states."""
+def _automaton(read: np.ndarray) -> list[dict[int, int]]:
+    """Suffix automaton of a text: per state, the next state by code."""
     step: list[dict[int, int]] = [{}]
     link, depth = [-1], [0]
     last = 0
@@ -154,16 +153,39 @@ def _table(read: np.ndarray, width: int, base: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = copy
         last = state
-    # Where nothing follows, the phrase is complete and the character opens the
-    # next one; a character unknown to the language is a phrase of its own.
-    table = np.full((len(step), width), (2 << _INC_SHIFT) + base, dtype=np.int32)
-    for c, state in step[0].items():
-        table[:, c] = (1 << _INC_SHIFT) + base + state * width
-    table[0] = (1 << _INC_SHIFT) + base
-    for state, following in enumerate(step):
-        for c, target in following.items():
-            table[state, c] = base + target * width
-    return table
+    return step
+
+
+def _table(step: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of all states but the root in one table, and the root's row."""
+    span = 2 * sum(map(len, step)) + 1
+    used, taken = bytearray(span + 1 + width), bytearray(span + 1)
+    place = np.zeros(len(step), dtype=np.int64)
+    at = 0
+    # Rows with many entries first, while there is room everywhere.
+    for state in sorted(range(1, len(step)), key=lambda s: -len(step[s])):
+        row = step[state]
+        for _ in range(span):
+            at = at % span + 1
+            if not taken[at] and not any(used[at + c] for c in row):
+                break
+        else:
+            # No gap fits: behind all others.
+            at = span = span + width
+            used.extend(bytes(width))
+            taken.extend(bytes(width))
+        taken[at] = 1
+        for c in row:
+            used[at + c] = 1
+        place[state] = at
+    table = np.zeros(len(used), dtype=np.int64)
+    for state in range(1, len(step)):
+        for c, target in step[state].items():
+            table[place[state] + c] = place[state] << _OWNER_SHIFT | place[target]
+    opening = np.zeros(width, dtype=np.int64)
+    for c, target in step[0].items():
+        opening[c] = place[target]
+    return table, opening
 
 
 def phrases(reads: list[np.ndarray], model: Model, window: int = WINDOW) -> np.ndarray:
@@ -180,16 +202,22 @@ def phrases(reads: list[np.ndarray], model: Model, window: int = WINDOW) -> np.n
     order = np.argsort(-size, kind="stable")
     owner, size, start = owner[order], size[order], start[order]
     text = np.concatenate(reads)
-    for i, root in enumerate(model.roots):
-        state = np.full(len(owner), root, dtype=np.int32)
-        done = np.zeros(len(owner), dtype=np.int32)
+    for i, (table, opening) in enumerate(zip(model.tables, model.openings)):
+        state = np.zeros(len(owner), dtype=np.int64)
+        done = np.zeros(len(owner), dtype=np.int64)
         live = len(owner)
         for t in range(int(size[0])):
             live = int(np.searchsorted(-size, -t, side="left"))
-            step = model.table[state[:live] + text[start[:live] + t]]
-            done[:live] += step >> _INC_SHIFT
-            state[:live] = step & _TARGET
-        done += state != root
+            now, code = state[:live], text[start[:live] + t]
+            entry = table[now + code]
+            # Where nothing follows, the phrase is complete and the character opens the
+            # next one; a character unknown to the language is a phrase of its own.
+            ends = (entry >> _OWNER_SHIFT != now) | (now == 0)
+            first = opening[code]
+            done[:live] += ends & (now != 0)
+            done[:live] += ends & (first == 0)
+            state[:live] = np.where(ends, first, entry & _TARGET)
+        done += state != 0
         counts[:, i] = np.bincount(owner, done, len(reads)).astype(np.int64)
     return counts
 

@@ -155,6 +155,36 @@ def test_phrases_equal_a_plain_search():
             assert langid.phrases([read], model)[0, i] == n
 
 
+def test_many_letters_and_languages_keep_their_own_tables():
+    rng = random.Random(4)
+    han = [chr(0x4E00 + i) for i in range(3_000)]
+    latin = string.ascii_lowercase
+
+    def language(letters, n_words):
+        words = ["".join(rng.choices(letters, k=rng.randint(2, 4))) for _ in range(n_words)]
+        return lambda n: " ".join(rng.choices(words, k=n))
+
+    tongues = {f"han{i}": language(han, 3_000) for i in range(6)}
+    tongues |= {f"latin{i:03}": language(latin, 150) for i in range(200)}
+    references = {k: f(3_000 if k[0] == "h" else 300)[:16_000] for k, f in tongues.items()}
+    references["han0"] += "".join(han)
+    model = langid.build(references)
+    names = [*list(tongues)[:6], *list(tongues)[6::20]]
+    texts = [tongues[k](60) for k in names]
+    assert [r[0] for r in langid.classify(texts, model)] == names
+    read = langid._read(texts[0], model.codes)
+    known, codes = ("".join(map(chr, langid._read(x, model.codes) + 1)) for x in (references["han0"], texts[0]))
+    n = at = 0
+    codes = codes[:256]
+    while at < len(codes):
+        size = 1
+        while at + size < len(codes) and codes[at : at + size + 1] in known:
+            size += 1
+        at, n = at + size, n + 1
+    assert langid.phrases([read[:256]], model)[0, 0] == n
+    assert sum(t.size for t in model.tables) < 40 * sum(map(len, references.values()))
+
+
 def test_language_odd_rows(odd, empty):
     rows = langid.identify(odd).collect()
     assert len(rows) == 8
