@@ -15,15 +15,24 @@ from plurality.session import materialise
 LEAST_PHRASE_CHARS = 1.5
 
 
+def _unused(name: str, docs: DataFrame) -> str:
+    """``name``, longer if a column of ``docs`` has it (names ignore case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no learned language; fill in missing labels."""
     references = langid.learn(docs.filter(~langid.is_held_out(F.col("doc_id"))))
-    found = docs.withColumn("_found", langid.language_of(F.col("text"), references))
+    verdict = _unused("_found", docs)
+    found = docs.withColumn(verdict, langid.language_of(F.col("text"), references))
     kept = found.filter(
-        (F.col("_found.lang_pred") != langid.UNDETERMINED)
-        & (F.col("_found.phrase_chars") >= LEAST_PHRASE_CHARS)
+        (F.col(f"{verdict}.lang_pred") != langid.UNDETERMINED)
+        & (F.col(f"{verdict}.phrase_chars") >= LEAST_PHRASE_CHARS)
     )
-    lang = F.coalesce("lang", "_found.lang_pred")
+    lang = F.coalesce("lang", f"{verdict}.lang_pred")
     return kept.withColumn("lang", lang).select(*docs.columns)
 
 
@@ -55,10 +64,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Put a mark in place of every secret; no document goes."""
-    found = docs.withColumn("_clean", secret_scan.secrets_of(F.col("text"))["redacted"])
-    changed = ~F.col("text").eqNullSafe(F.col("_clean"))
-    size = F.when(changed, F.length("_clean").cast("bigint")).otherwise(F.col("n_chars"))
-    out = found.withColumn("n_chars", size).withColumn("text", F.col("_clean"))
+    clean = _unused("_clean", docs)
+    found = docs.withColumn(clean, secret_scan.secrets_of(F.col("text"))["redacted"])
+    changed = ~F.col("text").eqNullSafe(F.col(clean))
+    size = F.when(changed, F.length(clean).cast("bigint")).otherwise(F.col("n_chars"))
+    out = found.withColumn("n_chars", size).withColumn("text", F.col(clean))
     return out.select(*docs.columns)
 
 

@@ -130,6 +130,17 @@ def test_stage_keeps_one_document_of_every_group(spark):
     assert sorted(again.collect(), key=str) == found
 
 
+def test_stages_return_columns_with_any_name(spark):
+    text = "password = 'q8W!e7R@t6Yz' " + " ".join(f"word{i}" for i in range(60))
+    schema = "doc_id bigint, text string, lang string, n_chars bigint, _id bigint, _found string, _Clean string, key string"
+    docs = spark.createDataFrame([(i, f"{text} {i}", "en", 9, 50 + i, "f", "c", "k") for i in range(8)], schema)
+    for stage in (corpus_pipeline.language, corpus_pipeline.secrets, corpus_pipeline.near_duplicates):
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        rows = got.collect()
+        assert rows and all((r["_id"], r["_found"], r["_Clean"], r["key"]) == (50 + r["doc_id"], "f", "c", "k") for r in rows)
+
+
 def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(400)], "a bigint, b bigint")
     roots = simhash.components(edges).collect()
