@@ -4,7 +4,9 @@ A page is read into a tree of elements. Every paragraph earns points for its len
 and its commas and passes them to its ancestors, less the further up; a container's
 points are discounted by the share of its text that is in links. The best container
 and those of its siblings that look like content are kept, without menus, headers,
-footers, sidebars, notices, adverts, forms, scripts and reader comments.
+footers, sidebars, notices, adverts, forms, scripts and reader comments. What only its
+tag, class or id marks as one of these is kept after all if it holds most of the page's
+long, link-poor paragraphs and little is left without it.
 
 Results for odd input: NULL, empty or text-less html gives empty text; of equal
 scores the earlier container wins; unclosed, misnested and unknown elements are read
@@ -39,9 +41,11 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd dt figcaption".split()) | HEAD
 CONTAINERS = frozenset("article main section div body td blockquote center dl ul ol".split())
 # Never content.
 DROPPED = RAW | frozenset(
-    "head nav header footer aside form button select option input label fieldset noscript "
-    "template svg math canvas object applet audio video map dialog menu".split()
+    "head button select option input noscript template svg math canvas object applet audio "
+    "video map".split()
 )
+# Not content unless it holds most of the page.
+DOUBTED = frozenset("nav header footer aside form label fieldset dialog menu".split())
 # What an opening tag closes: the element, up to but without the stop.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -62,6 +66,15 @@ BOILERPLATE = frozenset(
     "disqus replies respond form pagination pager toolbar skip copyright contentinfo "
     "complementary dialog outbrain taboola toc tags".split()
 )
+# Words that mark long paragraphs of others: these give way to any text beside them.
+FOREIGN = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors cookie cookies "
+    "consent gdpr popup newsletter subscribe subscription comment comments commentlist disqus "
+    "replies respond outbrain taboola copyright".split()
+)
+# Rescue: characters of a long paragraph, links' share in it, how often the points left
+# without a node must fit into its own, and characters that count as text beside it.
+LONG_CHARS, MOST_LINKED, TIMES_REST, TEXT_BESIDE = 80, 0.25, 3.0, 100
 _ROOTS = frozenset("html body article main".split()) | HEADINGS
 _NEGATED = frozenset({"has", "with", "no", "without"})
 
@@ -82,17 +95,19 @@ _WHITE = re.compile(r"\s+")
 class Node:
     """An element: its tag, and texts and elements in page order."""
 
-    __slots__ = ("tag", "dropped", "parent", "children", "score", "chars", "linked")
+    __slots__ = ("tag", "dropped", "doubt", "parent", "children", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubt: int = 0):
         self.tag, self.parent, self.dropped = tag, parent, dropped
+        # 1: marked by tag, class, id or role; 2: marked as foreign.
+        self.doubt = doubt
         self.children: list[Node | str] = []
         self.score = 0.0
         self.chars = self.linked = 0
 
 
 def parse(page: str) -> Node:
-    """The element tree of a page; dropped elements stay as empty nodes."""
+    """The element tree of a page; dropped elements stay as empty nodes, doubted ones whole."""
     root = here = Node("html", None)
     at, n = 0, len(page)
     while at < n:
@@ -119,7 +134,8 @@ def parse(page: str) -> Node:
             continue
         here = _made_room(here, tag)
         attrs = token["attrs"]
-        node = Node(tag, here, here.dropped or tag in DROPPED or _is_boilerplate(tag, attrs))
+        hidden, doubt = _marks(tag, attrs)
+        node = Node(tag, here, here.dropped or tag in DROPPED or hidden, doubt)
         here.children.append(node)
         if tag in RAW:
             closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -164,25 +180,97 @@ def _made_room(here: Node, tag: str) -> Node:
     return here
 
 
-def _is_boilerplate(tag: str, attrs: str) -> bool:
+def _marks(tag: str, attrs: str) -> tuple[bool, int]:
+    """Whether an element is hidden, and its doubt (see :class:`Node`)."""
+    doubt = int(tag in DOUBTED)
     if not attrs or attrs.isspace():
-        return False
+        return False, doubt
     words: list[str] = []
     for m in _ATTR.finditer(attrs):
         name, value = m["name"].lower(), m["a"] or m["b"] or m["c"] or ""
         if name in ("class", "id", "role"):
             words += ["", *(w.lower() for w in _WORD.findall(value))]
         elif name == "style" and _HIDDEN.search(value):
-            return True
+            return True, doubt
         elif name == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, doubt
     if re.search(r"(?:^|\s)hidden(?:\s|$)", attrs):
-        return True
+        return True, doubt
     if tag in _ROOTS:
-        return False
-    return any(
-        w in BOILERPLATE and before not in _NEGATED for before, w in zip(["", *words], words)
-    )
+        return False, doubt
+    for before, w in zip(["", *words], words):
+        if w in BOILERPLATE and before not in _NEGATED:
+            doubt = max(doubt, 2 if w in FOREIGN else 1)
+    return False, doubt
+
+
+def settle(root: Node) -> None:
+    """Drop doubted elements, except those that hold most of the page."""
+    order = list(_nodes(root))
+    if not any(node.doubt for node in order):
+        return
+    # Per node: points of long paragraphs by their greatest doubt below it, its own
+    # included; points and characters without links that nothing below it marks.
+    points = {id(node): [0.0, 0.0, 0.0] for node in order}
+    free = {id(node): [0.0, 0] for node in order}
+    in_link: set[int] = set()
+    for node in order:
+        if node.tag == "a" or node.tag not in BLOCKS and id(node.parent) in in_link:
+            in_link.add(id(node))
+    for node in reversed(order):
+        mine, beside = points[id(node)], free[id(node)]
+        if id(node) not in in_link:
+            beside[1] += sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        text = "".join(_inline(node)).strip() if node.tag in BLOCKS or node is root else ""
+        if text:
+            link = _linked_inline(node) / len(text)
+            worth = (1 + text.count(",") + min(3.0, len(text) / 100)) * max(0.0, 1 - link)
+            beside[0] += worth
+            if len(text) >= LONG_CHARS and link < MOST_LINKED:
+                mine[0] += worth
+        if node.doubt:
+            mine[node.doubt] += sum(mine[: node.doubt])
+            mine[: node.doubt] = [0.0] * node.doubt
+        if node.parent:
+            above = points[id(node.parent)]
+            for i in range(3):
+                above[i] += mine[i]
+            if not node.doubt:
+                free[id(node.parent)][0] += beside[0]
+                free[id(node.parent)][1] += beside[1]
+    rest, chars = free[id(root)]
+    for most in (1, 2):
+        if most == 2 and chars >= TEXT_BESIDE:
+            break
+        whole = sum(points[id(root)][: most + 1])
+        stack = [root]
+        while stack:
+            node = stack.pop()
+            if node.dropped:
+                continue
+            if node.doubt:
+                held = sum(points[id(node)][: most + 1])
+                if node.doubt > most or not held or held < max(TIMES_REST * rest, whole / 2):
+                    continue
+                node.doubt = 0
+                rest += free[id(node)][0]
+                chars += free[id(node)][1]
+            stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    for node in order:
+        node.dropped = node.dropped or node.doubt > 0
+
+
+def _linked_inline(node: Node) -> int:
+    """Characters in links of a block, without those of blocks inside it."""
+    linked, stack = 0, [c for c in node.children if isinstance(c, Node)]
+    while stack:
+        child = stack.pop()
+        if not child.dropped and child.tag not in BLOCKS:
+            if child.tag == "a":
+                linked += sum(len(t) for t in _inline(child))
+            else:
+                stack.extend(c for c in child.children if isinstance(c, Node))
+    return linked
 
 
 def score(root: Node) -> Node | None:
@@ -310,7 +398,9 @@ def main_text(page: str | None) -> str:
     """The article of a page, one line per block."""
     if not page:
         return ""
-    best = score(parse(page))
+    tree = parse(page)
+    settle(tree)
+    best = score(tree)
     return "\n".join(blocks(_kept(best))) if best else ""
 
 

@@ -451,6 +451,35 @@ def test_main_text(page, want):
     assert main_text.main_text(page) == want
 
 
+_PARAGRAPH = "A long paragraph, with commas, that says one thing after another until it is done. "
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("<body><form action=x><input name=v><div>", "</div><button>Go</button></form></body>"),
+        ("<body><form><div class='layout sidebar-left'>", "</div></form><div class=menu><a href=/>Home</a></div></body>"),
+        ("<div id=search-result>", "</div><div class='sidebar'><p>Short, one.</p></div>"),
+        ("<div class='social-science'><div class=inner>", "</div></div><p><a href=/>All texts</a></p>"),
+        ("<div class='page ads'>", "</div>"),
+        ("<aside class=widget>", "</aside><footer>f</footer>"),
+    ],
+)
+def test_main_text_in_a_marked_wrapper(before, after):
+    want = "\n".join([(_PARAGRAPH * 2).strip()] * 3)
+    page = before + f"<p>{_PARAGRAPH * 2}</p>" * 3 + after
+    assert main_text.main_text(page) == want
+
+
+def test_marked_text_beside_an_article_stays_out():
+    article = f"<div class=entry><p>{_PARAGRAPH * 2}</p></div>"
+    for tag in ("<div id=comments>", "<div class=sidebar>", "<form>", "<footer>"):
+        page = article + tag + f"<p>{_PARAGRAPH}</p>" * 3 + "</" + tag[1:].split()[0].strip(">") + ">"
+        assert main_text.main_text(page) == (_PARAGRAPH * 2).strip()
+    many = article + "<div id=comments>" + f"<p>{_PARAGRAPH}</p>" * 50 + "</div>"
+    assert main_text.main_text(many) == (_PARAGRAPH * 2).strip()
+
+
 def test_main_text_of_deep_and_long_pages(spark):
     deep = "<div>" * 5000 + "<p>deep, text</p>"
     assert main_text.main_text(deep) == "deep, text"
