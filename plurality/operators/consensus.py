@@ -40,18 +40,25 @@ def consensus(
     layout: VoteLayout,
     policy: str = "ranked",
     carry: Sequence[str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """The reported vote of every group, with its ``vote_count``.
 
     Columns: keys, role, value, ``vote_count``, then the carried columns
     (``carry``; by default all others of ``votes``). The smaller ``carry``,
     the less is shuffled. A map can be carried, but not one inside another column.
+    ``weight`` names a column that says how many equal votes a row stands for; a row
+    of weight 0 or NULL takes no part. It is not carried unless ``carry`` names it.
     """
+    if weight is not None:
+        votes = votes.filter(col(weight) > 0)
+        if carry is None:
+            carry = [c for c in layout.carried(votes.columns) if c != weight]
     carried = _carried(votes, layout, carry)
     if policy == "ranked":
-        decided = decide(votes, layout, carried)
+        decided = decide(votes, layout, carried, weight=weight)
     elif policy in POLICIES:
-        decided = decide_raw(votes, layout, policy, carried)
+        decided = decide_raw(votes, layout, policy, carried, weight=weight)
     else:
         raise ValueError(f"unknown policy {policy!r}; choose one of {POLICIES}")
     return project(decided, [*layout.keys, layout.role, layout.value, "vote_count", *carried])
@@ -61,11 +68,14 @@ def consensus(
 
 
 def scoreboard(
-    votes: DataFrame, layout: VoteLayout, carry: Sequence[str] | None = None
+    votes: DataFrame,
+    layout: VoteLayout,
+    carry: Sequence[str] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group: what is known of the votes for every rating.
 
-    For rating level ``i``, ``n_<i>`` counts its votes, ``senior_<i>`` is the
+    For rating level ``i``, ``n_<i>`` counts its votes (adds their ``weight``), ``senior_<i>`` is the
     best role rank among them (an unlisted role comes after the last rank) and
     ``first_<i>`` holds the carried columns of the vote that comes first by
     role rank and file order. The slot after the last level is the NULL rating.
@@ -91,7 +101,7 @@ def scoreboard(
     aggregates = []
     for slot in slots:
         here = col("_slot") == slot
-        aggregates.append(F.count_if(here).alias(f"n_{slot}"))
+        aggregates.append(_votes_where(here, weight).alias(f"n_{slot}"))
         aggregates.append(F.min(F.when(here, col("_rank"))).alias(f"senior_{slot}"))
         if carried:
             aggregates.append(F.min(F.when(here, vote)).alias(f"first_{slot}"))
@@ -99,11 +109,19 @@ def scoreboard(
     return ballots.groupBy(*keys).agg(*aggregates)
 
 
+def _votes_where(here: Column, weight: str | None) -> Column:
+    """How many votes fulfil a condition."""
+    if weight is None:
+        return F.count_if(here)
+    return F.sum(F.when(here, col(weight)).otherwise(0)).cast("bigint")
+
+
 def decide(
     votes: DataFrame,
     layout: VoteLayout,
     carry: Sequence[str] | None = None,
     counts: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group: whether it was tied, and the vote that decides it.
 
@@ -113,7 +131,7 @@ def decide(
     """
     slots = _slots(layout)
     carried = _carried(votes, layout, carry)
-    board = scoreboard(votes, layout, carried)
+    board = scoreboard(votes, layout, carried, weight)
     keys = [col(k) for k in layout.keys]
     last_priority = F.lit(len(layout.role_levels))
 
@@ -170,6 +188,7 @@ def decide_raw(
     policy: str,
     carry: Sequence[str] | None = None,
     breaks: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """As :func:`decide`, for labels taken as they are.
 
@@ -194,7 +213,7 @@ def decide_raw(
     ratings = (
         ballots.groupBy(*_sorting_keys(layout), value)
         .agg(
-            F.count("*").alias("vote_count"),
+            _votes_where(F.lit(True), weight).alias("vote_count"),
             F.min(F.struct(col("_role_priority"), *in_order, *deciding)).alias("senior"),
             F.min(
                 F.struct(

@@ -1,59 +1,149 @@
-"""Gap-free global numbering without a single-task window."""
+"""Gap-free global numbering without a single-task window and without a copy.
+
+A bounded random sample of the order key gives split points, which become literals
+of the plan. Rows go to the bucket between two of them, buckets are numbered in
+parallel, and the number of rows in earlier buckets is added. Only the wide rows'
+own exchange moves them; the counts per bucket come from the order columns alone.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.functions import col, nulls_last
-from plurality.operators.relational import join_null_safe, move_to_front, project
-from plurality.session import materialise
+from plurality.functions import col, comparable, nulls_last
+from plurality.operators.relational import move_to_front, project
 
-# Tasks that narrow down the first rows before one task orders what is left.
-FIRST_ROW_BUCKETS = 64
+# Buckets per shuffle partition: hashed to partitions, several even each other out.
+BUCKETS_PER_PARTITION = 4
+# Bounds of the literals: split points, and sampled keys behind each of them.
+MAX_BUCKETS = 4096
+SAMPLE_PER_BUCKET = 32
+# Up to this many rows a top-n per task and one last task are enough.
+TOP_ROWS = 10_000
 
-# monotonically_increasing_id() keeps the partition above this bit and the
-# row's place in the partition below it.
-_PLACE_BITS = 33
+_LEAST_HASH = -(1 << 63)
 
 
-def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Add ``name``: 1, 2, 3, ... in ascending ``order``, NULL last.
+class Splits(NamedTuple):
+    """Ascending split points as one literal array, and what they are made of."""
 
-    The rows are range-sorted in parallel and written once; a second pass adds
-    the number of rows in earlier partitions. Only one count per partition
-    meets in a single task. Rows equal in ``order`` follow a hash of their
-    other columns: that keeps the numbers repeatable and lets the sort split
-    an ``order`` value that many rows share.
-    """
-    place = (1 << _PLACE_BITS) - 1
-    by = _total_order(df, order)
-    sorted_rows = materialise(
-        df.orderBy(*by).withColumn("_place", F.monotonically_increasing_id()), name
-    )
-    rows = sorted_rows.withColumn("_part", F.shiftright("_place", _PLACE_BITS))
-    sizes = rows.groupBy("_part").agg(F.count("*").alias("_size"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset")
-    )
-    # One row per sort partition: bounded by the shuffle partition count.
-    numbered = rows.join(F.broadcast(offsets), "_part").withColumn(
-        name, F.col("_offset") + F.col("_place").bitwiseAND(F.lit(place)) + 1
-    )
-    return project(numbered, [*df.columns, name])
+    points: Column
+    kind: str
+    count: int
+    with_hash: bool
 
 
-def _total_order(df: DataFrame, order: Sequence[str]) -> list[Column]:
-    """``order``, NULL last, then a hash of the other columns (maps left out)."""
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has such a column (names ignore case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def split_points(df: DataFrame, order: Sequence[str]) -> Splits:
+    """Split points that cut ``df`` into buckets of about equal size in ``order``.
+
+    One job reads the order columns. Where a value is so common that split points
+    repeat, a second one samples the values with the hash of the row, so that rows
+    equal in ``order`` go to several buckets. Repeats of one whole row share one.
+    """
+    splits = _sampled(df, order, with_hash=False)
+    return splits or _sampled(df, order, with_hash=True)
+
+
+def _sampled(df: DataFrame, order: Sequence[str], with_hash: bool) -> Splits | None:
+    """Split points, or nothing if they repeat and the hash can tell them apart."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MAX_BUCKETS, BUCKETS_PER_PARTITION * partitions)
+    keys = df.select(_key(df, order, with_hash).alias("key"), F.rand(0).alias("lot"))
+    some = keys.orderBy("lot").limit(buckets * SAMPLE_PER_BUCKET)
+    ordered = some.agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    chosen = F.filter("keys", lambda _, i: (i + 1) % SAMPLE_PER_BUCKET == 0)
+    points = ordered.select(chosen.alias("points"), F.array_distinct(chosen).alias("distinct"))
+    text, kind, size, distinct = points.select(
+        F.to_json("distinct"), F.typeof(F.col("distinct")[0]), F.size("points"), F.size("distinct")
+    ).first()
+    if distinct < size and not with_hash:
+        return None
+    literal = F.sort_array(F.from_json(F.lit(text), f"array<{kind}>"))
+    return Splits(literal, kind, distinct, with_hash)
+
+
+def _key(
+    df: DataFrame, order: Sequence[str], with_hash: bool, row_hash: Column | None = None
+) -> Column:
+    """The order columns, NULL last, as one value; with the row's hash behind them."""
+    fields = comparable(df, order)
+    if with_hash:
+        fields.append((_row_hash(df, order) if row_hash is None else row_hash).alias("_hash"))
+    # Plain field names: those of the columns may hold anything.
+    return F.struct(*[f.alias(f"_{i}") for i, f in enumerate(fields)])
+
+
+def _row_hash(df: DataFrame, order: Sequence[str]) -> Column:
+    """A hash of the columns that are not in ``order`` (maps left out)."""
     others = [
         col(f.name)
         for f in df.schema.fields
         if f.name not in order and "map<" not in f.dataType.simpleString()
     ]
-    return [*nulls_last(order), F.xxhash64(*others)] if others else nulls_last(order)
+    return F.xxhash64(*others) if others else F.lit(0).cast("bigint")
+
+
+def with_bucket(df: DataFrame, key: Column, splits: Splits, name: str) -> DataFrame:
+    """Add ``name``: how many split points are not above ``key``, by binary search.
+
+    Every step of the search is a projection of its own, so that each is compiled and
+    the key is built once.
+    """
+    at, low = unused(df, "_key"), col(name)
+    out = df.withColumn(at, key.cast(splits.kind)).withColumn(name, F.lit(0))
+    for i in reversed(range(splits.count.bit_length())):
+        step = 1 << i
+        above = col(at) >= F.get(splits.points, low + step - 1)
+        out = out.withColumn(name, F.when(above, low + step).otherwise(low))
+    return out.drop(at)
+
+
+def _starts(bucketed: DataFrame, bucket: str, splits: Splits, start: str) -> DataFrame:
+    """Every bucket and how many rows of ``bucketed`` lie in earlier ones."""
+    every = bucketed.sparkSession.range(splits.count + 1)
+    found = bucketed.select(col(bucket), F.lit(1).cast("bigint").alias("rows"))
+    none = every.select(F.col("id").cast("int").alias(bucket), F.lit(0).alias("rows"))
+    sizes = found.union(none).groupBy(bucket).agg(F.sum("rows").alias("rows"))
+    before = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(bucket, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(start))
+
+
+def _total_order(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """``order``, NULL last, then a hash of the other columns."""
+    return [*nulls_last(order), _row_hash(df, order)]
+
+
+def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """Add ``name``: 1, 2, 3, ... in ascending ``order``, NULL last.
+
+    Rows equal in ``order`` follow a hash of their other columns: that keeps the
+    numbers repeatable and lets the buckets split an ``order`` value that many rows
+    share. Nothing is written; the rows move once, to their buckets.
+    """
+    splits = split_points(df, order)
+    return _numbered(df, order, name, splits)
+
+
+def _numbered(df: DataFrame, order: Sequence[str], name: str, splits: Splits) -> DataFrame:
+    bucket, start = unused(df, "_bucket"), unused(df, "_start")
+    rows = with_bucket(df, _key(df, order, splits.with_hash), splits, bucket)
+    place = F.row_number().over(Window.partitionBy(bucket).orderBy(*_total_order(df, order)))
+    starts = _starts(rows, bucket, splits, start)
+    # One row per bucket: bounded by MAX_BUCKETS.
+    numbered = rows.withColumn(name, place).join(F.broadcast(starts), bucket)
+    return project(numbered.withColumn(name, col(start) + col(name)), [*df.columns, name])
 
 
 def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
@@ -64,28 +154,49 @@ def row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFr
 def group_index(
     df: DataFrame, keys: Sequence[str], name: str = "group_index"
 ) -> DataFrame:
-    """Add the 1-based place of each row's group in key order, as first column."""
+    """Add the 1-based place of each row's group in key order, as first column.
+
+    Groups are counted per bucket from the keys alone, and ranked within the bucket
+    where their rows are. A group too large for one bucket goes on in the next ones:
+    its rows there take the number of groups begun before.
+    """
+    splits = split_points(df, keys)
+    bucket, start = unused(df, "_bucket"), unused(df, "_start")
+    later = unused(df, "_later")
+    least = F.lit(_LEAST_HASH)
     groups = df.select(*[col(k) for k in keys]).distinct()
-    numbered = number_rows(groups, keys, name)
-    return move_to_front(join_null_safe(df, numbered, keys), name)
+    begin = _key(groups, keys, splits.with_hash, least)
+    starts = _starts(with_bucket(groups, begin, splits, bucket), bucket, splits, start)
+    rows = with_bucket(df, _key(df, keys, splits.with_hash), splits, bucket)
+    if splits.with_hash:
+        first = unused(rows, "_first")
+        rows = with_bucket(rows, _key(df, keys, True, least), splits, first)
+        rows = rows.withColumn(later, col(bucket) != col(first))
+    else:
+        rows = rows.withColumn(later, F.lit(False))
+    rank = F.dense_rank().over(Window.partitionBy(bucket, later).orderBy(*nulls_last(keys)))
+    ranked = rows.withColumn(name, rank).join(F.broadcast(starts), bucket)
+    number = col(start) + F.when(col(later), 0).otherwise(col(name))
+    return move_to_front(project(ranked.withColumn(name, number), [name, *df.columns]), name)
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int, name: str) -> DataFrame:
     """The first ``n`` rows in ``order``, numbered 1..n as ``name``.
 
     Rows equal in ``order`` follow the same hash as in :func:`number_rows`, so the
-    choice is repeatable. Every task offers its first ``n`` rows to each bucket,
-    and buckets of rows (by hash) keep their first ``n``, so the last step orders
-    at most ``FIRST_ROW_BUCKETS * n`` rows however many tasks there are. For a
-    large part of a table, filter :func:`number_rows`.
+    choice is repeatable. Up to ``TOP_ROWS`` rows every task offers its own first
+    ``n``. Beyond that rows are counted per bucket, and those behind the bucket in
+    which the ``n``-th lies are dropped before the others move.
     """
-    by = _total_order(df, order)
-    plain = [
-        col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()
-    ]
-    bucket = F.pmod(F.xxhash64(*plain), F.lit(FIRST_ROW_BUCKETS))
-    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(*by))
-    offered = df.withColumn("_bucket", bucket).withColumn("_nth", nth)
-    first = offered.filter(F.col("_nth") <= n).drop("_bucket", "_nth")
-    position = F.row_number().over(Window.orderBy(*by)).cast("bigint")
-    return first.withColumn(name, position).filter(col(name) <= n)
+    if n <= TOP_ROWS:
+        by = _total_order(df, order)
+        position = F.row_number().over(Window.orderBy(*by)).cast("bigint")
+        return df.orderBy(*by).limit(n).withColumn(name, position)
+    splits = split_points(df, order)
+    bucket, start = unused(df, "_bucket"), unused(df, "_start")
+    rows = with_bucket(df, _key(df, order, splits.with_hash), splits, bucket)
+    # At least one bucket starts below n: the first, at 0.
+    begun = _starts(rows, bucket, splits, start).filter(col(start) < n)
+    (last,) = begun.agg(F.max(bucket)).first()
+    kept = project(rows.filter(col(bucket) <= last), df.columns)
+    return _numbered(kept, order, name, splits).filter(col(name) <= n)

@@ -419,8 +419,10 @@ def bootstrap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def consensus_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drawn = bootstrap_rows(spark, sf_dir)
-    return consensus.consensus(drawn, DRAW_LAYOUT)
+    """The votes of :func:`bootstrap_rows`, each once with its weight."""
+    pool = exclude_event(spark, sf_dir)
+    drawn = sampling.bootstrap_weights(pool, order=ROW_KEY, **BOOTSTRAP)
+    return consensus.consensus(drawn, DRAW_LAYOUT, weight="weight")
 
 
 QUERIES: dict[str, Query] = {

@@ -1,4 +1,5 @@
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from plurality import (
     valid_votes,
     winner_list,
 )
+from plurality.operators import indexing, sampling
 from votes import EDGE, LAYOUT, E, N, S, frame, random_votes, score
 
 KEYS = list(LAYOUT.keys)
@@ -115,20 +117,79 @@ def test_row_ids_are_gap_free_and_null_last(spark):
     assert [r.row for r in ordered] == [r.row for r in sorted(rows, key=place)]
 
 
-def test_row_ids_of_equal_rows_are_repeatable_and_split(spark):
+def _hot_rows():
     rows = [(i, *v[1:]) for i, v in enumerate(random_votes(1, 300), 1)]
-    rows += [(i, 9, 9, "hot", None, None) for i in range(301, 2301)]
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        numbered = row_ids(frame(spark, rows), KEYS)
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    return rows + [(i, 9, 9, "hot", None, None) for i in range(301, 2301)]
+
+
+def test_row_ids_of_equal_rows_are_repeatable_and_split(spark):
+    rows = _hot_rows()
+    numbered = row_ids(frame(spark, rows), KEYS)
     again = row_ids(frame(spark, rows[::-1]).repartition(5), KEYS)
     assert sorted(numbered.collect()) == sorted(again.collect())
     assert {r.row_id for r in numbered.collect()} == set(range(1, len(rows) + 1))
-    sorted_files = spark.read.parquet(*numbered.inputFiles())
-    hot = sorted_files.filter("identifier = 'hot'").select(F.input_file_name())
-    assert hot.distinct().count() > 1
+    assert _buckets_of_hot(spark, rows) > 8
+
+
+def _buckets_of_hot(spark, rows):
+    """Into how many buckets the rows of the hot key go."""
+    df = frame(spark, rows)
+    splits = indexing.split_points(df, KEYS)
+    assert splits.with_hash
+    key = indexing._key(df, KEYS, True)
+    placed = indexing.with_bucket(df, key, splits, "at").filter("identifier = 'hot'")
+    return placed.select("at").distinct().count()
+
+
+def test_group_index_of_a_group_in_many_buckets(spark):
+    rows = _hot_rows()
+    rows += [(i, 9, 9, "i", None, None) for i in range(2301, 2401)]
+    rows += [(i, 9, 10, None, None, None) for i in range(2401, 2403)]
+
+    def place(row):
+        return [(x is None, x) for x in row[1:4]]
+
+    groups = sorted({tuple(place(r)) for r in rows}, key=lambda g: [(n, x or 0) if not isinstance(x, str) else (n, x) for n, x in g])
+    indexed = group_index(frame(spark, rows).repartition(7), KEYS).collect()
+    assert len(indexed) == len(rows)
+    found = {(r.eventId, r.classroomId, r.identifier): r.group_index for r in indexed}
+    assert found == {tuple(x for _, x in g): i for i, g in enumerate(groups, 1)}
+    assert all(found[r.eventId, r.classroomId, r.identifier] == r.group_index for r in indexed)
+
+
+def test_row_ids_with_clashing_column_names(spark):
+    df = frame(spark, random_votes(2, 50)).withColumns(
+        {n: F.lit(1) for n in ("_bucket", "_start", "_key", "_later", "rows", "id")}
+    )
+    numbered = row_ids(df, ["row"])
+    assert numbered.columns == ["row_id", *df.columns]
+    assert {r.row_id for r in numbered.collect()} == set(range(1, 51))
+    assert group_index(df, KEYS).columns == ["group_index", *df.columns]
+
+
+@pytest.mark.parametrize("n", [0, 5, 700, 2300, 5000])
+def test_large_first_rows_equal_small_ones(spark, monkeypatch, n):
+    rows = _hot_rows()
+    df = frame(spark, rows).repartition(3)
+    top = sorted(indexing.first_rows(df, KEYS, n, "place").collect())
+    monkeypatch.setattr(indexing, "TOP_ROWS", -1)
+    assert sorted(indexing.first_rows(df, KEYS, n, "place").collect()) == top
+    assert len(top) == min(n, 2300)
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+def test_large_samples_are_cut_by_their_lots(spark, monkeypatch, digits):
+    df = frame(spark, _hot_rows())
+    small = sample_rows(df, 600, seed=9, row_key=["row"], number="at").collect()
+    monkeypatch.setattr(indexing, "TOP_ROWS", 100)
+    monkeypatch.setattr(sampling, "HISTOGRAM_DIGITS", digits)
+    large = sample_rows(df, 600, seed=9, row_key=["row"], number="at").collect()
+    assert sorted(large) == sorted(small) and len(small) == 600
+    lots = df.withColumn("lot", sampling.seeded_order(9, ["row"]))
+    kept = sampling._cut(lots, "lot", 600).count()
+    assert 600 <= kept <= (1200 if digits == 1 else 610)
+    # Repeats of one key have one lot: the digits run out, and nothing is lost.
+    assert sample_rows(df.withColumn("one", F.lit(1)), 600, 9, ["one"]).count() == 600
 
 
 def test_row_ids_of_nothing(spark):
@@ -147,6 +208,25 @@ def test_group_index_is_dense_in_key_order(spark):
 # -- sampling and audit -------------------------------------------------------------
 
 
+@pytest.mark.parametrize("policy", ["ranked", "contenders", "overall"])
+@pytest.mark.parametrize("k", [30, 500])
+def test_weighted_bootstrap_scores_like_the_drawn_rows(spark, policy, k):
+    df = frame(spark, random_votes(5, 300))
+    layout = replace(LAYOUT, order=("draw",))
+    drawn = bootstrap(df, 2000, k, seed=3, order=["row"])
+    folded = sampling.bootstrap_weights(df, 2000, k, seed=3, order=["row"])
+    assert folded.count() <= min(k, 300)
+    one = consensus(drawn, layout, policy)
+    other = consensus(folded, layout, policy, weight="weight")
+    assert other.columns == one.columns and sorted(map(str, other.collect())) == sorted(map(str, one.collect()))
+
+
+def test_votes_without_weight_take_no_part(spark):
+    df = frame(spark, EDGE).withColumn("w", F.expr("CASE WHEN row % 3 = 0 THEN 0 WHEN row % 3 = 1 THEN 1 END"))
+    kept = consensus(df.filter("row % 3 = 1").drop("w"), LAYOUT)
+    assert sorted(map(str, consensus(df, LAYOUT, weight="w").collect())) == sorted(map(str, kept.collect()))
+
+
 def test_sample_is_repeatable_and_without_replacement(spark):
     df = frame(spark, random_votes(4, 200))
     first = sample_rows(df, 20, seed=9, row_key=["row"]).collect()

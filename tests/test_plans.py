@@ -1,5 +1,6 @@
 """The physical plans that make the operators scale."""
 
+import os
 import re
 
 import pytest
@@ -17,8 +18,9 @@ from plurality import (
     vote_counts,
     write_table,
 )
+from plurality.operators import indexing
 from plurality.operators.tally import clear_values, tied_values
-from plurality.session import scratch_path
+from plurality.session import scratch_path, scratch_root
 from votes import LAYOUT, frame, random_votes, score
 
 KEYS = list(LAYOUT.keys)
@@ -99,18 +101,37 @@ def test_filters_reach_the_scan(settings, votes):
 def test_samples_are_not_a_global_sort(votes):
     df = sample_rows(votes, 5, seed=1, row_key=["row"])
     text = plan(df)
-    # Map tasks and then buckets keep their first rows before one task orders the rest.
-    assert "rangepartitioning" not in text and shuffles(df) == 1
-    limits = re.findall(r"WindowGroupLimit \[(\w*)#?\w*\].*?(Partial|Final)", text)
-    assert {kind for bucket, kind in limits if bucket == "_bucket"} == {"Partial", "Final"}
+    # Every task offers its first rows; nothing else is gathered.
+    assert "rangepartitioning" not in text and shuffles(df) == 0
+    assert "TakeOrderedAndProject" in text
 
 
-def test_numbering_gathers_only_partition_sizes(votes):
-    text = plan(row_ids(votes, [*KEYS, "row"]))
-    # Reading the numbered table shuffles nothing but the per-partition counts.
-    assert re.findall(r"Exchange hashpartitioning\((\w+)", text) == ["_part"]
-    assert text.count("SinglePartition") == 1
+def test_large_samples_move_only_the_rows_kept(votes, monkeypatch):
+    monkeypatch.setattr(indexing, "TOP_ROWS", 10)
+    df = sample_rows(votes, 40, seed=1, row_key=["row"])
+    text = plan(df)
     assert "rangepartitioning" not in text
+    # The cut stands at the scan, below the only exchange of whole rows.
+    wide = re.search(r"Exchange hashpartitioning\(_bucket#.*?FileScan", text, re.S).group(0)
+    assert "<= " in wide and wide.count("Exchange") == 1
+    assert df.count() == 40
+
+
+def test_numbering_moves_the_rows_once_and_writes_nothing(spark, votes):
+    before = set(os.listdir(_scratch(spark)))
+    df = row_ids(votes, [*KEYS, "row"])
+    text = plan(df)
+    wide = [e for e in re.findall(r"Exchange (.*?)\n", text) if "_bucket" in e]
+    assert len(wide) == 2 and "rangepartitioning" not in text
+    # The other one carries the counts, made from the order columns alone.
+    counted = re.search(r"ReadSchema: (\S+)", text[text.rindex("FileScan") :]).group(1)
+    assert "note" not in counted and "value" not in counted
+    assert df.count() == votes.count()
+    assert set(os.listdir(_scratch(spark))) == before
+
+
+def _scratch(spark):
+    return scratch_root(spark).removeprefix("file:")
 
 
 @pytest.fixture(scope="module")
@@ -137,11 +158,19 @@ def test_hot_group_is_split_in_joins(settings, hot_votes):
     matched = semi_join(df, consensus(df, LAYOUT, "contenders"), KEYS)
     assert matched.count() == sum(v[1:4] in answers for v in rows)
     matched.write.format("noop").mode("overwrite").save()
+    assert len(matched.collect()) > 3000
+    assert "skew=true" in plan(matched)
+
+
+def test_hot_group_is_indexed_in_several_tasks(settings, hot_votes):
+    df, rows = hot_votes
+    settings(adaptive__coalescePartitions__enabled="false")
     indexed = group_index(df, KEYS)
-    for joined in (matched, indexed):
-        found = joined.collect()
-        assert len(found) > 3000
-        assert "skew=true" in plan(joined)
+    # No join of whole rows but the one with the bounded table of buckets.
+    assert plan(indexed).count("Join") == plan(indexed).count("BroadcastHashJoin") == 1
+    hot = indexed.filter("identifier = 'hot'").select(F.spark_partition_id()).distinct()
+    assert hot.count() > 1
+    assert indexed.count() == len(rows)
 
 
 @pytest.mark.parametrize("policy", ["ranked", "contenders", "overall"])
