@@ -12,11 +12,13 @@ from plurality.llm import (
     chat,
     langid,
     main_text,
+    merkle,
     mixing,
     neighbours,
     packing,
     quality,
     secret_scan,
+    sharding,
     simhash,
     warc,
 )
@@ -85,6 +87,14 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents")).drop("row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -98,6 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_neighbours,
         op9_packing,
         op10_secrets,
+        op12_merkle,
+        op13_shards,
     )
 }
 
@@ -177,4 +189,130 @@ WITH vectors AS (
 SELECT * FROM ranked WHERE rank <= 20
 """
 
-ORACLES: dict[str, str] = {"op4_warc": _OP4, "op5_chat": _OP5, "op8_neighbours": _OP8}
+# CRC-32 of a list of byte values, from the polynomial's table of 256 entries.
+_CRC_STEP = "CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
+_CRC_TABLE = "SELECT i, i AS c FROM range(256) t(i)"
+for _ in range(8):
+    _CRC_TABLE = f"SELECT i, {_CRC_STEP.format(c='c')} AS c FROM ({_CRC_TABLE})"
+_CRC_TABLE = f"SELECT list(c ORDER BY i) AS crcs FROM ({_CRC_TABLE})"
+
+
+def _crc(byte_list: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {byte_list}),
+        lambda c, x: xor(c >> 8, crcs[1 + (xor(c, x) & 255)])))"""
+
+
+_OP12 = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), leaves AS (
+    SELECT doc_id, lang, source, n_chars, text,
+           coalesce({_crc("list_transform(split(doc_id::VARCHAR, ''), lambda d: ord(d)::BIGINT)")} % 7 = 0,
+                    false) AS changed,
+           row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place
+    FROM documents, crc
+), hashed AS (
+    SELECT *, {{leaf}} AS leaf, {{claimed}} AS claimed FROM leaves
+), levels AS (
+    SELECT lang, 0 AS level, list(leaf ORDER BY place) AS nodes FROM hashed GROUP BY lang
+    UNION ALL
+    SELECT lang, level + 1, list_transform(range(0, len(nodes), 2), lambda i:
+        sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+    FROM levels WHERE len(nodes) > 1
+), tops AS (
+    SELECT lang, nodes[1] AS subroot, level AS height,
+           row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank
+    FROM levels WHERE len(nodes) = 1
+), above AS (
+    SELECT 0 AS level, list(subroot ORDER BY rank) AS nodes FROM tops
+    UNION ALL
+    SELECT level + 1, list_transform(range(0, len(nodes), 2), lambda i:
+        sha256(nodes[i + 1] || coalesce(nodes[i + 2], '')))
+    FROM above WHERE len(nodes) > 1
+), steps AS (
+    SELECT h.doc_id, v.level, h.place >> v.level AS node, v.nodes
+    FROM hashed h JOIN levels v ON h.lang IS NOT DISTINCT FROM v.lang AND len(v.nodes) > 1
+    UNION ALL
+    SELECT h.doc_id, t.height + a.level, t.rank >> a.level AS node, a.nodes
+    FROM hashed h JOIN tops t ON h.lang IS NOT DISTINCT FROM t.lang
+    JOIN above a ON len(a.nodes) > 1
+), proofs AS (
+    SELECT doc_id,
+           list(CASE WHEN node % 2 = 1 THEN '<' || nodes[node]
+                     ELSE '>' || coalesce(nodes[node + 2], '') END ORDER BY level) AS entries
+    FROM steps GROUP BY doc_id
+), folded AS (
+    SELECT h.*, coalesce(p.entries, []) AS entries,
+           list_reduce(list_prepend(h.claimed, coalesce(p.entries, [])), lambda x, e:
+               sha256(CASE WHEN e[1] = '<' THEN e[2:] || x ELSE x || e[2:] END))
+               AS folded_root
+    FROM hashed h LEFT JOIN proofs p USING (doc_id)
+)
+SELECT f.doc_id, f.leaf, t.subroot, r.nodes[1] AS root,
+       sha256(coalesce(list_aggregate(list_transform(f.entries, lambda e: e[2:]),
+              'string_agg', ''), '')) AS proof_sha256,
+       f.folded_root, f.folded_root = r.nodes[1] AS verified
+FROM folded f JOIN tops t ON f.lang IS NOT DISTINCT FROM t.lang
+JOIN above r ON len(r.nodes) = 1
+"""
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ["doc_id", "source", "lang", n_chars, "text"]
+    parts = [f"coalesce(strlen(({v})::VARCHAR) || ':' || ({v})::VARCHAR, '-')" for v in values]
+    return f"sha256({' || '.join(parts)})"
+
+
+_OP12 = _OP12.replace("{leaf}", _leaf_sql("n_chars")).replace(
+    "{claimed}", _leaf_sql("CASE WHEN changed THEN n_chars + 1 ELSE n_chars END")
+)
+
+
+def _permuted_sql() -> str:
+    """One pass of the network over ``h`` and ``l``, below ``a`` and ``b``."""
+    prime = sharding.PRIME
+    sql = """SELECT w.r, w.step, d.*, w.spot // d.b AS h, w.spot % d.b AS l
+        FROM walk w, dims d WHERE w.step = 0 OR w.spot >= d.n"""
+    for i, k in enumerate(sharding.permutation(1).rounds):
+        moved, other, size = ("h", "l", "a") if i % 2 == 0 else ("l", "h", "b")
+        sql = f"""SELECT * EXCLUDE (q) REPLACE (
+            ({moved} + (xor(q, q >> 16) * {k.again} + {k.last}) % {prime}) % {size} AS {moved})
+            FROM (SELECT *, (({other} + {k.add}) % {prime} * {k.times} + {k.plus}) % {prime} AS q
+                  FROM ({sql}))"""
+    return f"SELECT r, h * b + l AS spot, step + 1 AS step FROM ({sql})"
+
+
+_OP13 = f"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}), root AS (
+    SELECT count(*) AS n, greatest(1, floor(sqrt(count(*)))::BIGINT) AS root FROM documents
+), widths AS (
+    SELECT n, unnest(range(root - least({sharding.WIDTHS}, root // 4), root + 1)) AS a FROM root
+), dims AS (
+    SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM widths
+    ORDER BY (n + a - 1) // a * a, a DESC LIMIT 1
+), numbered AS (
+    SELECT doc_id, coalesce(text, '') AS body, row_number() OVER (ORDER BY doc_id) - 1 AS r
+    FROM documents
+), walk AS (
+    SELECT r, r AS spot, 0 AS step FROM numbered
+    UNION ALL {_permuted_sql()}
+), bytes AS (
+    SELECT r, list_transform(split(hex(encode(body)), ''),
+               lambda d: (strpos('0123456789ABCDEF', d) - 1)::BIGINT) AS digits
+    FROM numbered
+), checksums AS (
+    SELECT r, {_crc("list_transform(range(0, len(digits) // 2), lambda i: digits[2 * i + 1] * 16 + digits[2 * i + 2])")}
+        AS text_crc32
+    FROM bytes, crc
+)
+SELECT doc_id, strlen(body) + 1 AS size, text_crc32, 'rows' AS law, (spot % 16)::INTEGER AS shard,
+       spot // 16 AS slot, NULL::INTEGER AS grown_shard
+FROM numbered JOIN walk USING (r) JOIN checksums USING (r), dims
+WHERE step > 0 AND spot < n
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_warc": _OP4,
+    "op5_chat": _OP5,
+    "op8_neighbours": _OP8,
+    "op12_merkle": _OP12,
+    "op13_shards": _OP13,
+}
