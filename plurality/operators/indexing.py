@@ -8,6 +8,7 @@ own exchange moves them; the counts per bucket come from the order columns alone
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -18,10 +19,10 @@ from plurality.functions import col, comparable, nulls_last
 from plurality.operators.relational import move_to_front, project
 
 # Buckets per shuffle partition: hashed to partitions, several even each other out.
-BUCKETS_PER_PARTITION = 4
+BUCKETS_PER_PARTITION = 2
 # Bounds of the literals: split points, and sampled keys behind each of them.
 MAX_BUCKETS = 4096
-SAMPLE_PER_BUCKET = 32
+SAMPLE_PER_BUCKET = 16
 # Up to this many rows a top-n per task and one last task are enough.
 TOP_ROWS = 10_000
 
@@ -29,9 +30,11 @@ _LEAST_HASH = -(1 << 63)
 
 
 class Splits(NamedTuple):
-    """Ascending split points as one literal array, and what they are made of."""
+    """Ascending split points as literals: in rows of ``width``, and the first of each row."""
 
-    points: Column
+    rows: Column
+    firsts: Column
+    width: int
     kind: str
     count: int
     with_hash: bool
@@ -48,30 +51,38 @@ def unused(df: DataFrame, name: str) -> str:
 def split_points(df: DataFrame, order: Sequence[str]) -> Splits:
     """Split points that cut ``df`` into buckets of about equal size in ``order``.
 
-    One job reads the order columns. Where a value is so common that split points
+    One job counts the rows and one reads the order columns. Where a value is so common that split points
     repeat, a second one samples the values with the hash of the row, so that rows
     equal in ``order`` go to several buckets. Repeats of one whole row share one.
     """
-    splits = _sampled(df, order, with_hash=False)
-    return splits or _sampled(df, order, with_hash=True)
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = min(MAX_BUCKETS, BUCKETS_PER_PARTITION * partitions) * SAMPLE_PER_BUCKET
+    share = min(1.0, wanted / max(1, df.count()))
+    splits = _sampled(df, order, share, with_hash=False)
+    return splits or _sampled(df, order, share, with_hash=True)
 
 
-def _sampled(df: DataFrame, order: Sequence[str], with_hash: bool) -> Splits | None:
+def _sampled(
+    df: DataFrame, order: Sequence[str], share: float, with_hash: bool
+) -> Splits | None:
     """Split points, or nothing if they repeat and the hash can tell them apart."""
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = min(MAX_BUCKETS, BUCKETS_PER_PARTITION * partitions)
-    keys = df.select(_key(df, order, with_hash).alias("key"), F.rand(0).alias("lot"))
-    some = keys.orderBy("lot").limit(buckets * SAMPLE_PER_BUCKET)
+    keys = df.select(_key(df, order, with_hash).alias("key"))
+    some = keys.filter(F.rand(0) < share) if share < 1 else keys
     ordered = some.agg(F.array_sort(F.collect_list("key")).alias("keys"))
     chosen = F.filter("keys", lambda _, i: (i + 1) % SAMPLE_PER_BUCKET == 0)
     points = ordered.select(chosen.alias("points"), F.array_distinct(chosen).alias("distinct"))
-    text, kind, size, distinct = points.select(
+    text, kind, size, count = points.select(
         F.to_json("distinct"), F.typeof(F.col("distinct")[0]), F.size("points"), F.size("distinct")
     ).first()
-    if distinct < size and not with_hash:
+    if count < size and not with_hash:
         return None
-    literal = F.sort_array(F.from_json(F.lit(text), f"array<{kind}>"))
-    return Splits(literal, kind, distinct, with_hash)
+    # A power of two, so that a row is searched in whole steps.
+    width = 1 << (count.bit_length() // 2)
+    points = json.loads(text)
+    grid = [points[i : i + width] for i in range(0, count, width)]
+    rows = F.from_json(F.lit(json.dumps(grid)), f"array<array<{kind}>>")
+    firsts = F.from_json(F.lit(json.dumps([row[0] for row in grid])), f"array<{kind}>")
+    return Splits(rows, firsts, width, kind, count, with_hash)
 
 
 def _key(
@@ -98,16 +109,33 @@ def _row_hash(df: DataFrame, order: Sequence[str]) -> Column:
 def with_bucket(df: DataFrame, key: Column, splits: Splits, name: str) -> DataFrame:
     """Add ``name``: how many split points are not above ``key``, by binary search.
 
-    Every step of the search is a projection of its own, so that each is compiled and
-    the key is built once.
+    First the row of split points, then the place in it. Every step is a projection of
+    its own: each is compiled, the key is built once, and the literal of all points
+    stands in the plan once.
     """
-    at, low = unused(df, "_key"), col(name)
+    at, row = unused(df, "_key"), unused(df, "_row")
     out = df.withColumn(at, key.cast(splits.kind)).withColumn(name, F.lit(0))
-    for i in reversed(range(splits.count.bit_length())):
+    if not splits.count:
+        return out.drop(at)
+    rows = -(-splits.count // splits.width)
+    out = _searched(out, at, name, splits.firsts, rows)
+    # Behind the first point of row number name - 1; below all points there is no row.
+    out = out.withColumn(row, F.get(splits.rows, col(name) - 1))
+    before = F.greatest(col(name) - 1, F.lit(0)) * splits.width
+    held = unused(out, "_held")
+    out = _searched(out.withColumn(held, before), at, name, col(row), splits.width)
+    return out.withColumn(name, col(held) + col(name)).drop(at, row, held)
+
+
+def _searched(df: DataFrame, at: str, name: str, points: Column, most: int) -> DataFrame:
+    """Replace ``name`` by how many of at most ``most`` points are not above ``at``."""
+    low = col(name)
+    out = df.withColumn(name, F.lit(0))
+    for i in reversed(range(most.bit_length())):
         step = 1 << i
-        above = col(at) >= F.get(splits.points, low + step - 1)
+        above = col(at) >= F.get(points, low + step - 1)
         out = out.withColumn(name, F.when(above, low + step).otherwise(low))
-    return out.drop(at)
+    return out
 
 
 def _starts(bucketed: DataFrame, bucket: str, splits: Splits, start: str) -> DataFrame:
