@@ -17,6 +17,7 @@ from plurality.llm import (
     neighbours,
     packing,
     quality,
+    ranking,
     secret_scan,
     sharding,
     simhash,
@@ -87,6 +88,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = (_table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return ranking.search(documents, items)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(_table(spark, sf_dir, "documents"))
 
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_neighbours,
         op9_packing,
         op10_secrets,
+        op11_search,
         op12_merkle,
         op13_shards,
     )
@@ -189,6 +196,37 @@ WITH vectors AS (
 SELECT * FROM ranked WHERE rank <= 20
 """
 
+_OP11 = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM documents
+), tfs AS (
+    SELECT doc_id, term, count(*) AS tf, sum(count(*)) OVER (PARTITION BY doc_id) AS n
+    FROM words GROUP BY doc_id, term
+), corpus AS (
+    SELECT count(DISTINCT doc_id) AS docs, sum(tf)::BIGINT AS terms FROM tfs
+), weights AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+    FROM tfs, corpus GROUP BY term, docs
+), wanted AS (
+    SELECT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), scored AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf)
+               // (1000 * tf + 8 * (25 + (75 * n::BIGINT * docs) // terms))))::BIGINT AS score
+    FROM wanted JOIN tfs USING (term) JOIN weights USING (term), corpus
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, row_number() OVER (
+           PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0
+QUALIFY rank <= 10
+"""
+
 # CRC-32 of a list of byte values, from the polynomial's table of 256 entries.
 _CRC_STEP = "CASE WHEN {c} & 1 = 1 THEN xor({c} >> 1, 3988292384) ELSE {c} >> 1 END"
 _CRC_TABLE = "SELECT i, i AS c FROM range(256) t(i)"
@@ -313,6 +351,7 @@ ORACLES: dict[str, str] = {
     "op4_warc": _OP4,
     "op5_chat": _OP5,
     "op8_neighbours": _OP8,
+    "op11_search": _OP11,
     "op12_merkle": _OP12,
     "op13_shards": _OP13,
 }
