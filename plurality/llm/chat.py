@@ -10,8 +10,8 @@ functions; a conversation is one row, as its digest needs it whole.
 Results for odd input: a NULL role or text counts as empty; an unknown role is
 formatted, bears no loss and makes the conversation invalid; turns with equal or
 NULL numbers come in order of number (NULL first), role, text; repeated rows are
-repeated turns; rows with a NULL id form one conversation; an empty table gives no
-rows. Other columns are not read.
+repeated turns; rows with a NULL id form one conversation; very long texts
+are escaped and written whole; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ step through many windows and all languages at once.
 Results for odd input: a NULL text, or one without letters, is ``und`` with score
 0, and so is every text when nothing is labelled; equal estimates go to the first
 language in alphabetical order; rows without label, text or id teach nothing;
-repeated rows get equal results. Other columns are carried, not read.
+repeated rows get equal results; very long texts are parsed whole; an empty table gives
+no rows. Repeats of id and text teach once. Other columns are carried, not read.
 """
 
 from __future__ import annotations
@@ -19,19 +20,22 @@ import hashlib
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurality.functions import col
+from plurality.llm.batches import slices
+from plurality.session import materialise
 
 UNDETERMINED = "und"
 # Bounds of the labelled sample: documents per language, characters of one
-# document, characters per language, languages.
+# document, characters per language.
 SAMPLE_DOCS = 96
 SAMPLE_DOC_CHARS = 1_000
 SAMPLE_CHARS = 16_000
-MAX_LANGUAGES = 500
+# Documents of all languages together; with very many languages each has fewer.
+SAMPLE_ALL_DOCS = 48_000
 WINDOW = 256
 # Characters parsed in one go.
 _BATCH = 1 << 20
@@ -51,28 +55,34 @@ def learn(
     doc_id: str = "doc_id",
     chars: int = SAMPLE_CHARS,
 ) -> dict[str, str]:
-    """Reference text per language: documents with the smallest id hashes.
+    """Reference text per language: documents with the smallest hashes of id and text.
 
-    Two passes: rows per language, then the rows below each language's hash
-    threshold. The driver gets ``SAMPLE_DOCS`` beginnings per language, about.
+    Two passes: the number of different documents per language, about, and the documents
+    below the hash threshold that it gives. Repeats are folded before the first
+    ``SAMPLE_DOCS`` of a language are taken, and only those reach the driver.
     """
-    order = F.xxhash64(col(doc_id)).bitwiseAND(F.lit((1 << 31) - 1))
+    order = F.xxhash64(col(doc_id), col(text)).bitwiseAND(F.lit((1 << 31) - 1))
     rows = labelled.select(
-        col(lang).alias("lang"), order.alias("order"), col(doc_id).alias("id"), col(text).alias("text")
+        col(lang).alias("lang"), col(doc_id).alias("id"), col(text).alias("text"), order.alias("order")
     ).dropna()
-    found = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages are labelled")
-    limits = [
-        (row["lang"], min(1 << 31, (SAMPLE_DOCS << 31) // row["count"])) for row in found
-    ]
-    if not limits:
-        return {}
-    limit = F.element_at(F.create_map(*[F.lit(x) for pair in limits for x in pair]), F.col("lang"))
-    sample = rows.filter(F.col("order") < limit.cast("bigint")).select(
-        "lang", "order", "id", F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text")
+    rows = rows.filter("text <> ''")
+    found = materialise(
+        rows.groupBy("lang").agg(F.approx_count_distinct("order", 0.05).alias("different")),
+        "languages",
     )
-    first = sample.filter("text <> ''").collect()
+    languages = found.count()
+    if not languages:
+        return {}
+    docs = max(1, min(SAMPLE_DOCS, SAMPLE_ALL_DOCS // languages))
+    # Half as much again, as the number of different documents is not exact.
+    share = F.lit(1.5 * docs + 16) / F.col("different")
+    limits = found.select("lang", (share * float(1 << 31)).alias("limit"))
+    below = rows.join(limits, "lang").filter(F.col("order") < F.col("limit"))
+    beginning = F.substring("text", 1, SAMPLE_DOC_CHARS)
+    single = below.groupBy("lang", "order").agg(F.min(F.struct("id", beginning.alias("text"))).alias("doc"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    first = single.withColumn("nth", nth).filter(F.col("nth") <= docs)
+    first = first.select("lang", "order", "doc.id", "doc.text").collect()
     texts: dict[str, str] = {}
     for row in sorted(first, key=lambda r: (r["lang"], r["order"], r["id"], r["text"])):
         kept = texts.get(row["lang"], "")
@@ -113,7 +123,8 @@ def build(references: dict[str, str]) -> Model:
 
 
 def _all_letters() -> np.ndarray:
-    return np.flatnonzero([chr(c).isalpha() for c in range(0x110000)])
+    letters = (chr(c).isalpha() for c in range(0x110000))
+    return np.flatnonzero(np.fromiter(letters, bool, 0x110000))
 
 
 def _read(text: str, codes: np.ndarray) -> np.ndarray:
@@ -265,12 +276,17 @@ def language_of(text: Column, references: dict[str, str]) -> Column:
     ``score`` is how much cheaper the winner is than the runner-up.
     """
 
-    @F.pandas_udf(RESULT)
-    def identified(texts: pd.Series) -> pd.DataFrame:
-        rows = classify(list(texts), _model(references))
-        return pd.DataFrame(rows, columns=["lang_pred", "score", "phrase_chars"])
+    types = [pa.string(), pa.float64(), pa.float64()]
+
+    @F.arrow_udf(RESULT)
+    def identified(texts: pa.Array) -> pa.Array:
+        model = _model(references)
+        rows = [row for part in slices(texts) for row in classify(part, model)]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+        return pa.StructArray.from_arrays(columns, ["lang_pred", "score", "phrase_chars"])
 
-    return identified(text)
+    # So marked, Spark never computes it a second time for a filter.
+    return identified.asNondeterministic()(text)
 
 
 def is_held_out(doc_id: Column) -> Column:

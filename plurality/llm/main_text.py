@@ -6,11 +6,15 @@ points are discounted by the share of its text that is in links. The best contai
 and those of its siblings that look like content are kept, without menus, headers,
 footers, sidebars, notices, adverts, forms, scripts and reader comments. What only its
 tag, class or id marks as one of these is kept after all if it holds most of the page's
-long, link-poor paragraphs and little is left without it.
+long, link-poor paragraphs and little is left without it. Inside an article such a mark
+only counts against what is short, link-heavy or form-like, or whose whole class or id
+says what it is: a section called "search-algorithms" stays. Articles beside the best one
+are kept if they pass the test for siblings.
 
 Results for odd input: NULL, empty or text-less html gives empty text; of equal
 scores the earlier container wins; unclosed, misnested and unknown elements are read
-as browsers do, roughly; repeated rows get equal results. Other columns are
+as browsers do, roughly; very long and very deep pages are read whole in time linear in
+both; repeated rows get equal results; an empty table gives no rows. Other columns are
 carried, not read.
 """
 
@@ -20,11 +24,12 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import col
+from plurality.llm.batches import slices
 
 # How elements behave.
 VOID = frozenset(
@@ -72,6 +77,16 @@ FOREIGN = frozenset(
     "consent gdpr popup newsletter subscribe subscription comment comments commentlist disqus "
     "replies respond outbrain taboola copyright".split()
 )
+# Words that add nothing to a marking one: with them alone a name still marks.
+NEUTRAL = frozenset(
+    "box list left right top bottom block container wrapper wrap area bar item items link links "
+    "button buttons inner outer panel module section group col column content page site global "
+    "primary secondary small large mobile desktop sticky fixed row grid text icon icons title "
+    "heading label body new center post posts article articles story stories more all user "
+    "reader readers slot unit google policy message this us follow on your our the latest "
+    "popular trending read result results".split()
+)
+CONTROLS = frozenset("input button select textarea".split())
 # Rescue: characters of a long paragraph, links' share in it, how often the points left
 # without a node must fit into its own, and characters that count as text beside it.
 LONG_CHARS, MOST_LINKED, TIMES_REST, TEXT_BESIDE = 80, 0.25, 3.0, 100
@@ -95,12 +110,20 @@ _WHITE = re.compile(r"\s+")
 class Node:
     """An element: its tag, and texts and elements in page order."""
 
-    __slots__ = ("tag", "dropped", "doubt", "parent", "children", "score", "chars", "linked")
+    __slots__ = ("tag", "dropped", "doubt", "hint", "parent", "children", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool = False, doubt: int = 0):
+    def __init__(
+        self,
+        tag: str,
+        parent: Node | None,
+        dropped: bool = False,
+        doubt: int = 0,
+        hint: bool = False,
+    ):
         self.tag, self.parent, self.dropped = tag, parent, dropped
-        # 1: marked by tag, class, id or role; 2: marked as foreign.
-        self.doubt = doubt
+        # 1: marked by tag, class, id or role; 2: marked as foreign. A hint: by one word
+        # of a longer name only.
+        self.doubt, self.hint = doubt, hint
         self.children: list[Node | str] = []
         self.score = 0.0
         self.chars = self.linked = 0
@@ -134,8 +157,8 @@ def parse(page: str) -> Node:
             continue
         here = _made_room(here, tag)
         attrs = token["attrs"]
-        hidden, doubt = _marks(tag, attrs)
-        node = Node(tag, here, here.dropped or tag in DROPPED or hidden, doubt)
+        hidden, doubt, hint = _marks(tag, attrs)
+        node = Node(tag, here, here.dropped or tag in DROPPED or hidden, doubt, hint)
         here.children.append(node)
         if tag in RAW:
             closing = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -180,28 +203,75 @@ def _made_room(here: Node, tag: str) -> Node:
     return here
 
 
-def _marks(tag: str, attrs: str) -> tuple[bool, int]:
-    """Whether an element is hidden, and its doubt (see :class:`Node`)."""
-    doubt = int(tag in DOUBTED)
+def _marks(tag: str, attrs: str) -> tuple[bool, int, bool]:
+    """Whether an element is hidden, its doubt, and whether that is a hint (see :class:`Node`)."""
+    sure, hinted = int(tag in DOUBTED), 0
     if not attrs or attrs.isspace():
-        return False, doubt
-    words: list[str] = []
+        return False, sure, False
     for m in _ATTR.finditer(attrs):
         name, value = m["name"].lower(), m["a"] or m["b"] or m["c"] or ""
         if name in ("class", "id", "role"):
-            words += ["", *(w.lower() for w in _WORD.findall(value))]
+            for token in value.split():
+                doubt, whole = _token_doubt(token)
+                if whole:
+                    sure = max(sure, doubt)
+                else:
+                    hinted = max(hinted, doubt)
         elif name == "style" and _HIDDEN.search(value):
-            return True, doubt
+            return True, 0, False
         elif name == "aria-hidden" and value.lower() == "true":
-            return True, doubt
+            return True, 0, False
     if re.search(r"(?:^|\s)hidden(?:\s|$)", attrs):
-        return True, doubt
+        return True, 0, False
     if tag in _ROOTS:
-        return False, doubt
-    for before, w in zip(["", *words], words):
-        if w in BOILERPLATE and before not in _NEGATED:
-            doubt = max(doubt, 2 if w in FOREIGN else 1)
-    return False, doubt
+        # An article within or beside the article may be a reader's comment.
+        return False, 2 if tag == "article" and sure == 2 else 0, False
+    return False, sure or hinted, not sure and hinted > 0
+
+
+def _token_doubt(token: str) -> tuple[int, bool]:
+    """The doubt that one class or id gives, and whether all of it says so."""
+    words = [w.lower() for w in _WORD.findall(token)]
+    marking = [
+        w for before, w in zip(["", *words], words) if w in BOILERPLATE and before not in _NEGATED
+    ]
+    if not marking:
+        return 0, False
+    whole = all(w in BOILERPLATE or w in NEUTRAL or len(w) == 1 or w.isdigit() for w in words)
+    return 2 if FOREIGN.intersection(marking) else 1, whole
+
+
+def clear(order: list[Node]) -> None:
+    """Take back doubts about what reads like the article's own text."""
+    inside: set[int] = set()
+    sizes: dict[int, list[int]] = {id(node): [0, 0, 0] for node in order}
+    for node in order:
+        if node.tag == "article" or id(node.parent) in inside:
+            inside.add(id(node))
+    for node in reversed(order):
+        # Characters, those in links, and form controls.
+        mine = sizes[id(node)]
+        for child in node.children:
+            if isinstance(child, str):
+                mine[0] += len(child.strip())
+            elif child.tag in CONTROLS:
+                mine[2] += 1
+            elif id(child) in sizes:
+                below = sizes[id(child)]
+                mine[0] += below[0]
+                mine[1] += below[0] if child.tag == "a" else below[1]
+                mine[2] += below[2]
+        chars, linked, controls = mine
+        if not node.doubt or controls or not chars or linked >= MOST_LINKED * chars:
+            continue
+        in_article = id(node.parent) in inside
+        if node.hint:
+            own = in_article or node.doubt == 1 and chars >= LONG_CHARS
+        else:
+            paragraph = node.tag in PARAGRAPHS and chars >= LONG_CHARS
+            own = in_article and node.doubt == 1 and (paragraph or node.tag == "header")
+        if own:
+            node.doubt = 0
 
 
 def settle(root: Node) -> None:
@@ -209,6 +279,7 @@ def settle(root: Node) -> None:
     order = list(_nodes(root))
     if not any(node.doubt for node in order):
         return
+    clear(order)
     # Per node: points of long paragraphs by their greatest doubt below it, its own
     # included; points and characters without links that nothing below it marks.
     points = {id(node): [0.0, 0.0, 0.0] for node in order}
@@ -283,12 +354,22 @@ def score(root: Node) -> Node | None:
             elif not child.dropped:
                 node.chars += child.chars
                 node.linked += child.chars if child.tag == "a" else child.linked
+    # A paragraph's points go to its parent, half of them further up, and ever smaller
+    # shares from there. A container's own text counts for itself.
+    first: dict[int, float] = {}
     for node in order:
         if node.tag in PARAGRAPHS or any(
             isinstance(c, str) and c.strip() for c in node.children
         ):
             if (node.tag in BLOCKS or node is root) and node.chars:
-                _pass_on(node)
+                at = node if node.tag in CONTAINERS or not node.parent else node.parent
+                first[id(at)] = first.get(id(at), 0.0) + _points(node)
+    # One sweep from the leaves; until a node is reached its score is what came from below.
+    for node in reversed(order):
+        own = first.get(id(node), 0.0)
+        if node.parent:
+            node.parent.score += own / 2 + node.score * 0.7
+        node.score += own
     best = None
     for node in order:
         if node.tag in CONTAINERS or node.tag == "html":
@@ -298,17 +379,10 @@ def score(root: Node) -> Node | None:
     return best[1] if best else None
 
 
-def _pass_on(node: Node) -> None:
-    """A paragraph's points go to its ancestors, ever smaller shares further up."""
-    own = "".join(c for c in _inline(node))
-    points = (1 + own.count(",") + min(3.0, len(own) / 100)) * (1 - _density(node))
-    # A container's own text counts for itself.
-    at = node if node.tag in CONTAINERS or not node.parent else node.parent
-    share = 1.0
-    while at:
-        at.score += points * share
-        share = share / 2 if share == 1.0 else share * 0.7
-        at = at.parent
+def _points(node: Node) -> float:
+    """What a paragraph is worth."""
+    own = "".join(_inline(node))
+    return (1 + own.count(",") + min(3.0, len(own) / 100)) * (1 - _density(node))
 
 
 def _inline(node: Node) -> Iterator[str]:
@@ -345,13 +419,15 @@ def _kept(best: Node) -> list[Node]:
             if node.tag == "article":
                 break
         node = node.parent
-    if top.tag in ("article", "main", "body", "html") or top.parent is None:
+    if top.tag in ("main", "body", "html") or top.parent is None:
         return [top]
     least = max(2.0, 0.2 * top.score)
     return [
         c
         for c in top.parent.children
-        if isinstance(c, Node) and not c.dropped and (c is top or _belongs(c, least))
+        if isinstance(c, Node)
+        and not c.dropped
+        and (c is top or (top.tag != "article" or c.tag == "article") and _belongs(c, least))
     ]
 
 
@@ -407,9 +483,9 @@ def main_text(page: str | None) -> str:
 def main_text_of(page: Column) -> Column:
     """:func:`main_text` as a column expression."""
 
-    @F.pandas_udf("string")
-    def extracted(pages: pd.Series) -> pd.Series:
-        return pd.Series([main_text(p) for p in pages], dtype=object)
+    @F.arrow_udf("string")
+    def extracted(pages: pa.Array) -> pa.Array:
+        return pa.array([main_text(p) for part in slices(pages) for p in part], pa.string())
 
     return extracted(page)
 

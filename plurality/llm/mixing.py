@@ -12,7 +12,9 @@ Without a given budget it is the smallest that gives every source a whole epoch:
 then no document is left out, and smaller sources are repeated.
 
 Results for odd input: a NULL source counts as the source ``''``; a NULL or empty
-text counts one token (its end); repeated rows are separate documents; a single
+text counts one token (its end); very long texts are counted whole; rows with equal or
+NULL ids are told apart by their other columns, rows equal in all are interchangeable
+copies; equal lots go to the smaller document first; a single
 source has weight 1; an empty table gives no rows. Other columns are kept as they
 are, whatever their names.
 """
@@ -29,7 +31,7 @@ from plurality.functions import col
 from plurality.session import materialise
 
 SEED = 1_729
-BLOCKS = 256
+BLOCKS = 1 << 16
 # Bisection levels settled by one pass over the sources, and passes.
 LEVELS, PASSES = 5, 6
 
@@ -131,7 +133,13 @@ def mix(
     their weights throughout. A source's last copy may exceed its budget by less
     than one document.
     """
-    key = F.xxhash64(F.lit(seed), col(doc_id))
+    # Rows with one id, or none, differ in other columns; maps cannot be hashed.
+    whole = [
+        col(f.name)
+        for f in docs.schema.fields
+        if f.name != doc_id and "map<" not in f.dataType.simpleString()
+    ]
+    key = F.xxhash64(F.lit(seed), col(doc_id), *whole)
     rows = docs.select(
         F.coalesce(col(source).cast("string"), F.lit("")).alias("source"),
         key.alias("key"),

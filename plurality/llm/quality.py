@@ -13,7 +13,8 @@ outweighs many rules that praise nearly everything.
 
 Results for odd input: a NULL or empty text has no words, fails the base check and
 is not kept; a NULL id is carried; repeated rows get equal results, and each counts
-in the learning; an empty table gives no rows. Other columns are not read.
+in the learning; a posterior equal to the threshold keeps the document; very long texts
+are measured whole; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations

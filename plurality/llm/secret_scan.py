@@ -12,7 +12,8 @@ name, length, character classes and entropy; above a threshold its span is added
 under the kind ``named``. Base spans are never removed.
 
 Results for odd input: a NULL or empty text has no spans; spans of equal start
-are ordered by kind; repeated rows get equal results. Offsets are code points,
+are ordered by kind; repeated rows get equal results; very long texts are scanned whole,
+and long joined literals scored by their beginning; an empty table gives no rows. Offsets are code points,
 ends exclusive. Other columns are carried, not read.
 """
 
@@ -23,12 +24,14 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import col
+from plurality.llm.batches import slices
 
 # Kinds in the order in which spans of equal start are listed.
 KINDS = ("assign", "access", "hex", "named")
@@ -125,31 +128,57 @@ _IDENTIFIER = re.compile(rf"{_NAME}\Z", re.ASCII)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+", re.ASCII)
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, literal, spans) of every assignment, constants filled in.
+# Characters of a joined literal that are kept to score it; all its parts have spans.
+SCORED_CHARS = 4096
 
-    A literal built from several parts has a span for each; a name on the right
-    stands for the literal that it was last assigned.
+
+@dataclass(eq=False)
+class Literal:
+    """What is assigned: its text (the beginning, to be scored), and where its parts stand.
+
+    A part that is a constant is held by reference, so that joining constants over and
+    over costs a step each, not a copy.
+    """
+
+    text: str = ""
+    own: list[tuple[int, int]] = field(default_factory=list)
+    constants: list[Literal] = field(default_factory=list)
+
+    def places(self, seen: set[int]) -> Iterator[tuple[int, int]]:
+        """The spans of all parts, without the constants in ``seen``, which grows."""
+        waiting = [self]
+        while waiting:
+            literal = waiting.pop()
+            if id(literal) not in seen:
+                seen.add(id(literal))
+                yield from literal.own
+                waiting += literal.constants
+
+
+def assignments(text: str) -> Iterator[tuple[str, Literal]]:
+    """(name, literal) of every assignment, constants filled in.
+
+    A name on the right stands for the literal that it was last assigned.
     """
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    constants: dict[str, Literal] = {}
     found = [m for m in _PAIR.finditer(text) if m["op"] != "=="]
     for m in sorted([*found, *_DECLARED.finditer(text)], key=lambda m: m.start("name")):
         starts = [m.end()]
         if m.re is _PAIR and m["op"] == ":":
             if spans := _block_lines(text, m.start("name"), m.end()):
-                yield m["name"], "".join(text[a:b] for a, b in spans), spans
+                yield m["name"], Literal("".join(text[a:b] for a, b in spans), spans)
                 continue
             if typed := _TYPE.match(text, m.end()):
                 # Without quotes the right side may be a value that holds a sign.
                 sure = _QUOTED.match(text, typed.end())
                 starts = [typed.end()] if sure else [m.end(), typed.end()]
         for at in starts:
-            literal, spans = _operands(text, at, constants)
-            if spans:
-                constants[m["name"]] = (literal, spans)
-                yield m["name"], literal, spans
+            literal = _operands(text, at, constants)
+            if literal.own or literal.constants:
+                constants[m["name"]] = literal
+                yield m["name"], literal
     for m in _ELEMENT.finditer(text):
-        yield m["name"], m["value"].strip(), [m.span("value")]
+        yield m["name"], Literal(m["value"].strip(), [m.span("value")])
     for tag in _TAG.finditer(text):
         names, values = [], []
         for m in _ATTRIBUTE.finditer(text, *tag.span("attrs")):
@@ -161,27 +190,27 @@ def assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
             values.append(tag.span("text"))
         for name in names:
             for a, b in values:
-                yield name, text[a:b].strip(), [(a, b)]
+                yield name, Literal(text[a:b].strip(), [(a, b)])
 
 
-def _operands(
-    text: str, at: int, constants: dict[str, tuple[str, list[tuple[int, int]]]]
-) -> tuple[str, list[tuple[int, int]]]:
-    """The literal that starts at a place, with the spans of its parts."""
-    literal, spans = "", []
+def _operands(text: str, at: int, constants: dict[str, Literal]) -> Literal:
+    """The literal that starts at a place."""
+    literal = Literal()
     while operand := _OPERAND.match(text, at):
         inner = next(g for g in ("text3", "textb", "text", "bare") if operand[g] is not None)
         part = operand[inner]
-        place = [(operand.start(inner), operand.end(inner))]
         if inner == "bare" and part in constants:
-            part, place = constants[part]
-        literal += part
-        spans = spans + place
+            literal.constants.append(constants[part])
+            part = constants[part].text
+        else:
+            literal.own.append(operand.span(inner))
+        if len(literal.text) < SCORED_CHARS:
+            literal.text = (literal.text + part)[: max(SCORED_CHARS, len(part))]
         plus = _PLUS.match(text, operand.end())
         if not plus:
             break
         at = plus.end()
-    return literal, spans
+    return literal
 
 
 def _block_lines(text: str, name: int, at: int) -> list[tuple[int, int]]:
@@ -228,11 +257,14 @@ def strength(literal: str) -> float:
 
 def named_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literals assigned to sensitive names."""
-    found = set()
-    for name, literal, spans in assignments(text):
+    found, seen, kept = set(), set(), []
+    for name, literal in assignments(text):
         weight = sensitivity(name)
-        if weight >= 1.5 and (strong := strength(literal)) and weight + strong >= threshold:
-            found.update((a, b, "named") for a, b in spans if b - a >= 4)
+        strong = strength(literal.text) if weight >= 1.5 else 0
+        if strong and weight + strong >= threshold:
+            # Literals are told apart by identity, so those seen must stay alive.
+            kept.append(literal)
+            found.update((a, b, "named") for a, b in literal.places(seen) if a < b)
     return list(found)
 
 
@@ -265,18 +297,24 @@ def listed(spans: list[Span]) -> str:
 def secrets_of(text: Column, threshold: float = THRESHOLD, redacted: bool = True) -> Column:
     """Struct of counts, digest, spans and the redacted text (NULL if not asked for)."""
 
-    @F.pandas_udf(RESULT)
-    def scanned(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for text in texts:
-            spans = scan(text, threshold)
-            base = [s for s in spans if s[2] != "named"]
-            counts = Counter(kind for _, _, kind in base)
-            digest = hashlib.sha256(listed(base).encode()).hexdigest()
-            clean = redact(text, spans) if redacted else None
-            rows.append((*(counts[k] for k in KINDS[:3]), digest, listed(spans), clean))
-        names = [part.split()[0] for part in RESULT.split(", ")]
-        return pd.DataFrame(rows, columns=names)
+    names, kinds = zip(*[part.split() for part in RESULT.split(", ")])
+    types = [pa.int64() if kind == "bigint" else pa.string() for kind in kinds]
+
+    @F.arrow_udf(RESULT)
+    def scanned(texts: pa.Array) -> pa.Array:
+        parts = []
+        for part in slices(texts):
+            rows = []
+            for text in part:
+                spans = scan(text, threshold)
+                base = [s for s in spans if s[2] != "named"]
+                counts = Counter(kind for _, _, kind in base)
+                digest = hashlib.sha256(listed(base).encode()).hexdigest()
+                clean = redact(text, spans) if redacted else None
+                rows.append((*(counts[k] for k in KINDS[:3]), digest, listed(spans), clean))
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            parts.append(pa.StructArray.from_arrays(columns, names))
+        return pa.concat_arrays(parts)
 
     return scanned(text)
 

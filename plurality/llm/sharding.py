@@ -108,11 +108,11 @@ def permute(df: DataFrame, name: str, by: Permutation, forward: bool = True) ->
     moved = _once(df, name, by, forward)
     if by.places == by.rows:
         return moved
-    beyond = _walks(df, by, forward)
-    found = moved.join(beyond, moved[name] == beyond["_from"], "left")
-    return found.withColumn(name, F.coalesce("_to", col(name))).select(
-        *[col(c) for c in df.columns]
-    )
+    start, end = unused(df, "_from"), unused(df, "_to")
+    beyond = _walks(df, by, forward).toDF(start, end)
+    found = moved.join(beyond, col(name) == col(start), "left")
+    there = F.coalesce(col(end), col(name))
+    return found.withColumn(name, there).select(*[col(c) for c in df.columns])
 
 
 def _walks(df: DataFrame, by: Permutation, forward: bool) -> DataFrame:

@@ -12,7 +12,8 @@ flipped fingerprints finds the same links in linear work.
 
 Results for odd input: a NULL or empty text has fingerprint zero; a NULL id takes
 part but never names a component (one of NULL ids only has component NULL);
-repeated rows give repeated rows; an empty table gives an empty result. Other
+repeated rows give repeated rows; very long texts are hashed whole, some shingles at a
+time; equal fingerprints are one node; an empty table gives an empty result. Other
 columns of the input are not read.
 """
 
@@ -21,12 +22,13 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plurality.functions import col
+from plurality.llm.batches import slices
 from plurality.session import materialise
 
 HASH_SEED = 42
@@ -66,9 +68,10 @@ _CHUNK = 1 << 16
 def fingerprint_of(text: Column, shingle: int = 3) -> Column:
     """:func:`fingerprint` as a column expression."""
 
-    @F.pandas_udf("bigint")
-    def hashed(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+    @F.arrow_udf("bigint")
+    def hashed(texts: pa.Array) -> pa.Array:
+        found = [fingerprint(t, shingle) for part in slices(texts) for t in part]
+        return pa.array(found, pa.int64())
 
     return hashed(text)
 

@@ -13,7 +13,8 @@ nested row per capture.
 Results for odd input: a NULL payload is empty; NULL ids and addresses are left
 out of the records and read as NULL; rows that repeat both id and payload of a
 response are responses too; of equal payloads with NULL ids only, each is a
-response; repeated requests or metadata of a record count once; an empty table
+response; repeated requests or metadata of a record count once; very long payloads
+are written and read whole; an empty table
 gives an empty archive and no captures. Other columns are not read.
 """
 
