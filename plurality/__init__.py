@@ -53,6 +53,7 @@ from plurality.sources.files import (
     read_table,
     write_csv,
     write_json,
+    write_json_array,
     write_table,
 )
 
@@ -121,5 +122,6 @@ __all__ = [
     "with_ranks",
     "write_csv",
     "write_json",
+    "write_json_array",
     "write_table",
 ]

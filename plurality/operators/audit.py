@@ -7,6 +7,7 @@ from typing import Any, NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plurality.functions import col
 from plurality.operators.consensus import consensus
 from plurality.operators.relational import (
     join_null_safe,
@@ -77,7 +78,7 @@ def audit_ties(
     pool = project(_POOLS[policy](votes, layout, tied), [*listed, *layout.order])
     sample = materialise(sample_rows(pool, n, seed, row_key, CHECK_NUMBER), "sample")
     checks = project(sample, [*layout.keys, CHECK_NUMBER])
-    hit = semi_join(votes, sample, layout.keys)
+    hit = _votes_of(votes, sample, layout, n)
     if scored is None:
         # A group is scored from its own votes, so the sampled ones suffice.
         scored = consensus(hit, layout, policy, carry=())
@@ -88,6 +89,30 @@ def audit_ties(
     return Audit(sample, project(original, numbered), project(clean, numbered))
 
 
+# Keys of at most so many sampled rows become literals of the scan.
+LITERAL_KEYS = 200
+
+
+def _votes_of(votes: DataFrame, sample: DataFrame, layout: VoteLayout, n: int) -> DataFrame:
+    """The votes of the sampled groups.
+
+    Few keys are bound into the scan, which then skips files and row groups that hold
+    none of them; many are joined.
+    """
+    if n > LITERAL_KEYS:
+        return semi_join(votes, sample, layout.keys)
+    chosen = F.lit(False)
+    for row in project(sample, layout.keys).distinct().collect():
+        same = F.lit(True)
+        for name, value in zip(layout.keys, row):
+            kind = sample.schema[name].dataType
+            same = same & (
+                col(name).isNull() if value is None else col(name) == F.lit(value).cast(kind)
+            )
+        chosen = chosen | same
+    return votes.filter(chosen)
+
+
 # The votes that compete in a tie, by policy.
 _POOLS = {
     "ranked": tie_rows,

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plurality.functions import col
+from plurality.operators.indexing import unused
+from plurality.session import materialise
 
 
 def parse_json(
@@ -27,14 +29,21 @@ def parse_json(
 def split_json_rejects(
     df: DataFrame, source: str, schema: T.DataType, target: str = "json_parsed"
 ) -> tuple[DataFrame, DataFrame]:
-    """The rows :func:`parse_json` accepts, parsed, and the other rows as given."""
+    """The rows :func:`parse_json` accepts, parsed, and the other rows as given.
+
+    Every text is parsed once, here and now, and both results are written apart; reading
+    one of them, however often, reads nothing of the other.
+    """
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     read = _read_json(df, source, schema, options)
     whole = col("_whole") & col("_corrupt").isNull()
     fine = F.coalesce(whole, F.lit(False)) | col(source).isNull()
+    verdict = unused(df, "_fine")
     given = [col(c) for c in df.columns]
-    good = read.filter(fine).select(*given, col("_body").alias(target))
-    return good, read.filter(~fine).select(*given)
+    body = F.when(fine, col("_body")).alias(target)
+    both = materialise(read.select(*given, body, fine.alias(verdict)), "parsed", verdict)
+    good = both.filter(col(verdict)).select(*given, col(target))
+    return good, both.filter(~col(verdict)).select(*given)
 
 
 def _read_json(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.functions import col
@@ -75,12 +75,29 @@ def score_summary(
         decided = decide(votes, layout, carry=())
     elif decided is None:
         decided = decide_raw(votes, layout, policy, carry=())
-    totals = decided.agg(
+    return _worded(decided.agg(*summary_totals()), layout)
+
+
+def summary_totals() -> list[Column]:
+    """The numbers of a summary, as aggregates over the decisions."""
+    return [
         F.coalesce(F.sum("votes"), F.lit(0)).alias("votes"),
         F.count("*").alias("groups"),
         F.count_if(col("tied")).alias("ties"),
         F.count_if(~col("tied")).alias("clear"),
-    )
+    ]
+
+
+def summary_of(spark: SparkSession, totals: dict[str, int], layout: VoteLayout) -> DataFrame:
+    """:func:`score_summary` from :func:`summary_totals` observed before."""
+    numbers = [
+        F.lit(totals[name]).cast("bigint").alias(name)
+        for name in ("votes", "groups", "ties", "clear")
+    ]
+    return _worded(spark.range(1).select(*numbers), layout)
+
+
+def _worded(totals: DataFrame, layout: VoteLayout) -> DataFrame:
     return totals.select(
         "*",
         _groups_message(layout).alias("groups_message"),

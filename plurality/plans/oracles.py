@@ -176,7 +176,10 @@ sample AS (
 
 ORACLES: dict[str, str] = {
     "json_file_scan": "SELECT * FROM customer",
+    "json_array_scan": "SELECT * FROM customer",
     "csv_scan": "SELECT * FROM supplier",
+    "csv_quoted_scan": "SELECT * FROM documents",
+    "csv_inferred_scan": "SELECT * FROM supplier",
     "table_scan": "SELECT * FROM orders",
     "csv_sink": _consensus("ranked"),
     "csv_sink_numbered": f"""

@@ -52,6 +52,29 @@ def json_file_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_json(spark, path, customers.schema)
 
 
+def json_array_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file that holds one array, read in splits."""
+    customers = table(spark, sf_dir, "customer")
+    path = scratch_path(spark, "json")
+    files.write_json_array(customers, path, ["c_custkey"])
+    return files.read_json(spark, path, customers.schema, array=True)
+
+
+def csv_quoted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks, commas and quotes."""
+    documents = table(spark, sf_dir, "documents")
+    path = scratch_path(spark, "csv")
+    files.write_csv(documents, path)
+    return files.read_csv(spark, path, documents.schema, multiline=True)
+
+
+def csv_inferred_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types found from all values: whole numbers, decimals and text."""
+    path = scratch_path(spark, "csv")
+    files.write_csv(table(spark, sf_dir, "supplier"), path)
+    return files.read_csv(spark, path, schema=None)
+
+
 def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The file's columns are in reverse; they are found by name."""
     suppliers = table(spark, sf_dir, "supplier")
@@ -429,7 +452,10 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         json_file_scan,
+        json_array_scan,
         csv_scan,
+        csv_quoted_scan,
+        csv_inferred_scan,
         table_scan,
         csv_sink,
         csv_sink_numbered,

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import replace
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import types as T
 
 from plurality.operators.audit import Audit, audit_ties
@@ -14,7 +14,7 @@ from plurality.operators.consensus import POLICIES, consensus, decide, decide_ra
 from plurality.operators.indexing import number_rows
 from plurality.operators.nested import flatten_forms
 from plurality.operators.relational import move_to_front, project
-from plurality.operators.reports import score_summary
+from plurality.operators.reports import summary_of, summary_totals
 from plurality.operators.tally import tied_groups, tied_values
 from plurality.schema import (
     FORM_LAYOUT,
@@ -77,8 +77,8 @@ def score_and_publish(
 ) -> Scoring:
     """Score the rating table, publish it as view ``name``, and audit ``n`` ties.
 
-    The votes are tallied once, into a table of one row per group, from which
-    ratings, summary and tied groups are read. The audit goes back to the votes for
+    The votes are tallied once, into a table of one row per group, from which ratings
+    and tied groups are read; the summary is observed as that table is written. The audit goes back to the votes for
     the pool it samples and for its listing. The view exists before the audit runs,
     also when the audit refuses ``n``.
     """
@@ -91,10 +91,12 @@ def score_and_publish(
         decided = decide_raw(table, layout, policy, attributes)
     else:
         raise ValueError(f"unknown policy {policy!r}; choose one of {POLICIES}")
-    decided = materialise(decided, "decided")
+    # The summary's numbers are taken as the decisions are written.
+    totals = Observation()
+    decided = materialise(decided.observe(totals, *summary_totals()), "decided")
     scored = number_rows(project(decided, _REPORTED), layout.keys, "group_index")
     clean = publish(move_to_front(scored, "group_index"), name)
-    summary = score_summary(votes, layout, policy, decided)
+    summary = summary_of(votes.sparkSession, totals.get, layout)
     audit = None
     if check:
         ranked = policy == "ranked"

@@ -33,12 +33,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{folder}/data"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, apart: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet and read it back.
 
     Every later reader sees the same rows, also after a lost executor, and
-    what computed them does not run again.
+    what computed them does not run again. Rows that differ in ``apart`` lie in
+    different folders: who filters on it reads no others.
     """
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    writer = df.write if apart is None else df.write.partitionBy(apart)
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,17 +2,20 @@
 
 import os
 import re
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from plurality import (
+    audit_ties,
     consensus,
     crosstab,
     group_index,
     lookup,
     row_ids,
     sample_rows,
+    score_and_publish,
     score_summary,
     semi_join,
     vote_counts,
@@ -21,7 +24,8 @@ from plurality import (
 from plurality.operators import indexing
 from plurality.operators.tally import clear_values, tied_values
 from plurality.session import scratch_path, scratch_root
-from votes import LAYOUT, frame, random_votes, score
+from plurality.schema import FORM_LAYOUT, VOTE_SCHEMA
+from votes import LAYOUT, E, N, S, frame, random_votes, score
 
 KEYS = list(LAYOUT.keys)
 
@@ -182,3 +186,36 @@ def test_hot_group_is_combined_in_the_map_tasks(hot_votes, policy):
     assert [(r.participantRole, r.value, r.vote_count, r.row) for r in hot] == [
         (role, value, count, row)
     ]
+
+
+def test_sampled_keys_prune_the_scan(spark, settings):
+    """On votes saved in key order the audit opens only files that hold a sampled key."""
+    settings(maxMetadataStringLength="10000")
+    rows = [(i, i // 5, 1, "A", "teacher", v) for i, v in enumerate([E, E, S, S, N] * 400)]
+    path = scratch_path(spark, "sorted")
+    write_table(frame(spark, rows).repartitionByRange(20, "eventId").sortWithinPartitions("eventId"), path)
+    votes = spark.read.parquet(path)
+    audit = audit_ties(votes, LAYOUT, n=2, seed=5, scored=consensus(votes, LAYOUT, carry=()))
+    pushed = re.findall(r"PushedFilters: \[(.*?)\]", plan(audit.original))
+    keys = {r.eventId for r in audit.sample.collect()}
+    assert any(all(f"EqualTo(eventId,{k})" in p for k in keys) for p in pushed)
+    assert {r.eventId for r in audit.original.collect()} == keys
+    many = audit_ties(votes, LAYOUT, n=300, seed=5)
+    assert "semi" not in plan(audit.original).lower() and "semi" in plan(many.original).lower()
+
+
+def test_summary_is_observed_not_read_again(spark):
+    """The published run's summary needs no scan."""
+    rows = random_votes(3, 300)
+    votes = form_votes(spark, rows)
+    run = score_and_publish(votes, "observed", check=False, order=["participantId"])
+    assert "FileScan" not in plan(run.summary)
+    direct = score_summary(votes, replace(FORM_LAYOUT, order=("participantId",))).first()
+    assert run.summary.first() == direct
+
+
+def form_votes(spark, rows):
+    """The rows as the 15-column table, the row number as participant."""
+    df = frame(spark, rows).withColumn("participantId", F.col("row").cast("bigint"))
+    missing = [f for f in VOTE_SCHEMA.fields if f.name not in df.columns]
+    return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})

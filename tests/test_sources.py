@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from plurality import (
 )
 from plurality.schema import CSV_SCHEMA, FORM_SCHEMA, PAYLOAD_COLUMN, SECTIONS_SCHEMA
 from plurality.session import scratch_path
+from plurality.sources import borders
 from votes import EDGE, LAYOUT, E, N, S, frame
 
 HEADER = ",".join(["", *CSV_SCHEMA.names[1:]])
@@ -202,9 +204,7 @@ def test_malformed_payload_as_reject(spark):
 def test_payload_is_parsed_once(spark):
     forms = spark.createDataFrame(FORMS, FORM_SCHEMA)
     flat = flatten_forms(forms, PAYLOAD_COLUMN, SECTIONS_SCHEMA).filter("value <> ''")
-    good, rejects = split_json_rejects(forms, PAYLOAD_COLUMN, SECTIONS_SCHEMA)
-    for df in (flat, unnest(good, "json_parsed"), rejects):
-        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    assert flat._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
 
 
 def test_forms_to_report(spark, tmp_path):
@@ -268,3 +268,111 @@ def test_saved_table_without_a_declared_column_is_refused(spark, tmp_path):
     write_table(spark.range(3).selectExpr("id as valu"), str(tmp_path / "t"))
     with pytest.raises(ValueError, match="value"):
         read_table(spark, str(tmp_path / "t"), T.StructType([T.StructField("value", T.LongType())]))
+
+
+def test_rejects_are_split_in_one_pass(spark):
+    forms = spark.createDataFrame(FORMS, FORM_SCHEMA)
+    good, rejects = split_json_rejects(forms, PAYLOAD_COLUMN, SECTIONS_SCHEMA)
+    for df in (good, rejects):
+        text = df._jdf.queryExecution().executedPlan().toString()
+        assert "from_json" not in text
+        # The folder of the other verdict is not read.
+        assert re.search(r"PartitionFilters: \[[^\]]*_fine", text)
+    assert good.count() + rejects.count() == forms.count()
+
+
+# -- arrays of objects, quoted line breaks, inferred types -------------------------------
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "20")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+ODD = ['}{', '"},{"', "\\", "\\\\\"}", "[", "]]", "a\nb", "", "}" * 40, "é{", '\\"{', None, "x" * 500 + "}"]
+ARRAY_SCHEMA = "id bigint, text string, inner struct<a: array<struct<b: string>>>"
+
+
+def odd_records(n):
+    return [
+        {"id": i, "text": ODD[i % len(ODD)], "inner": {"a": [{"b": ODD[i % 7]}, {}] if i % 3 else []}}
+        for i in range(n)
+    ]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("size", [0, 1, 60])
+def test_one_array_is_read_by_many_tasks(spark, small_splits, tmp_path, indent, size):
+    records = odd_records(size)
+    for name in ("one", "two"):
+        (tmp_path / name).write_text(json.dumps(records, indent=indent, ensure_ascii=False) + "\n")
+    df = read_json(spark, str(tmp_path), T._parse_datatype_string(ARRAY_SCHEMA), array=True)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1g")
+    whole = spark.read.schema(ARRAY_SCHEMA).option("multiLine", True).json(str(tmp_path))
+    want = sorted(map(str, whole.collect()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    assert sorted(map(str, df.collect())) == want and len(want) == 2 * size
+    tasks = borders.pieces(spark, str(tmp_path / "one"), "}").rdd.getNumPartitions()
+    assert tasks > 1 or size < 60
+
+
+@pytest.mark.parametrize("text", [
+    '[{"id": 1} {"id": 2}]', '[{"id": 1}, 7, {"id": 2}]', '[{"id": 1}', '{"id": 1}', '[{"id": 1}] x',
+    '[{"id": "a"}]', '[{"id": 1}, null]', '[{"id": 1},]', "[{]",
+])
+def test_what_is_no_array_of_objects_fails(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
+    with pytest.raises(Exception):
+        read_json(spark, str(tmp_path), T._parse_datatype_string("id bigint"), array=True).collect()
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, small_splits, tmp_path, end):
+    cells = ["plain", '"a, b"', '"said ""yes"""', f'"two{end}lines"', f'"{end}{end}"', '""', "NA", "",
+             f'"x""{end}""y,"', '"' + "long, " * 100 + '"']
+    lines = ["id,text,n"] + [f"{i},{cells[i % len(cells)]},{i / 4}" for i in range(200)]
+    for name in ("one.csv", "two.csv"):
+        (tmp_path / name).write_bytes((end.join(lines) + end).encode())
+    schema = T._parse_datatype_string("id bigint, text string, n double")
+    df = read_csv(spark, str(tmp_path), schema, multiline=True)
+    whole = spark.read.schema(schema).options(header=True, nullValue="NA", quote='"', escape='"', multiLine=True)
+    assert sorted(map(str, df.collect())) == sorted(map(str, whole.csv(str(tmp_path)).collect()))
+    assert df.count() == 400
+    assert borders.pieces(spark, str(tmp_path / "one.csv"), "\n").rdd.getNumPartitions() > 5
+    (tmp_path / "three.csv").write_text("id,other,n\n1,a,2\n")
+    with pytest.raises(Exception):
+        read_csv(spark, str(tmp_path), schema, multiline=True).collect()
+
+
+def test_types_are_found_from_all_rows(spark, tmp_path):
+    path = tmp_path / "typed.csv"
+    rows = [f"{i},{i},{i}.5,TRUE,,a{i},{i},{'9' * 25},{i},T" for i in range(3000)]
+    rows[1] = ",NA,1e3,F,NA,,NA,1, 7 ,5"
+    rows[2999] = "2,2,2,false,,b,late,2,3,F"
+    path.write_text(",i,d,l,blank,t,late,big,padded,mixed\n" + "\n".join(rows) + "\n")
+    df = read_csv(spark, str(path), schema=None)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert kinds == {
+        "_c0": "bigint", "i": "bigint", "d": "double", "l": "boolean", "blank": "boolean",
+        "t": "string", "late": "string", "big": "double", "padded": "bigint", "mixed": "string",
+    }
+    found = df.filter("d = 1000").first()
+    assert (found._c0, found.i, found.l, found.blank, found.t, found.padded) == (None, None, False, None, None, 7)
+    assert df.filter("late = 'late'").count() == 1 and df.count() == 3000
+
+
+def test_types_of_the_edge_case_votes(spark, tmp_path):
+    path = tmp_path / "edge.csv"
+    lines = [HEADER] + [vote_line(i, f"Evident,,{i},4,\"Oak, North\",,5,\"a, b\",f01,text ,6") for i in (1, 2)]
+    path.write_text("\n".join(lines) + "\n")
+    kinds = {f.name: f.dataType for f in read_csv(spark, str(path), schema=None).schema.fields}
+    declared = {f.name: f.dataType for f in CSV_SCHEMA.fields}
+    blank = {"status", "eventname"}
+    assert {k: v for k, v in kinds.items() if k not in blank} == {
+        k: v for k, v in declared.items() if k not in blank
+    }
+    assert {kinds[k] for k in blank} == {T.BooleanType()}
