@@ -1,7 +1,7 @@
 """Gap-free global numbering without a single-task window and without a copy.
 
-A bounded random sample of the order key gives split points, which become literals
-of the plan. Rows go to the bucket between two of them, buckets are numbered in
+A quantile sketch of the first order column, or a bounded random sample of the whole
+order key, gives split points, which become literals of the plan. Rows go to the bucket between two of them, buckets are numbered in
 parallel, and the number of rows in earlier buckets is added. Only the wide rows'
 own exchange moves them; the counts per bucket come from the order columns alone.
 """
@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plurality.functions import col, comparable, nulls_last
 from plurality.operators.relational import move_to_front, project
@@ -30,8 +31,12 @@ _LEAST_HASH = -(1 << 63)
 
 
 class Splits(NamedTuple):
-    """Ascending split points as literals: in rows of ``width``, and the first of each row."""
+    """Ascending split points of the columns in ``order``, as literals.
 
+    They stand in rows of ``width``; ``firsts`` has the first of each row.
+    """
+
+    order: tuple[str, ...]
     rows: Column
     firsts: Column
     width: int
@@ -51,13 +56,27 @@ def unused(df: DataFrame, name: str) -> str:
 def split_points(df: DataFrame, order: Sequence[str]) -> Splits:
     """Split points that cut ``df`` into buckets of about equal size in ``order``.
 
-    One job counts the rows and one reads the order columns. Where a value is so common that split points
-    repeat, a second one samples the values with the hash of the row, so that rows
-    equal in ``order`` go to several buckets. Repeats of one whole row share one.
+    One job counts the rows and sketches the first column, if it holds whole numbers.
+    Where one of its values, or NULL, fills whole buckets, a second job samples the whole
+    key, and where that is too common the key with the hash of the row, so that rows equal
+    in ``order`` go to several buckets. Repeats of one whole row share one.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = min(MAX_BUCKETS, BUCKETS_PER_PARTITION * partitions) * SAMPLE_PER_BUCKET
-    share = min(1.0, wanted / max(1, df.count()))
+    buckets = min(MAX_BUCKETS, BUCKETS_PER_PARTITION * partitions)
+    first = col(order[0])
+    numbers = [F.count("*"), F.count(first)]
+    whole = isinstance(df.schema[order[0]].dataType, T.IntegralType)
+    if whole:
+        shares = [i / buckets for i in range(1, buckets)]
+        numbers.append(F.percentile_approx(first, shares, max(10_000, 4 * buckets)))
+    rows, filled, *sketch = df.agg(*numbers).first()
+    points = sketch[0] if whole and filled else []
+    if points and len(set(points)) == len(points) and (rows - filled) * buckets <= 2 * rows:
+        flag = [False] if df.schema[order[0]].nullable else []
+        keys = [{f"_{i}": v for i, v in enumerate([*flag, point])} for point in points]
+        kind = df.select(_key(df, order[:1], False).alias("key")).schema["key"].dataType
+        return _literals(keys, kind.simpleString(), order[:1], False)
+    share = min(1.0, buckets * SAMPLE_PER_BUCKET / max(1, rows))
     splits = _sampled(df, order, share, with_hash=False)
     return splits or _sampled(df, order, share, with_hash=True)
 
@@ -76,13 +95,16 @@ def _sampled(
     ).first()
     if count < size and not with_hash:
         return None
+    return _literals(json.loads(text), kind, order, with_hash)
+
+
+def _literals(points: list[dict], kind: str, order: Sequence[str], with_hash: bool) -> Splits:
     # A power of two, so that a row is searched in whole steps.
-    width = 1 << (count.bit_length() // 2)
-    points = json.loads(text)
-    grid = [points[i : i + width] for i in range(0, count, width)]
+    width = 1 << (len(points).bit_length() // 2)
+    grid = [points[i : i + width] for i in range(0, len(points), width)]
     rows = F.from_json(F.lit(json.dumps(grid)), f"array<array<{kind}>>")
     firsts = F.from_json(F.lit(json.dumps([row[0] for row in grid])), f"array<{kind}>")
-    return Splits(rows, firsts, width, kind, count, with_hash)
+    return Splits(tuple(order), rows, firsts, width, kind, len(points), with_hash)
 
 
 def _key(
@@ -166,7 +188,7 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
 
 def _numbered(df: DataFrame, order: Sequence[str], name: str, splits: Splits) -> DataFrame:
     bucket, start = unused(df, "_bucket"), unused(df, "_start")
-    rows = with_bucket(df, _key(df, order, splits.with_hash), splits, bucket)
+    rows = with_bucket(df, _key(df, splits.order, splits.with_hash), splits, bucket)
     place = F.row_number().over(Window.partitionBy(bucket).orderBy(*_total_order(df, order)))
     starts = _starts(rows, bucket, splits, start)
     # One row per bucket: bounded by MAX_BUCKETS.
@@ -193,9 +215,9 @@ def group_index(
     later = unused(df, "_later")
     least = F.lit(_LEAST_HASH)
     groups = df.select(*[col(k) for k in keys]).distinct()
-    begin = _key(groups, keys, splits.with_hash, least)
+    begin = _key(groups, splits.order, splits.with_hash, least)
     starts = _starts(with_bucket(groups, begin, splits, bucket), bucket, splits, start)
-    rows = with_bucket(df, _key(df, keys, splits.with_hash), splits, bucket)
+    rows = with_bucket(df, _key(df, splits.order, splits.with_hash), splits, bucket)
     if splits.with_hash:
         first = unused(rows, "_first")
         rows = with_bucket(rows, _key(df, keys, True, least), splits, first)
@@ -222,7 +244,7 @@ def first_rows(df: DataFrame, order: Sequence[str], n: int, name: str) -> DataFr
         return df.orderBy(*by).limit(n).withColumn(name, position)
     splits = split_points(df, order)
     bucket, start = unused(df, "_bucket"), unused(df, "_start")
-    rows = with_bucket(df, _key(df, order, splits.with_hash), splits, bucket)
+    rows = with_bucket(df, _key(df, splits.order, splits.with_hash), splits, bucket)
     # At least one bucket starts below n: the first, at 0.
     begun = _starts(rows, bucket, splits, start).filter(col(start) < n)
     (last,) = begun.agg(F.max(bucket)).first()

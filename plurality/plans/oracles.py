@@ -1,7 +1,8 @@
 """ANSI SQL with the same answers as :mod:`plurality.plans.queries`.
 
-The statements follow the scoring rules step by step, with global numbering,
-windows and correlated EXISTS, and share nothing with the Spark plans.
+Every vote is described by window functions over its group: how many votes its rating
+has, the most any rating has, whether ratings tie for that, and the vote's turn in the
+one ordered choice that a policy makes. All tables are selections from these votes.
 """
 
 from __future__ import annotations
@@ -37,103 +38,60 @@ _STRICT_ROLE_RANK = """CASE role WHEN 'el coach' THEN 1 WHEN 'principal' THEN 2
 _VALUE_RANK = """CASE value WHEN 'Evident' THEN 1 WHEN 'Somewhat Evident' THEN 2
               WHEN 'Not Evident' THEN 3 END"""
 
+_KEYS = "event_id, classroom_id, identifier"
+_GROUP = f"PARTITION BY {_KEYS}"
+_ORDER = "l_orderkey NULLS LAST, l_linenumber NULLS LAST, l_partkey NULLS LAST"
+_ORDER_COLUMNS = ", l_orderkey, l_linenumber, l_partkey"
+_NUMBERED = "event_id NULLS LAST, classroom_id NULLS LAST, identifier NULLS LAST"
 
-def _cast(source: str, order: str) -> str:
-    """Valid votes, unlisted labels NULL, with ranks, row_id and group_index."""
-    return f"""
-encoded AS (
-  SELECT * EXCLUDE (role, value),
-         CASE WHEN role_rank IS NOT NULL THEN role END AS role,
-         CASE WHEN value_rank IS NOT NULL THEN value END AS value
-  FROM (SELECT *, {_ROLE_RANK} AS role_rank, {_VALUE_RANK} AS value_rank
-        FROM {source} WHERE value <> '')),
-s0 AS (
-  SELECT *,
-         coalesce(role_rank, 7) AS participant_priority,
-         value_rank AS value_priority,
-         row_number() OVER (ORDER BY event_id NULLS LAST, classroom_id NULLS LAST,
-           identifier NULLS LAST, role_rank NULLS LAST, value_rank NULLS LAST,
-           {order}) AS row_id,
-         dense_rank() OVER (ORDER BY event_id, classroom_id, identifier) AS group_index
-  FROM encoded)"""
-
-
-def _plain(source: str, order: str) -> str:
-    """Valid votes, labels as they are, with ranks, row_id and group_index."""
-    return f"""
-s0 AS (
-  SELECT *,
-         {_STRICT_ROLE_RANK} AS participant_priority,
-         {_VALUE_RANK} AS value_priority,
-         row_number() OVER (ORDER BY event_id NULLS LAST, classroom_id NULLS LAST,
-           identifier NULLS LAST, {order}) AS row_id,
-         dense_rank() OVER (ORDER BY event_id, classroom_id, identifier) AS group_index
-  FROM {source} WHERE value <> '')"""
-
-
-_COUNTS = """
-s1 AS (
-  SELECT group_index, event_id, classroom_id, identifier, value,
-         count(*) AS vote_count
-  FROM s0 GROUP BY ALL),
-s2 AS (
-  SELECT *, max(vote_count) OVER (PARTITION BY group_index) AS max_votes,
-         vote_count = max(vote_count) OVER (PARTITION BY group_index) AS max_exists
-  FROM s1),
-top AS (
-  SELECT *, count(*) OVER (PARTITION BY group_index) AS leaders
-  FROM s2 WHERE max_exists),
-s3 AS (SELECT * FROM top WHERE leaders = 1),
-s4 AS (SELECT * FROM top WHERE leaders > 1)"""
-
-_SAME_VALUE = "s0.group_index = {t}.group_index AND s0.value IS NOT DISTINCT FROM {t}.value"
-
-_TIED_VOTES = f"""
-pool AS (
-  SELECT s0.* FROM s0 WHERE EXISTS (
-    SELECT 1 FROM s4 WHERE {_SAME_VALUE.format(t='s4')}))"""
-
-_TIED_GROUPS = """
-pool AS (
-  SELECT s0.* FROM s0 WHERE s0.group_index IN (SELECT group_index FROM s4))"""
-
-_BREAKS = """
-breaks AS (
-  SELECT * FROM pool
-  QUALIFY row_number() OVER (PARTITION BY group_index
-    ORDER BY participant_priority NULLS LAST, value_priority NULLS LAST, row_id) = 1)"""
-
-_CLEAR = f"""
-clear AS (
-  SELECT s0.* FROM s0 WHERE EXISTS (
-    SELECT 1 FROM s3 WHERE {_SAME_VALUE.format(t='s3')}))"""
+# Which votes a policy chooses from, and in which order.
+_ELIGIBLE = {
+    "ranked": "n = most",
+    "contenders": "n = most",
+    "overall": "(n = most OR tied)",
+}
+_CHOICE = {
+    "ranked": "participant_priority, value_priority NULLS LAST, role_rank NULLS LAST",
+    "contenders": "participant_priority NULLS LAST, value_priority NULLS LAST",
+    "overall": "participant_priority NULLS LAST, value_priority NULLS LAST",
+}
 
-_FINAL = """
-SELECT f.event_id, f.classroom_id, f.identifier, f.role, f.value, s1.vote_count{extra}
-FROM (SELECT s0.* FROM s0 WHERE EXISTS (
-        SELECT 1 FROM winners w WHERE s0.group_index = w.group_index
-          AND s0.value IS NOT DISTINCT FROM w.value{role})
-      QUALIFY row_number() OVER (PARTITION BY group_index ORDER BY row_id) = 1) f
-JOIN s1 ON s1.group_index = f.group_index AND s1.value IS NOT DISTINCT FROM f.value"""
 
-_ORDER = "l_orderkey NULLS LAST, l_linenumber NULLS LAST, l_partkey NULLS LAST"
-_ORDER_COLUMNS = ", f.l_orderkey, f.l_linenumber, f.l_partkey"
+def _labelled(policy: str, source: str) -> str:
+    """Valid votes with their ranks; under ``ranked`` unlisted labels are NULL."""
+    if policy != "ranked":
+        return f"""SELECT *, {_STRICT_ROLE_RANK} AS participant_priority,
+             {_VALUE_RANK} AS value_priority
+      FROM {source} WHERE value <> ''"""
+    return f"""SELECT * REPLACE (CASE WHEN role_rank IS NOT NULL THEN role END AS role,
+                       CASE WHEN value_rank IS NOT NULL THEN value END AS value),
+             coalesce(role_rank, 7) AS participant_priority, value_rank AS value_priority
+      FROM (SELECT *, {_ROLE_RANK} AS role_rank, {_VALUE_RANK} AS value_rank
+            FROM {source} WHERE value <> '')"""
 
 
-def _consensus_ctes(policy: str, source: str = "raw", order: str = _ORDER) -> str:
-    if policy == "ranked":
-        steps = [_cast(source, order), _COUNTS, _TIED_VOTES, _BREAKS, _CLEAR]
-        winners = "group_index, value, role"
-        clear = "clear"
-    else:
-        pool = _TIED_VOTES if policy == "contenders" else _TIED_GROUPS
-        steps = [_plain(source, order), _COUNTS, pool, _BREAKS]
-        winners = "group_index, value"
-        clear = "s3"
-    steps.append(f"""
-winners AS (
-  SELECT {winners} FROM {clear} UNION ALL SELECT {winners} FROM breaks)""")
-    return ",".join(steps)
+def _votes(policy: str = "ranked", source: str = "raw", order: str = _ORDER) -> str:
+    """CTEs up to ``votes``: ``n``, ``most``, ``tied``, ``turn``, ``chosen`` of every vote."""
+    return f"""
+labelled AS ({_labelled(policy, source)}),
+counted AS (
+  SELECT *, count(*) OVER (PARTITION BY {_KEYS}, value) AS n,
+         dense_rank() OVER (ORDER BY {_NUMBERED}) AS group_index
+  FROM labelled),
+compared AS (SELECT *, max(n) OVER ({_GROUP}) AS most FROM counted),
+weighed AS (
+  SELECT *, count(DISTINCT CASE WHEN n = most THEN coalesce(value, '?') END)
+              OVER ({_GROUP}) > 1 AS tied
+  FROM compared),
+ordered AS (
+  SELECT *, CASE WHEN {_ELIGIBLE[policy]} THEN row_number() OVER (
+              PARTITION BY {_KEYS}, {_ELIGIBLE[policy]}
+              ORDER BY {_CHOICE[policy]}, {order}) END AS turn
+  FROM weighed),
+votes AS (
+  SELECT *, first_value(value) OVER (
+              {_GROUP} ORDER BY turn NULLS LAST) AS chosen
+  FROM ordered)"""
 
 
 def _consensus(
@@ -143,13 +101,27 @@ def _consensus(
     extra: str = _ORDER_COLUMNS,
     before: str = "",
 ) -> str:
-    role = " AND s0.role IS NOT DISTINCT FROM w.role" if policy == "ranked" else ""
-    ctes = _consensus_ctes(policy, source, order)
-    return f"WITH {_RAW}{before},{ctes}{_FINAL.format(extra=extra, role=role)}"
+    """``ranked`` reports the vote whose turn is first, the others the first vote in file
+    order with its rating."""
+    reported = "WHERE turn = 1"
+    if policy != "ranked":
+        reported = f"""WHERE value = chosen
+QUALIFY row_number() OVER ({_GROUP} ORDER BY {order}) = 1"""
+    return f"""
+WITH {_RAW}{before},{_votes(policy, source, order)}
+SELECT {_KEYS}, role, value, n AS vote_count{extra} FROM votes {reported}"""
 
 
-_RANKED_STEPS = f"WITH {_RAW},{_cast('raw', _ORDER)},{_COUNTS}"
-_KEYS = "event_id, classroom_id, identifier"
+def _from_votes(select: str, where: str = "true", policy: str = "ranked") -> str:
+    return f"WITH {_RAW},{_votes(policy)} SELECT {select} FROM votes WHERE {where}"
+
+
+_SHOWN = f"{_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey"
+_PRIORITIES = "participant_priority, value_priority"
+_BROKEN = f"group_index, {_KEYS}, value, role, {_PRIORITIES}, group_index AS group_index_"
+_CLEAR = "n = most AND NOT tied"
+_TIED = "n = most AND tied"
+_LIST = f"({_CLEAR} OR tied AND turn = 1)"
 
 _BOOTSTRAP = """,
 pool_rows AS (
@@ -165,14 +137,14 @@ drawn AS (
          l_orderkey, l_linenumber, l_partkey
   FROM draws JOIN pool_rows USING (position) WHERE position <= 100)"""
 
-_SAMPLE = f"""{_RANKED_STEPS},{_TIED_VOTES},
+_SAMPLE = f"""WITH {_RAW},{_votes()},
 sample AS (
   SELECT *, row_number() OVER (
     ORDER BY md5(concat_ws(':', '605', event_id, classroom_id, identifier,
                            l_orderkey, l_linenumber, l_partkey)),
              event_id, classroom_id, identifier, l_orderkey, l_linenumber, l_partkey)
     AS check_number
-  FROM pool QUALIFY check_number <= 15)"""
+  FROM votes WHERE {_TIED} QUALIFY check_number <= 15)"""
 
 ORACLES: dict[str, str] = {
     "json_file_scan": "SELECT * FROM customer",
@@ -208,17 +180,13 @@ UNION ALL
 SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey, 'volume', 'l_quantity',
        l_quantity, NULL FROM lineitem""",
     "score_json_forms": f"""
-WITH {_RAW},{_consensus_ctes(
-    "ranked",
+WITH {_RAW},{_votes(
     order="l_orderkey NULLS LAST, l_linenumber NULLS LAST, CAST(l_partkey AS VARCHAR)",
 )}
 SELECT group_index, event_id AS "eventId", CAST(classroom_id AS BIGINT) AS "classroomId",
        identifier, role AS "participantRole", value, l_orderkey AS walkthroughid,
        'all' AS "focusGroup", CAST(l_partkey AS VARCHAR) AS name
-FROM s0 WHERE EXISTS (
-  SELECT 1 FROM winners w WHERE s0.group_index = w.group_index
-    AND s0.value IS NOT DISTINCT FROM w.value AND s0.role IS NOT DISTINCT FROM w.role)
-QUALIFY row_number() OVER (PARTITION BY group_index ORDER BY row_id) = 1""",
+FROM votes WHERE turn = 1""",
     "project_votes": f"""
 WITH {_RAW} SELECT l_orderkey, {_KEYS}, role, value, l_linenumber FROM raw""",
     "valid_votes": f"WITH {_RAW} SELECT * FROM raw WHERE value <> ''",
@@ -226,21 +194,21 @@ WITH {_RAW} SELECT l_orderkey, {_KEYS}, role, value, l_linenumber FROM raw""",
     "lookup_cell": f"""
 WITH {_RAW} SELECT * FROM raw
 WHERE event_id = 2 AND classroom_id = 199805 AND identifier = 'F'""",
-    "ordinal_encode": f"""
-WITH {_RAW},{_cast("raw", _ORDER)}
-SELECT {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey, value_rank, role_rank
-FROM s0""",
+    "ordinal_encode": _from_votes(f"{_SHOWN}, value_rank, role_rank"),
     "role_rank_default": f"""
 WITH {_RAW} SELECT *, coalesce({_ROLE_RANK}, 7) AS participant_priority
 FROM raw WHERE value <> ''""",
     "role_rank_strict": f"""
 WITH {_RAW} SELECT *, {_STRICT_ROLE_RANK} AS participant_priority
 FROM raw WHERE value <> ''""",
-    "vote_counts": f"{_RANKED_STEPS} SELECT {_KEYS}, value, vote_count FROM s1",
-    "flagged_counts": f"""
-{_RANKED_STEPS} SELECT {_KEYS}, value, vote_count, max_votes, max_exists FROM s2""",
-    "top_values": f"""
-{_RANKED_STEPS} SELECT {_KEYS}, value, vote_count, max_votes, max_exists FROM top""",
+    "vote_counts": _from_votes(f"DISTINCT {_KEYS}, value, n AS vote_count"),
+    "flagged_counts": _from_votes(
+        f"DISTINCT {_KEYS}, value, n AS vote_count, most AS max_votes, n = most AS max_exists"
+    ),
+    "top_values": _from_votes(
+        f"DISTINCT {_KEYS}, value, n AS vote_count, most AS max_votes, n = most AS max_exists",
+        "n = most",
+    ),
     "freq_role": f"""
 WITH {_RAW} SELECT role, count(*) AS n FROM raw WHERE role IS NOT NULL GROUP BY role""",
     "freq_flag": """
@@ -276,78 +244,44 @@ FROM ({_consensus("contenders")}) GROUP BY identifier""",
     "label_counts": f"""
 WITH {_RAW} SELECT event_id, value, count(*) AS n FROM raw GROUP BY event_id, value""",
     "score_summary": f"""
-{_RANKED_STEPS}
+WITH {_RAW},{_votes()}
 SELECT votes, "groups", ties, "groups" - ties AS clear,
        'The data has ' || "groups" ||
          ' entries when grouped by event_id, classroom_id, and identifier.' AS groups_message,
        'The data had  ' || ties || ' ties.' AS ties_message
-FROM (SELECT (SELECT count(*) FROM s0) AS votes,
-             (SELECT max(group_index) FROM s0) AS "groups",
-             (SELECT count(DISTINCT group_index) FROM s4) AS ties)""",
+FROM (SELECT count(*) AS votes, max(group_index) AS "groups",
+             count(DISTINCT group_index) FILTER (WHERE tied) AS ties FROM votes)""",
     "row_ids": f"""
-WITH {_RAW},{_plain("raw", _ORDER)}
-SELECT row_id, {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey FROM s0""",
+WITH {_RAW},{_votes("contenders")}
+SELECT row_number() OVER (ORDER BY {_NUMBERED}, {_ORDER}) AS row_id, {_SHOWN} FROM votes""",
     "enum_sort": f"""
-WITH {_RAW},{_cast("raw", _ORDER)}
-SELECT row_id, {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey,
-       value_rank, role_rank FROM s0""",
-    "group_index": f"""
-WITH {_RAW},{_plain("raw", _ORDER)}
-SELECT group_index, {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey FROM s0""",
-    "clear_winners": f"{_RANKED_STEPS},{_CLEAR} SELECT {_KEYS}, value, role FROM clear",
-    "tied_values": f"{_RANKED_STEPS} SELECT {_KEYS}, value, vote_count FROM s4",
-    "tie_rows": f"""
-{_RANKED_STEPS},{_TIED_VOTES}
-SELECT {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey,
-       participant_priority, value_priority FROM pool""",
-    "tie_breaks": f"""
-{_RANKED_STEPS},{_TIED_VOTES},{_BREAKS}
-SELECT group_index, {_KEYS}, value, role, participant_priority, value_priority,
-       group_index AS group_index_ FROM breaks""",
-    "winner_list": f"""
-{_RANKED_STEPS},{_TIED_VOTES},{_BREAKS},{_CLEAR}
-SELECT group_index, {_KEYS}, value, role FROM clear
-UNION ALL SELECT group_index, {_KEYS}, value, role FROM breaks""",
-    "tie_rows_contenders": f"""
-WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_VOTES}
-SELECT {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey,
-       participant_priority, value_priority FROM pool""",
-    "tie_breaks_contenders": f"""
-WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_VOTES},{_BREAKS}
-SELECT group_index, {_KEYS}, value, role, participant_priority, value_priority,
-       group_index AS group_index_ FROM breaks""",
-    "winner_list_contenders": f"""
-WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_VOTES},{_BREAKS}
-SELECT group_index, {_KEYS}, value FROM s3
-UNION ALL SELECT group_index, {_KEYS}, value FROM breaks""",
-    "tie_rows_overall": f"""
-WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_GROUPS}
-SELECT {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey,
-       participant_priority, value_priority FROM pool""",
-    "tie_breaks_overall": f"""
-WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_GROUPS},{_BREAKS}
-SELECT group_index, {_KEYS}, value, role, participant_priority, value_priority,
-       group_index AS group_index_ FROM breaks""",
-    "winner_list_overall": f"""
-WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_GROUPS},{_BREAKS}
-SELECT group_index, {_KEYS}, value FROM s3
-UNION ALL SELECT group_index, {_KEYS}, value FROM breaks""",
+WITH {_RAW},{_votes()}
+SELECT row_number() OVER (ORDER BY {_NUMBERED}, role_rank NULLS LAST,
+         value_rank NULLS LAST, {_ORDER}) AS row_id, {_SHOWN}, value_rank, role_rank
+FROM votes""",
+    "group_index": _from_votes(f"group_index, {_SHOWN}", policy="contenders"),
+    "clear_winners": _from_votes(f"{_KEYS}, value, role", _CLEAR),
+    "tied_values": _from_votes(f"DISTINCT {_KEYS}, value, n AS vote_count", _TIED),
+    "tie_rows": _from_votes(f"{_SHOWN}, {_PRIORITIES}", _TIED),
+    "tie_breaks": _from_votes(_BROKEN, "tied AND turn = 1"),
+    "winner_list": _from_votes(f"group_index, {_KEYS}, value, role", _LIST),
+    "tie_rows_contenders": _from_votes(f"{_SHOWN}, {_PRIORITIES}", _TIED, "contenders"),
+    "tie_breaks_contenders": _from_votes(_BROKEN, "tied AND turn = 1", "contenders"),
+    "winner_list_contenders": _from_votes(f"group_index, {_KEYS}, value", "turn = 1", "contenders"),
+    "tie_rows_overall": _from_votes(f"{_SHOWN}, {_PRIORITIES}", "tied", "overall"),
+    "tie_breaks_overall": _from_votes(_BROKEN, "tied AND turn = 1", "overall"),
+    "winner_list_overall": _from_votes(f"group_index, {_KEYS}, value", "turn = 1", "overall"),
     "natural_semi": f"""
-WITH {_RAW},{_consensus_ctes("ranked")}
-SELECT {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey
-FROM s0 WHERE EXISTS (
-  SELECT 1 FROM winners w WHERE s0.group_index = w.group_index
-    AND s0.value IS NOT DISTINCT FROM w.value AND s0.role IS NOT DISTINCT FROM w.role)""",
-    "tie_pool_overall": f"""
-WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_GROUPS}
-SELECT {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey FROM pool""",
-    "tie_pool_contenders": f"""
-WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_VOTES}
-SELECT {_KEYS}, role, value, l_orderkey, l_linenumber, l_partkey FROM pool""",
+WITH {_RAW},{_votes()}
+SELECT {_SHOWN} FROM votes v WHERE EXISTS (
+  SELECT 1 FROM votes w WHERE {_LIST} AND v.group_index = w.group_index
+    AND v.value IS NOT DISTINCT FROM w.value AND v.role IS NOT DISTINCT FROM w.role)""",
+    "tie_pool_overall": _from_votes(_SHOWN, "tied", "overall"),
+    "tie_pool_contenders": _from_votes(_SHOWN, _TIED, "contenders"),
     "union_missing": f"""
-WITH {_RAW},{_plain("raw", _ORDER)},{_COUNTS},{_TIED_GROUPS},{_BREAKS}
-SELECT {_KEYS}, value, vote_count, max_exists FROM s3
-UNION ALL SELECT {_KEYS}, value, NULL, NULL FROM breaks""",
+WITH {_RAW},{_votes("overall")}
+SELECT DISTINCT {_KEYS}, value, n AS vote_count, true AS max_exists FROM votes WHERE {_CLEAR}
+UNION ALL SELECT {_KEYS}, value, NULL, NULL FROM votes WHERE tied AND turn = 1""",
     "consensus_ranked": _consensus("ranked"),
     "consensus_contenders": _consensus("contenders"),
     "consensus_overall": _consensus("overall"),
@@ -359,8 +293,8 @@ UNION ALL SELECT {_KEYS}, value, NULL, NULL FROM breaks""",
 FROM sample""",
     "audit_original": f"""
 {_SAMPLE}
-SELECT check_number, s0.event_id, s0.classroom_id, s0.identifier, s0.value, s0.role
-FROM s0 JOIN sample USING (group_index) WHERE s0.value IS NOT NULL""",
+SELECT sample.check_number, v.event_id, v.classroom_id, v.identifier, v.value, v.role
+FROM votes v JOIN sample USING (group_index) WHERE v.value IS NOT NULL""",
     "audit_clean": f"""
 SELECT check_number, {_KEYS}, c.value, c.role FROM ({_consensus("ranked")}) c
 JOIN ({_SAMPLE} SELECT check_number, {_KEYS} FROM sample) USING ({_KEYS})""",
@@ -373,7 +307,7 @@ SELECT * FROM (
 WHERE event_id = 2 AND classroom_id = 199805 AND identifier = 'F'""",
     "bootstrap_rows": f"WITH {_RAW}{_BOOTSTRAP} SELECT * FROM drawn",
     "consensus_bootstrap": _consensus(
-        "ranked", "drawn", "draw", ", f.draw, f.l_orderkey, f.l_linenumber, f.l_partkey",
+        "ranked", "drawn", "draw", ", draw, l_orderkey, l_linenumber, l_partkey",
         before=_BOOTSTRAP,
     ),
 }
