@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from hashlib import sha256
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,7 +128,8 @@ def _blocks(nodes: DataFrame, kept: list[str], block_levels: int) -> DataFrame:
     names = ["tree", "block", "place", "size", *kept]
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names)
 
-    def appended(rows: pd.DataFrame) -> pd.DataFrame:
+    def appended(rows):
+        # A pandas table of one block.
         rows = rows.sort_values("place")
         whole = rows["size"].iloc[0] > 1 << block_levels
         root, witnesses = append_block(rows["node"].tolist(), block_levels if whole else None)

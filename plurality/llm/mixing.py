@@ -31,7 +31,7 @@ from plurality.functions import col
 from plurality.session import materialise
 
 SEED = 1_729
-BLOCKS = 1 << 16
+BLOCKS = 1 << 12
 # Bisection levels settled by one pass over the sources, and passes.
 LEVELS, PASSES = 5, 6
 

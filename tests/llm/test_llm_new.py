@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 from hashlib import sha256
 from math import floor, log
 
+import corpus_pipeline
 import numpy as np
 import pytest
-from plurality.llm import langid, main_text, merkle, mixing, packing, queries, ranking, secret_scan, sharding
+from plurality.llm import chat, langid, main_text, merkle, mixing, packing, queries, ranking, secret_scan, sharding
 from pyspark.sql import functions as F
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -530,3 +531,49 @@ def test_pieces_of_many_equal_rows(spark):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = docs_frame(spark, [(1, "a", "en")]).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert out.count() == 0, name
+        assert name == "packed" or out.columns == docs.columns
+
+
+def test_language_is_computed_once_in_the_pipeline(spark):
+    docs = docs_frame(spark, [(i, f"some words number {i}", "en") for i in range(40)])
+    plan = corpus_pipeline.language(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_chat_with_extra_columns_and_repeats(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", "x"), (2, 1, "assistant", None)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string")
+    plain = chat.digests(chat.format_chats(table)).collect()
+    more = table.withColumns({c: F.lit("e") for c in ("valid", "before", "state", "formatted", "turns")})
+    assert Counter(chat.digests(chat.format_chats(more.repartition(3))).collect()) == Counter(plain)
+    twice = chat.digests(chat.format_chats(table.union(table))).collect()
+    assert {r.conv_id: r.n_turns for r in twice} == {1: 4, 2: 4}
+    assert all(not r.valid for r in twice) and all(r.valid for r in plain)
+
+
+def test_mixture_of_ties_and_whole_epochs(spark):
+    rows = [(i, "same words here", "a") for i in range(50)] + [(i, "b " * 20, "b") for i in range(50, 60)]
+    rows += [(60, None, None), (60, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(docs).collect()
+    counts = Counter((r.source, r.row.doc_id, r.epoch) for r in got)
+    # In every whole epoch of a source each of its rows is dealt once.
+    size = {"a": 50, "b": 10, "": 2}
+    for source, n in size.items():
+        epochs = Counter(e for (s, _, e), k in counts.items() for _ in range(k) if s == source)
+        last = max(epochs)
+        assert all(epochs[e] == n for e in range(last)) and 0 < epochs[last] <= n
+    assert all(0 <= r.slot < 1 for r in got)
+    tokens = defaultdict(int)
+    for r in got:
+        tokens[r.source] += r.n_tokens
+    shares = {r.source: r.budget for r in mixing.budgets(
+        spark.createDataFrame([("a", 200), ("b", 210), ("", 2)], "source string, tokens bigint"), mixing.Target()).collect()}
+    assert all(shares[s] <= tokens[s] < shares[s] + 21 for s in size)
