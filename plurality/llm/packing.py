@@ -10,7 +10,7 @@ place among the pieces of its length and looks its sequence up in the plan.
 
 Results for odd input: a NULL or empty text is the end id alone; a NULL id is
 packed like any other; repeated rows are packed once each; very long texts become as many pieces as they need;
-pieces equal in length follow id, place and checksum; an empty table gives
+pieces equal in length follow a lot, and id, place and checksum within its group; an empty table gives
 no rows. Other columns of the input are not read.
 """
 
@@ -32,11 +32,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plurality.functions import col
-from plurality.operators.indexing import number_rows
 from plurality.session import materialise
 
 CAPACITY = 2048
 END_ID = 0
+# Pieces of one length are numbered in groups of about this many.
+NUMBERED_TOGETHER = 200_000
+LOT_SEED = 20_109
 # Words kept by a task with their ids; then it starts afresh.
 CACHED_WORDS = 300_000
 
@@ -267,12 +269,14 @@ def placements(runs: list[Run]) -> np.ndarray:
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to every row of ``pieces`` (see :func:`cut`)."""
-    pieces = materialise(pieces, "pieces")
+    # The lot is written with the piece, so every later pass sees the same one.
+    pieces = materialise(pieces.withColumn("lot", F.rand(LOT_SEED)), "pieces")
     counts = {
         row["length"]: row["count"] for row in pieces.groupBy("length").count().collect()
     }
     places = placements(plan(counts, capacity))
-    ranked = _ranked(pieces)
+    groups = max(1, -(-max(counts.values(), default=1) // NUMBERED_TOGETHER))
+    ranked = _ranked(pieces, groups)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Length and rank as one sortable number.
@@ -294,19 +298,23 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 _PIECE_NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
-def _ranked(pieces: DataFrame) -> DataFrame:
-    """Add ``rank``: 0, 1, 2, ... among the pieces of a length.
+def _ranked(pieces: DataFrame, groups: int) -> DataFrame:
+    """Add ``rank``: 0, 1, 2, ... among the pieces of a length, group after group.
 
-    All pieces are numbered in one order that begins with their length, in buckets that
-    cut across long runs of one length; the number of shorter pieces is taken off.
+    Pieces are dealt to groups by their lots, so equal pieces do not meet in one.
     """
-    numbered = number_rows(pieces, ["length", "doc_id", "piece", "ids_crc32"], "number")
-    sizes = pieces.groupBy("length").agg(F.count("*").alias("size"))
-    shorter = Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per length: at most the capacity.
+    grouped = pieces.withColumn("group", F.floor(F.col("lot") * groups))
+    sizes = grouped.groupBy("length", "group").agg(F.count("*").alias("size"))
+    before = (
+        Window.partitionBy("length")
+        .orderBy("group")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     starts = sizes.select(
-        "length", F.coalesce(F.sum("size").over(shorter), F.lit(0)).alias("first")
+        "length", "group", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("first")
     )
-    return numbered.join(F.broadcast(starts), "length").withColumn(
-        "rank", F.col("number") - F.col("first") - 1
+    within = Window.partitionBy("length", "group").orderBy("doc_id", "piece", "ids_crc32")
+    numbered = grouped.withColumn("place", F.row_number().over(within) - 1)
+    return numbered.join(starts, ["length", "group"]).withColumn(
+        "rank", F.col("first") + F.col("place")
     )

@@ -386,7 +386,7 @@ def test_ranks_are_gapless_in_groups(spark):
         "id as doc_id", "0 as piece", "0L as start", "1L + id % 3 as length", "id as ids_crc32"
     )
     equal = spark.range(90).selectExpr("NULL", "0", "0L", "2L", "7L")
-    rows = packing._ranked(pieces.union(equal)).collect()
+    rows = packing._ranked(pieces.union(equal).withColumn("lot", F.rand(1)), 7).collect()
     assert len(rows) == 590
     for length in (1, 2, 3):
         ranks = sorted(r["rank"] for r in rows if r["length"] == length)
