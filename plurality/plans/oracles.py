@@ -151,7 +151,8 @@ ORACLES: dict[str, str] = {
     "json_array_scan": "SELECT * FROM customer",
     "csv_scan": "SELECT * FROM supplier",
     "csv_quoted_scan": "SELECT * FROM documents",
-    "csv_inferred_scan": "SELECT * FROM supplier",
+    "csv_inferred_scan": """
+SELECT * REPLACE (CAST(s_nationkey AS BIGINT) AS s_nationkey) FROM supplier""",
     "table_scan": "SELECT * FROM orders",
     "csv_sink": _consensus("ranked"),
     "csv_sink_numbered": f"""
