@@ -11,18 +11,27 @@ from plurality import (
     audit_ties,
     consensus,
     crosstab,
+    decide_raw,
     group_index,
     lookup,
     row_ids,
     sample_rows,
     score_and_publish,
+    score_forms,
     score_summary,
     semi_join,
     vote_counts,
     write_table,
 )
 from plurality.operators import indexing
-from plurality.operators.tally import clear_values, tied_values
+from plurality.operators.tally import (
+    clear_values,
+    numbered_decisions,
+    raw_tie_breaks,
+    raw_winner_list,
+    tied_values,
+)
+from plurality.plans.votes import raw_votes
 from plurality.session import scratch_path, scratch_root
 from plurality.schema import FORM_LAYOUT, VOTE_SCHEMA
 from votes import LAYOUT, E, N, S, frame, random_votes, score
@@ -219,3 +228,27 @@ def form_votes(spark, rows):
     df = frame(spark, rows).withColumn("participantId", F.col("row").cast("bigint"))
     missing = [f for f in VOTE_SCHEMA.fields if f.name not in df.columns]
     return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
+
+
+def reads_votes(df):
+    """Whether the plan goes back to the votes or the texts they come from."""
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(word in text for word in ("participantId", "from_json", "Aggregate [_group"))
+
+
+def test_forms_are_parsed_once_to_be_scored_and_numbered(spark):
+    """Numbering reads the ratings three times, but not the texts behind them."""
+    rows = form_votes(spark, random_votes(2, 200)).drop("focusGroup", "name", "subtext")
+    rows = rows.withColumn("walkthroughid", F.col("row").cast("bigint"))
+    one = F.struct("identifier", F.lit("f").alias("name"), "value")
+    section = F.struct(F.lit("all").alias("focusGroup"), F.array(one).alias("fields"))
+    forms = rows.withColumn("walkthroughdata", F.to_json(F.array(section)))
+    forms = forms.drop("identifier", "value", "row")
+    plain = score_forms(forms, numbered=False)
+    numbered = score_forms(forms)
+    assert reads_votes(plain) and not reads_votes(numbered)
+    answers = numbered.orderBy("group_index").collect()
+    assert [r.group_index for r in answers] == list(range(1, len(answers) + 1))
+    assert sorted(map(str, numbered.drop("group_index").collect())) == sorted(
+        map(str, plain.collect())
+    )
