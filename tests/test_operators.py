@@ -31,6 +31,7 @@ from plurality import (
     valid_votes,
     winner_list,
 )
+from plurality.operators import audit as audit_module
 from plurality.operators import indexing, sampling
 from votes import EDGE, LAYOUT, E, N, S, frame, random_votes, score
 
@@ -284,6 +285,31 @@ def test_audit_passes_up_to_the_ties(spark):
     assert [t.count() for t in nothing] == [0, 0, 0]
 
 
+@pytest.mark.parametrize("policy", ["ranked", "contenders", "overall"])
+@pytest.mark.parametrize("lots", [0.2, 2])
+def test_audit_looks_up_only_votes_with_small_lots(spark, monkeypatch, policy, lots):
+    """The sample is that of all competing votes, also where the first cut is too small."""
+    cast = [E, E, S, S, N, "Maybe", "Maybe"]
+    df = frame(spark, [(i, i // 7 or None, 1, "A", "teacher", cast[i % 7]) for i in range(280)])
+    pool, looked_up = audit_module._POOLS[policy], []
+
+    def spied(votes, layout, tied, among):
+        looked_up.append(among.count())
+        return pool(votes, layout, tied, among)
+
+    monkeypatch.setitem(audit_module._POOLS, policy, spied)
+    monkeypatch.setattr(audit_module, "FIRST_LOTS", lots)
+    shown = [*KEYS, "value", "participantRole", "row"]
+    for seed in (1, 2):
+        found = audit_ties(df, LAYOUT, n=3, seed=seed, policy=policy).sample
+        want = sample_rows(pool(df, LAYOUT).select(shown), 3, seed, [*KEYS, "row"], "check_number")
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(
+            map(tuple, want.collect()), key=str
+        )
+    assert looked_up[0] < df.count()
+    assert len(looked_up) > 2 or lots > 1
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_audit_shows_whole_groups_beside_their_rating(spark, seed):
     rows = random_votes(seed, 250)

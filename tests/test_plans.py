@@ -252,3 +252,21 @@ def test_forms_are_parsed_once_to_be_scored_and_numbered(spark):
     assert sorted(map(str, numbered.drop("group_index").collect())) == sorted(
         map(str, plain.collect())
     )
+
+
+def test_made_votes_are_short_before_their_join(spark, tmp_path):
+    """What ratings and months are made from stays out of the shuffle."""
+    spark.sql(
+        "select 1L l_orderkey, 2L l_partkey, 3L l_suppkey, 4 l_linenumber, 0.05D l_discount,"
+        " 0.02D l_tax, 'A' l_returnflag, 'F' l_linestatus, timestamp'1998-05-06' l_shipdate"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.sql("select 1L o_orderkey, '2-HIGH' o_orderpriority").write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    made = raw_votes(spark, str(tmp_path))
+    assert [tuple(r) for r in made.collect()] == [(3, 199805, "F", "school coach", E, 1, 4, 2)]
+    node = made._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    shuffled = node.left().output().mkString(",")
+    assert "value" in shuffled and not re.search("l_discount|l_tax|l_shipdate", shuffled)
