@@ -28,7 +28,6 @@ from plurality.operators.tally import (
     clear_values,
     numbered_decisions,
     raw_tie_breaks,
-    raw_winner_list,
     tied_values,
 )
 from plurality.plans.votes import raw_votes
@@ -254,6 +253,38 @@ def test_forms_are_parsed_once_to_be_scored_and_numbered(spark):
     )
 
 
+@pytest.mark.parametrize("policy", ["contenders", "overall"])
+@pytest.mark.parametrize("step", [raw_tie_breaks])
+def test_decisions_are_made_once_to_be_numbered(spark, policy, step):
+    rows = random_votes(4, 300)
+    found = step(frame(spark, rows), LAYOUT, policy)
+    assert not reads_votes(found) and "parquet" in plan(found)
+    answers, index = score(rows, policy), {}
+    for i, key in enumerate(sorted(answers, key=lambda k: [(v is None, v) for v in k]), 1):
+        index[key] = i
+    for r in found.collect():
+        key = tuple(r[k] for k in KEYS)
+        assert (r.group_index, r.value) == (index[key], answers[key][1])
+
+
+def test_ranked_decisions_are_made_once_to_be_numbered(votes):
+    found = numbered_decisions(votes, LAYOUT)
+    assert not reads_votes(found) and shuffles(found) <= 2
+
+
+@pytest.mark.parametrize("policy", ["contenders", "overall"])
+def test_decisions_without_the_reported_vote(votes, policy):
+    """Only what decides is shuffled; the decisions are the same."""
+    lean = decide_raw(votes, LAYOUT, policy, breaks=True, reported=False)
+    full = decide_raw(votes, LAYOUT, policy, breaks=True)
+    assert "first(" not in plan(lean) and " first#" not in plan(lean) and " first#" in plan(full)
+    columns = [c for c in full.columns if c in lean.columns]
+    assert "value" in columns and LAYOUT.role not in lean.columns
+    assert sorted(map(str, lean.select(columns).collect())) == sorted(
+        map(str, full.select(columns).collect())
+    )
+
+
 def test_made_votes_are_short_before_their_join(spark, tmp_path):
     """What ratings and months are made from stays out of the shuffle."""
     spark.sql(
