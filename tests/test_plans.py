@@ -28,6 +28,7 @@ from plurality.operators.tally import (
     clear_values,
     numbered_decisions,
     raw_tie_breaks,
+    raw_winner_list,
     tied_values,
 )
 from plurality.plans.votes import raw_votes
@@ -254,7 +255,7 @@ def test_forms_are_parsed_once_to_be_scored_and_numbered(spark):
 
 
 @pytest.mark.parametrize("policy", ["contenders", "overall"])
-@pytest.mark.parametrize("step", [raw_tie_breaks])
+@pytest.mark.parametrize("step", [raw_tie_breaks, raw_winner_list])
 def test_decisions_are_made_once_to_be_numbered(spark, policy, step):
     rows = random_votes(4, 300)
     found = step(frame(spark, rows), LAYOUT, policy)
@@ -265,6 +266,8 @@ def test_decisions_are_made_once_to_be_numbered(spark, policy, step):
     for r in found.collect():
         key = tuple(r[k] for k in KEYS)
         assert (r.group_index, r.value) == (index[key], answers[key][1])
+    if step is raw_winner_list:
+        assert found.count() == len(answers)
 
 
 def test_ranked_decisions_are_made_once_to_be_numbered(votes):
