@@ -376,3 +376,25 @@ def test_types_of_the_edge_case_votes(spark, tmp_path):
         k: v for k, v in declared.items() if k not in blank
     }
     assert {kinds[k] for k in blank} == {T.BooleanType()}
+
+
+def test_one_pass_tells_whole_texts_from_others(spark):
+    """Flattening reads a text once, and accepts only one whole value."""
+    good = form(11, "teacher", [{"focusGroup": '_end"\\ _body', "fields": [field("1A", E)]}])
+    flat = flatten_forms(spark.createDataFrame([good], FORM_SCHEMA), PAYLOAD_COLUMN, SECTIONS_SCHEMA)
+    text = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("from_json") == 1 and "jsonObjectKeys" not in text
+    assert [(r.focusGroup, r.value) for r in flat.collect()] == [('_end"\\ _body', E)]
+    others = [r[PAYLOAD_COLUMN] for r in BAD] + [
+        '[],"_end":null} {"x":1', "[],'_end':null}", '[],"\\u005fend":null} {"x":[', "[]}",
+        '[],"_end":null', '[],"_body":null', '"_end"',
+    ]
+    for bad in others:
+        forms = spark.createDataFrame([good, form(12, "teacher", bad)], FORM_SCHEMA)
+        with pytest.raises(Exception, match="(?i)malformed"):
+            flatten_forms(forms, PAYLOAD_COLUMN, SECTIONS_SCHEMA).collect()
+        with pytest.raises(Exception, match="(?i)malformed"):
+            parse_json(forms, PAYLOAD_COLUMN, SECTIONS_SCHEMA).collect()
+    missing = form(13, "teacher", "", **{PAYLOAD_COLUMN: None})
+    forms = spark.createDataFrame([good, missing], FORM_SCHEMA)
+    assert flatten_forms(forms, PAYLOAD_COLUMN, SECTIONS_SCHEMA).count() == 1
