@@ -2,6 +2,7 @@
 
 import os
 import re
+import time
 from dataclasses import replace
 
 import pytest
@@ -31,9 +32,12 @@ from plurality.operators.tally import (
     raw_winner_list,
     tied_values,
 )
+from plurality.plans import scoring
+from plurality.plans.queries import score_json_forms
 from plurality.plans.votes import raw_votes
-from plurality.session import scratch_path, scratch_root
+from plurality.session import drop_shuffles, scratch_path, scratch_root
 from plurality.schema import FORM_LAYOUT, VOTE_SCHEMA
+from plurality.sources import files
 from votes import LAYOUT, E, N, S, frame, random_votes, score
 
 KEYS = list(LAYOUT.keys)
@@ -304,3 +308,76 @@ def test_made_votes_are_short_before_their_join(spark, tmp_path):
         node = node.children().head()
     shuffled = node.left().output().mkString(",")
     assert "value" in shuffled and not re.search("l_discount|l_tax|l_shipdate", shuffled)
+
+
+def shuffled(spark):
+    """The shuffle files on disk, with their sizes."""
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    paths = disk.getAllFiles().mkString("\n").splitlines()
+    return {p: os.path.getsize(p) for p in paths if re.search(r"/shuffle_[^/]*data$", p)}
+
+
+def left_behind(spark, before):
+    """How much of what was shuffled since ``before`` stays; files go a little later."""
+    for _ in range(50):
+        size = sum(n for p, n in shuffled(spark).items() if p not in before)
+        if not size:
+            break
+        time.sleep(0.2)
+    return size
+
+
+DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
+    set_before, before = spark.conf.get(DROP, None), shuffled(spark)
+    counts = spark.range(1000).groupBy("id").count()
+    with pytest.raises(ZeroDivisionError), drop_shuffles(spark):
+        counts.write.parquet(str(tmp_path / "counts"))
+        raise ZeroDivisionError
+    assert left_behind(spark, before) == 0
+    assert spark.conf.get(DROP, None) == set_before
+    assert spark.read.parquet(str(tmp_path / "counts")).count() == 1000
+
+
+def test_scored_json_forms_take_little_disk(spark, tmp_path, monkeypatch):
+    """The forms' text is packed, and what was shuffled for it or the ratings goes at once."""
+    dropping = []
+
+    def watched(write):
+        def run(*args, **options):
+            dropping.append(spark.conf.get(DROP, None))
+            return write(*args, **options)
+
+        return run
+
+    monkeypatch.setattr(files, "write_json", watched(files.write_json))
+    monkeypatch.setattr(scoring, "materialise", watched(scoring.materialise))
+    items = spark.range(20_000).selectExpr(
+        "id div 4 l_orderkey", "id * 37 % 5000 l_partkey",
+        "pmod(xxhash64(id), 300) l_suppkey",
+        "cast(id % 4 as int) l_linenumber", "id % 11 / 100D l_discount",
+        "id % 9 / 100D l_tax", "substr('ANR', cast(id % 3 as int) + 1, 1) l_returnflag",
+        "if(id % 2 = 0, 'O', 'F') l_linestatus",
+        "timestamp_ntz'1998-01-01' + make_interval(0, cast(pmod(hash(id), 20) as int)) l_shipdate",
+    )
+    orders = spark.range(5000).selectExpr(
+        "id o_orderkey",
+        "element_at(array('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW'), "
+        "cast(id % 4 as int) + 1) o_orderpriority",
+    )
+    items.write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    root = scratch_root(spark).removeprefix("file:")
+    folders = set(os.listdir(root)) if os.path.isdir(root) else set()
+    scored = score_json_forms(spark, str(tmp_path))
+    assert dropping == ["true", "true"]
+    (forms,) = [n for n in set(os.listdir(root)) - folders if n.startswith("forms-")]
+    data = f"{root}/{forms}/data"
+    text = sum(len(r.value) + 1 for r in spark.read.text(data).collect())
+    held = sum(os.path.getsize(f"{data}/{n}") for n in os.listdir(data) if n.startswith("part-"))
+    assert text > 4_000_000 and held * 5 < text
+    votes = raw_votes(spark, str(tmp_path)).filter("value <> ''")
+    groups = votes.select("event_id", "classroom_id", "identifier").distinct()
+    assert scored.count() == groups.count() > 1000

@@ -1,3 +1,4 @@
+import gzip
 import json
 import re
 
@@ -26,7 +27,7 @@ from plurality import (
 )
 from plurality.schema import CSV_SCHEMA, FORM_SCHEMA, PAYLOAD_COLUMN, SECTIONS_SCHEMA
 from plurality.session import scratch_path
-from plurality.sources import borders
+from plurality.sources import borders, files
 from votes import EDGE, LAYOUT, E, N, S, frame
 
 HEADER = ",".join(["", *CSV_SCHEMA.names[1:]])
@@ -171,6 +172,29 @@ def test_json_lines_round_trip(spark):
     assert sorted(read_json(spark, path, df.schema).collect()) == sorted(df.collect())
 
 
+def test_packed_json_round_trip_in_small_files(spark, tmp_path, monkeypatch):
+    """A packed file is read by one task, so none may hold all records of a large task."""
+    monkeypatch.setattr(files, "_PACKED_RECORDS", 50)
+    df = spark.range(0, 1000, 1, 2).selectExpr(
+        "id", "if(id % 7 = 0, null, concat('é\n', id)) text", "id / 3 share"
+    )
+    write_json(df, str(tmp_path / "plain"))
+    write_json(df, str(tmp_path / "packed"), packed=True)
+    size = {d: sum(f.stat().st_size for f in (tmp_path / d).glob("part-*")) for d in
+            ("plain", "packed")}
+    assert size["packed"] * 2 < size["plain"]
+    parts = list((tmp_path / "packed").glob("part-*"))
+    assert len(parts) == 20
+    for part in parts:
+        with gzip.open(part) as lines:
+            assert len(list(lines)) == 50
+    back = read_json(spark, str(tmp_path / "packed"), df.schema)
+    assert sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
+    none = df.filter("id < 0")
+    write_json(none, str(tmp_path / "packed"), packed=True)
+    assert read_json(spark, str(tmp_path / "packed"), df.schema).collect() == []
+
+
 BAD = [form(13, "teacher", '[{"focusGroup": "a", "fields": ['),
        form(14, "teacher", '[{"focusGroup": "a", "fields": "none"}]'),
        form(16, "teacher", "[] and more"), form(17, "teacher", "[]} {"),
